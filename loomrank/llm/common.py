@@ -94,3 +94,35 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * _power("up", len(data)), out=total[1:])
         h = (total[end] - total[start]) * _power("down", len(data) + 1)[start]
         return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+FOLDS = 5
+
+
+def held_out(doc_id):
+    """Whether a row is kept from training: crc32 of its id as text leaves no rest by five; a null id isn't."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def share_of(doc_id, seed: int = 17):
+    """A number from 0 to 1 that depends on the id alone, for samples of a known rate."""
+    return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+
+
+def runs(at: np.ndarray, most: int):
+    """Row ranges of at most `most` bytes, or of one row."""
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        yield a, min(b, len(at) - 1)
+        a = b
+
+
+def adam(loss_grad, params: list[np.ndarray], steps: int, rate: float) -> None:
+    """Moves the parameters down the gradient, in place."""
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for t in range(1, steps + 1):
+        for p, g, a, b in zip(params, loss_grad(), m, v, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)

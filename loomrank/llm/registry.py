@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language, quality
 
 
 def queries() -> dict:
-    return {"op9_decontaminate": decontaminate.op9_decontaminate}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_language": language.op10_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
