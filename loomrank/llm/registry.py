@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality
+from . import decontaminate, language, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
