@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality
+from . import decontaminate, fingerprint, language, packing, quality
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
+        "op4_fingerprint": fingerprint.op4_fingerprint,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
     }
