@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, packing, quality
+from . import decontaminate, fingerprint, language, near_dedup, packing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_fingerprint": fingerprint.op4_fingerprint,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
     }
