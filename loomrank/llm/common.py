@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,11 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, which cuts its lineage."""
+    """Writes a table into the shared folder and reads it back, which cuts its lineage. Shuffle files that nothing
+    refers to any more go when the driver collects its garbage, so that is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a stored table that is no longer needed."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +91,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(which: str, n: int) -> np.ndarray:
+def power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
         out = np.full(max(n, 1 << 16), BASE if which == "up" else INVERSE, np.uint64)
@@ -91,8 +105,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each data[start:end]; equal bytes have equal hashes wherever they stand."""
     total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * _power("up", len(data)), out=total[1:])
-        h = (total[end] - total[start]) * _power("down", len(data) + 1)[start]
+        np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * power("up", len(data)), out=total[1:])
+        h = (total[end] - total[start]) * power("down", len(data) + 1)[start]
         return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, near_dedup, packing, quality
+from . import decontaminate, fingerprint, language, near_dedup, packing, quality, repeats, sentence_dedup
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_fingerprint": fingerprint.op4_fingerprint,
+        "op5_substring_dedup": sentence_dedup.op5_substring_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op8_repeats": repeats.op8_repeats,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
     }
