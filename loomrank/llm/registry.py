@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, near_dedup, packing, quality, repeats, sentence_dedup
+from . import decontaminate, fingerprint, language, licenses, near_dedup, packing, quality, repeats, sentence_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_fingerprint": fingerprint.op4_fingerprint,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.ORACLE}
+    return {"op1_licenses": licenses.oracle(), "op9_decontaminate": decontaminate.ORACLE}

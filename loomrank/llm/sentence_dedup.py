@@ -49,7 +49,6 @@ def spans(parts: list[str]) -> list[tuple[int, int, int]]:
         if len(own) >= LONG:
             out.append((own, i, 1))
         if not own:
-            held -= len(own) if end > i else 0
             continue
         if end <= i:
             end, held = i, 0
