@@ -92,12 +92,14 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, words array<struct<first:long,last:long>>, items array<string>"
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES, carry: str | None = None) -> DataFrame:
     """For each document its number of words, the merged spans that occurrences cover (character offsets and word
     numbers) and the items found. A benchmark of more than `limit` bytes takes several automata of bounded size, which
-    scan each row one after the other and add to what it has; no row is shuffled."""
+    scan each row one after the other and add to what it has; no row is shuffled. carry: a column that stays."""
     spark = docs.sparkSession
     small_batches(spark)
+    more = [carry] * bool(carry)
+    schema = SCHEMA + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
 
     def scanned(rows: DataFrame, found: dict[str, tuple[str, ...]]) -> DataFrame:
         held = spark.sparkContext.broadcast(found)
@@ -121,13 +123,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lim
                     words.append([{"first": x, "last": y} for x, y in at])
                     items.append(sorted(more.union(names)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, pair("start", "end")), pa.array(words, pair("first", "last")), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "text", "n_words", "spans", "words", "items"],
+                    [b.column("doc_id"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, pair("start", "end")), pa.array(words, pair("first", "last")), pa.array(items, pa.list_(pa.string())), *(b.column(c) for c in more)],
+                    names=["doc_id", "text", "n_words", "spans", "words", "items", *more],
                 )
 
-        return rows.select("doc_id", "text", "words", "items").mapInArrow(run, SCHEMA)
+        return rows.select("doc_id", "text", "words", "items", *more).mapInArrow(run, schema)
 
-    out = texts(docs).withColumns({"words": F.expr("cast(array() as array<struct<first:long,last:long>>)"), "items": F.expr("cast(array() as array<string>)")})
+    out = texts(docs, *more).withColumns({"words": F.expr("cast(array() as array<struct<first:long,last:long>>)"), "items": F.expr("cast(array() as array<string>)")})
     n = 0
     for n, found in enumerate(_slices(benchmark, window, limit), 1):  # noqa: B007
         out = scanned(out, found)
@@ -136,15 +138,22 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lim
     return out.drop("text")
 
 
+def n_hit():
+    return F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+
+
+def contaminated():
+    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+
+
 def digest(found: DataFrame) -> DataFrame:
-    hit = F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), "items").select(
+    return found.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
@@ -154,8 +163,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = digest(occurrences(docs, benchmark)).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"], docs["text"])
+    found = occurrences(whole, benchmark, carry="row")
+    return found.filter(~contaminated()).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

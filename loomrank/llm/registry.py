@@ -1,18 +1,22 @@
-"""The queries and SQL of this package."""
+"""The queries and SQL of this package, and the pipeline of corpus_pipeline.py."""
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, licenses, near_dedup, packing, quality, repeats, sentence_dedup
+import corpus_pipeline
+
+from . import decontaminate, fingerprint, html_main, language, licenses, near_dedup, packing, quality, repeats, sentence_dedup
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_licenses": licenses.op1_licenses,
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_substring_dedup": sentence_dedup.op5_substring_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_main_text": html_main.op7_main_text,
         "op8_repeats": repeats.op8_repeats,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,

@@ -325,7 +325,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     by = by.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     own = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)), "_key": F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))})
     whole = own.join(by, ["_id", "_key"], "left").select(*docs.columns, "_spans")
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
         for b in batches:
@@ -333,7 +333,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for t, spans in zip(b.column(at).to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 new.append(kept_bytes(t.encode("utf-8", "surrogatepass"), joined(spans)).decode("utf-8", "ignore") if spans and t is not None else t)
             columns = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = whole.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
