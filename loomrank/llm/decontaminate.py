@@ -116,12 +116,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lim
             for b in batches:
                 counts, spans, words, items = [], [], [], []
                 for t, had, names in zip(*(b.column(c).to_pylist() for c in ("text", "words", "items")), strict=True):
-                    n, at, more = scan(t, automaton) if held.value else (len(words_of(t)), np.zeros((0, 2), np.int64), set())
+                    n, at, hit = scan(t, automaton) if held.value else (len(words_of(t)), np.zeros((0, 2), np.int64), set())
                     at = merged([(x["first"], x["last"]) for x in had] + at.tolist())
                     counts.append(n)
                     spans.append(offsets(t, at) if at else [])
                     words.append([{"first": x, "last": y} for x, y in at])
-                    items.append(sorted(more.union(names)))
+                    items.append(sorted(hit.union(names)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, pair("start", "end")), pa.array(words, pair("first", "last")), pa.array(items, pa.list_(pa.string())), *(b.column(c) for c in more)],
                     names=["doc_id", "text", "n_words", "spans", "words", "items", *more],
