@@ -6,9 +6,10 @@ count. A sketch takes the two k-mers of least hash, in the order of the text; SK
 own. Texts that agree on a sketch share a bucket.
 
 Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. In each
-bucket every text is compared with the bucket's leaders (the least and the greatest id, and one by hash); texts that
-match none of them form the bucket of the next round, with leaders of its own. So n texts of a bucket give 3n pairs,
-never n * n, and leaders come from aggregates, so a bucket of any size is spread over tasks.
+bucket every text is compared with the bucket's leaders (the least by id and by a hash of it); texts that end up in
+another class than their leaders form the bucket of the next round, with leaders of its own. So n texts of a bucket give
+2n pairs, never n * n, and leaders come from aggregates, so a bucket of any size is spread over tasks. The first round
+takes a few sketches only, and pairs whose texts are in one class already aren't compared again.
 
 A pair is a link if its edit similarity is 0.8 or more: one less the edit distance of the two sequences of words over
 the longer one's length. The distance comes from an alignment in a band around the diagonal, as wide as the distance
@@ -34,8 +35,8 @@ from .common import bytes_of, mix, read, small_batches, span_hashes, stored, tex
 from .decontaminate import WORD_BYTES
 
 WORDS, SKETCHES, SIMILARITY = 5, 32, 0.8
-#: Rounds in which the texts of a bucket that matched no leader get other leaders.
-ROUNDS = 3
+#: Sketches of the first round, and rounds in which texts that matched no leader of their bucket get other leaders.
+FIRST, ROUNDS = 6, 2
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 LEAST_ID = -(1 << 63)
@@ -151,14 +152,21 @@ def sketched(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, key binary, sig array<long>")
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Pairs (low, high) of each member of a bucket and the bucket's leaders."""
-    by_hash = F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id"))["id"]
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), by_hash.alias("c"), F.count("*").alias("n"))
-    leaders = stored(leaders.filter("n > 1").select("bucket", F.array_distinct(F.array("a", "b", "c")).alias("leaders")), "leaders")
+def led(members: DataFrame) -> DataFrame:
+    """Each member (bucket, id) of a bucket of two or more, with the bucket's leaders."""
+    by_hash = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"]
+    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), by_hash.alias("b"), F.count("*").alias("n"))
+    leaders = stored(leaders.filter("n > 1").select("bucket", F.array_distinct(F.array("a", "b")).alias("leaders")), "leaders")
     return stored(members.join(leaders, "bucket").select("bucket", "id", "leaders"), "members")
 
 
+def labelled(df: DataFrame, label: DataFrame | None, c: str) -> DataFrame:
+    """The class of an id so far, as column c + "_class"; ids without links are their own."""
+    if label is None:
+        return df.withColumn(f"{c}_class", F.col(c))
+    return df.join(label.select(F.col("id").alias(c), "label"), c, "left").withColumn(f"{c}_class", F.coalesce("label", c)).drop("label")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (low, high) of ids that are links."""
     import zstandard
@@ -192,30 +200,32 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("low", "high", "x", "y").mapInArrow(run, "low long, high long")
 
 
-def links(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """All links between different texts that leaders have found."""
-    members = reps.select("id", F.explode("sig").alias("bucket"))
-    out, tried = None, None
-    for _ in range(rounds):
-        dealt = candidates(members)
-        sides = dealt.select("id", F.explode("leaders").alias("with")).filter("id <> with")
+def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The class (id, label) of every id that has a link."""
+    dealt = reps.select("id", F.posexplode("sig").alias("k", "bucket"))
+    found = label = tried = None
+    for n in range(rounds + 2):
+        members = dealt.filter(F.col("k") < FIRST).select("bucket", "id") if not n else dealt.select("bucket", "id")
+        members = led(members)
+        sides = members.select("id", F.explode("leaders").alias("with")).filter("id <> with")
         pairs = sides.select(F.least("id", "with").alias("low"), F.greatest("id", "with").alias("high")).distinct()
-        if tried is not None:
+        if label is not None:
+            pairs = labelled(labelled(pairs, label, "low"), label, "high").filter("low_class <> high_class").select("low", "high")
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = stored(verified(pairs, docs, reps), "links")
-        out = found if out is None else stored(out.union(found), "links")
-        tried = pairs if tried is None else stored(tried.union(pairs), "tried")
-        # who matched a leader of its bucket, or leads one, is settled there
-        side = dealt.select("bucket", "id", F.explode("leaders").alias("with")).filter("id <> with").select("bucket", "id", F.least("id", "with").alias("low"), F.greatest("id", "with").alias("high"))
-        settled = side.join(out, ["low", "high"], "left_semi").select("bucket", "id")
-        leading = dealt.select("bucket", F.explode("leaders").alias("id"))
-        members = stored(dealt.select("bucket", "id").join(settled.union(leading).distinct(), ["bucket", "id"], "left_anti"), "rest")
-        if members.isEmpty():
-            break
-    return out if out is not None else docs.sparkSession.createDataFrame([], "low long, high long")
+        if not pairs.isEmpty():
+            new = stored(verified(pairs, docs, reps), "links")
+            found = new if found is None else stored(found.union(new), "links")
+            tried = pairs if tried is None else stored(tried.union(pairs), "tried")
+            label = components(found)
+        if n:
+            # who isn't in the class of a leader goes on to the next round, in the same bucket
+            side = members.select("bucket", "id", F.explode("leaders").alias("with"))
+            away = labelled(labelled(side, label, "id"), label, "with").groupBy("bucket", "id").agg(F.bool_and(F.col("id_class") != F.col("with_class")).alias("away"))
+            dealt = stored(away.filter("away").select("bucket", "id"), "rest")
+            if dealt.isEmpty():
+                break
+    return label if label is not None else docs.sparkSession.createDataFrame([], "id long, label long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,21 +244,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """For each row its class, whether it stands for it, how many rows have its very text, and how many different texts
-    it is linked to; `key` is the hash of its text."""
+    the class has; `key` is the hash of its text."""
     rows = stored(sketched(docs), "sketches")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count("*").alias("n_copies"))
     # ids of the table may repeat, so different texts get numbers of their own, which storing makes fast
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
-    found = links(docs, reps)
-    degree = found.union(found.select("high", "low")).toDF("id", "to").groupBy("id").agg(F.countDistinct("to").alias("n_links"))
-    named = reps.select("id", "key", "doc_id", "n_copies").join(components(found), "id", "left").join(degree, "id", "left")
-    named = stored(named.select("key", "doc_id", F.coalesce("label", "id").alias("label"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    named = labelled(reps.select("id", "key", "doc_id", "n_copies"), classes(docs, reps), "id").withColumnRenamed("id_class", "label")
+    named = stored(named.select("key", "doc_id", "label", "n_copies"), "named")
+    first = stored(named.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("n_texts")), "firsts")
     named = stored(named.drop("doc_id").join(first, "label").drop("label"), "classes")
     out = rows.select("doc_id", "key").join(named, "key")
     own = F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id")
     of = F.when(F.col("first.doc_id") != LEAST_ID, F.col("first.doc_id")).alias("class_id")
-    return out.select(own, of, (F.struct("doc_id", "key") == F.col("first")).alias("kept"), "n_copies", "n_links", "key")
+    return out.select(own, of, (F.struct("doc_id", "key") == F.col("first")).alias("kept"), "n_copies", "n_texts", "key")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
