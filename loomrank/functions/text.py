@@ -40,7 +40,7 @@ def ngrams(tokens: Column | str, least: int, most: int) -> Column:
 def sentences(text: Column | str) -> Column:
     """Parts that end with . ! or ? before a space."""
     parts = F.split(normalize(text), r"(?<=[.!?]) +")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_number(text: Column | str) -> Column:
@@ -52,7 +52,7 @@ def first_percent(text: Column | str) -> Column:
 
 
 def comma_list(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(blank(text, ""), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(blank(text, ""), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def compact(text: Column | str) -> Column:

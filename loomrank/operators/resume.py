@@ -73,9 +73,9 @@ def technical_section(text: Column | str) -> Column:
 def candidates(section: Column | str) -> Column:
     """Items of the lists in a section."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(col(section), "[•·▪◦●]", ", "), LISTS, "\n"), r"\s+[|]\s+", ", "), r"[ \t]{2,}", " ")
-    parts = F.filter(F.transform(F.split(t, r"[\n,;]+"), F.trim), lambda p: (F.length(p) >= 2) & (F.length(p) <= 80))
+    parts = F.filter(F.transform(F.split(t, r"[\n,;]+"), lambda x: F.trim(x)), lambda p: (F.length(p) >= 2) & (F.length(p) <= 80))
     slashed = F.filter(parts, lambda p: p.rlike(r"\s/\s") & ~p.rlike(r"(?i)c/c\+\+|can/lin"))
-    return F.concat(parts, F.filter(F.flatten(F.transform(slashed, lambda p: F.transform(F.split(p, r"\s/\s"), F.trim))), lambda p: F.length(p) >= 2))
+    return F.concat(parts, F.filter(F.flatten(F.transform(slashed, lambda p: F.transform(F.split(p, r"\s/\s"), lambda x: F.trim(x)))), lambda p: F.length(p) >= 2))
 
 
 def _compact(text: str) -> str:

@@ -154,7 +154,7 @@ BUSINESS_TITLE = r"(sales|marketing|communications?|business development|account
 def role_match(title: Column | str, text: Column | str, targets: Column | str) -> Column:
     """The best match of a posting with a comma-separated list of roles; 50 without any."""
     t, body = F.lower(blank(title, "")), F.lower(blank(text, ""))
-    roles = F.filter(F.transform(F.split(F.lower(blank(targets, "")), ","), F.trim), lambda r: r != "")
+    roles = F.filter(F.transform(F.split(F.lower(blank(targets, "")), ","), lambda x: F.trim(x)), lambda r: r != "")
 
     def of(r: Column) -> Column:
         words = F.filter(F.split(r, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
