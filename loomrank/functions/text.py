@@ -33,8 +33,11 @@ def tokenize(text: Column | str) -> Column:
 def ngrams(tokens: Column | str, least: int, most: int) -> Column:
     """All runs of least to most tokens, the short ones first, each size in the order of the text."""
     t = col(tokens)
-    sizes = [F.transform(span(1, F.size(t) - n + 1), lambda i, n=n: F.concat_ws(" ", F.slice(t, i, n))) for n in range(least, most + 1)]
-    return F.concat(*sizes)
+
+    def of(n: int) -> Column:
+        return F.transform(span(1, F.size(t) - n + 1), lambda i: F.concat_ws(" ", F.slice(t, i, F.lit(n))))
+
+    return F.concat(*(of(n) for n in range(least, most + 1)))
 
 
 def sentences(text: Column | str) -> Column:

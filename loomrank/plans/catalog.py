@@ -69,6 +69,10 @@ TITLES = ["Software Developer", "Marketing Assistant", "Data Analyst Intern", "D
 ME = Profile(skills=OWNED, resume_text="engineering student", work_term=3, faculty="Engineering", target_role="software developer, data analyst", industries=("thth", "erre"), term_length="4")
 
 
+#: Milliseconds since 1970 of a time without zone, whatever the session's zone.
+MILLIS = "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -627,9 +631,9 @@ FROM r
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as entries of a cache by user and type: the newest of each, those that are young enough, 200 at most."""
     e = _read(spark, sf_dir, "events")
-    rows = e.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.when(F.pmod("event_id", F.lit(9)) == 0, 3).otherwise(4).alias("version"), (F.unix_millis("ts") * 100_000 + F.col("event_id")).alias("ts"), F.col("event_id").alias("data"))
+    rows = e.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.when(F.pmod("event_id", F.lit(9)) == 0, 3).otherwise(4).alias("version"), (F.expr(MILLIS) * 100_000 + F.col("event_id")).alias("ts"), F.col("event_id").alias("data"))
     merged = stores.cache_put(rows.filter("data % 2 = 0"), rows.filter("data % 2 = 1"))
-    return stores.cached(merged.withColumn("ts", F.floor(F.col("ts") / 100_000)), 1706745600000).select("url", "ts", "data")
+    return stores.cached(merged.withColumn("ts", F.expr("ts div 100000")), 1706745600000).select("url", "ts", "data")
 
 
 CACHE = """
@@ -770,11 +774,11 @@ EVENT_ACTIVITY = "SELECT date_trunc('hour', ts) AS began, event_type, count(*) A
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").select((F.unix_millis("ts") * 100_000 + F.col("event_id")).alias("at"), F.col("event_type").alias("type"))
+    e = _read(spark, sf_dir, "events").select((F.expr(MILLIS) * 100_000 + F.col("event_id")).alias("at"), F.col("event_type").alias("type"))
     return stores.latest_events(e, 120)
 
 
-LATEST = "SELECT epoch_ms(ts) * 100000 + event_id AS at, event_type AS type FROM events ORDER BY at DESC LIMIT 120"
+LATEST = 'SELECT epoch_ms(ts) * 100000 + event_id AS "at", event_type AS type FROM events ORDER BY 1 DESC LIMIT 120'
 
 
 Query = Callable[[SparkSession, str], DataFrame]
