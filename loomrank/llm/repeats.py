@@ -175,22 +175,26 @@ SPANS = "doc_id long, key binary, a long, b long"
 
 
 def _surroundings(batches):
-    """The bytes around each wanted anchor. Of those that a text has alike, two go on; all are repeated strings, and
-    where the others begin is known at once (their windows are those of the two): they go on as spans."""
-    names = ["h", "doc_id", "key", "p", "n", "around", "a", "b"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    """The bytes around each wanted anchor, where they can hold a repeated string. Of those that a text has more than once
+    one goes on, for the sake of other texts; what they cover in this text is known at once and goes on as spans."""
+    names = ["h", "doc_id", "key", "p", "around", "a", "b"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     rows = []
     for i, key, data, _, at, hashes in _marked(batches):
-        n, seen = len(data), {}
-        raw = data.tobytes()
+        n, raw = len(data), data.tobytes()
+        places: dict[tuple, list[int]] = {}
         for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
             lo, hi = max(0, p - REACH), min(n, p + LENGTH)
-            around = raw[lo:hi]
-            had = seen[around, p - lo] = seen.get((around, p - lo), 0) + 1
-            if had <= 2:
-                rows.append((h, i, key, p, n, around, None, None))
-            elif hi - lo >= LENGTH:
-                rows.append((h, i, key, p, n, None, lo, hi))
+            if hi - lo >= LENGTH:
+                places.setdefault((h, raw[lo:hi], p - lo), []).append(p)
+        again = []
+        for (h, around, before), ps in places.items():
+            rows.append((h, i, key, ps[0], around, None, None))
+            if len(ps) > 1:
+                again += [{"a": p - before, "b": p - before + len(around)} for p in ps]
+        # dealt out by their own places: the anchors of such texts are few and frequent
+        spread = int.from_bytes(key[:7], "little")
+        rows += [(spread + a, i, key, a, None, a, b) for a, b in joined(again)]
         if len(rows) >= 2000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
             rows = []
@@ -203,12 +207,12 @@ def _spans(rows: list[tuple]):
     width = REACH + LENGTH
     matrix = np.full((len(rows), width), 256, np.uint16)
     begin = np.array([REACH - min(r[3], REACH) for r in rows])
-    end = begin + np.array([len(r[5]) for r in rows])
+    end = begin + np.array([len(r[4]) for r in rows])
     for k, r in enumerate(rows):
-        matrix[k, begin[k] : end[k]] = np.frombuffer(r[5], np.uint8)
+        matrix[k, begin[k] : end[k]] = np.frombuffer(r[4], np.uint8)
     first, last = repeated_columns(matrix, begin, end)
     for k in np.flatnonzero(first >= 0):
-        _, i, key, p, n, _ = rows[k]
+        _, i, key, p, _ = rows[k]
         a, b = p - REACH + int(first[k]), p - REACH + int(last[k]) + LENGTH
         yield i, key, a, b
 
@@ -222,14 +226,14 @@ def _constructed(batches):
     held: list[tuple] = []
     for b in batches:
         known = []
-        for h, i, key, p, n, around, lo, hi in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "key", "p", "n", "around", "a", "b")), strict=True):
+        for h, i, key, p, around, lo, hi in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "key", "p", "around", "a", "b")), strict=True):
             if around is None:
                 known.append((i, key, lo, hi))
                 continue
             if len(held) >= CHUNK and held[-1][0] != h:
                 known += _spans(held)
                 held = []
-            held.append((h, i, key, p, n, around))
+            held.append((h, i, key, p, around))
         if known:
             yield table(known)
     if held and (rows := list(_spans(held))):
@@ -268,11 +272,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def marked(hot: bool) -> DataFrame:
         return _packed(source).join(flagged.filter(F.col("hot") == hot).select("doc_id", "wanted"), "doc_id").select("doc_id", "key", "z", "wanted")
 
-    around = marked(False).mapInArrow(_surroundings, "h long, doc_id long, key binary, p long, n long, around binary, a long, b long")
-    # rows of one text and id are one
+    around = marked(False).mapInArrow(_surroundings, "h long, doc_id long, key binary, p long, around binary, a long, b long")
     spans = stored(around.repartition("h").sortWithinPartitions("h").mapInArrow(_constructed, SPANS), "spans").union(whole)
     if not flagged.filter("hot").isEmpty():
-        windows = stored(marked(True).mapInArrow(_windows, "w long, doc_id long, key binary, s long").distinct(), "windows")
+        windows = stored(marked(True).mapInArrow(_windows, "w long, doc_id long, key binary, s long"), "windows")
         twice = stored(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "twice")
         hot = windows.join(twice, "w").select("doc_id", "key", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
         spans = spans.union(stored(hot, "hot"))
