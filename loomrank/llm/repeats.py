@@ -37,7 +37,7 @@ from .near_dedup import LEAST_ID, keyed
 LENGTH, ANCHOR = 200, 48
 REACH = LENGTH - ANCHOR
 #: Occurrences of an anchor that one task takes; strings of one construction.
-HOT, CHUNK = 4000, 32_768
+HOT, CHUNK = 30_000, 32_768
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
