@@ -27,7 +27,8 @@ def analyze(jobs: DataFrame, profile: Profile, text: str = "snippet", skills: Se
     own = F.array(*map(F.lit, profile.skills)).cast("array<string>")
     body = F.concat_ws(" ", _text("title"), _text("company"), _text("location"), _text("snippet"), _text("full_text", 2500))
     boost = F.concat_ws(" ", _text("title"), _text("company"), _text("location"), _text("snippet"), _text("full_text", 1200))
-    df = df.withColumn("base_skill_match", scoring.skill_match(own, "required_skills", "preferred_skills", "full_text", "required_sentences", "preferred_sentences", skills))
+    df = df.withColumn("_weights", scoring.posting_weights("required_skills", "preferred_skills", "full_text", skills))
+    df = df.withColumn("base_skill_match", scoring.skill_match(own, "required_skills", "preferred_skills", "full_text", "required_sentences", "preferred_sentences", skills, F.col("_weights"))).drop("_weights")
     if use_semantic:
         near = semantic.semantic_match(own, F.lit(profile.resume_text), "required_skills", "preferred_skills", "required_sentences", "preferred_sentences", "full_text", "title", F.lit(profile.target_role), skills)
         df = df.withColumn("_semantic", near).withColumn("semantic_skill_match", F.col("_semantic")["score"])

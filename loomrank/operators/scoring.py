@@ -81,15 +81,21 @@ def skill_weights(required: Column, preferred: Column, text: Column | str, skill
     return F.when(F.size(required) + F.size(preferred) > 0, stated).otherwise(inferred)
 
 
+def posting_weights(required: Column | str, preferred: Column | str, text: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
+    """skill_weights of a posting's skills as they stand."""
+    need = resolve_all(required, skills)
+    return skill_weights(need, F.array_except(resolve_all(preferred, skills), need), text, skills)
+
+
 def skill_match(
     owned_skills: Column, required: Column | str, preferred: Column | str, text: Column | str, required_lines: Column | str | None = None,
-    preferred_lines: Column | str | None = None, skills: Sequence[Skill] = SKILLS,
+    preferred_lines: Column | str | None = None, skills: Sequence[Skill] = SKILLS, weights: Column | None = None,
 ) -> Column:
-    """How well owned skills (keys as typed) meet a posting, 0 to 100."""
+    """How well owned skills (keys as typed) meet a posting, 0 to 100. weights: posting_weights, where a column has them;
+    a column is worked out once, an expression at each of its uses."""
     owned = canonical(owned_skills, skills)
     need = resolve_all(required, skills)
-    like = F.array_except(resolve_all(preferred, skills), need)
-    weights = skill_weights(need, like, text, skills)
+    weights = posting_weights(required, preferred, text, skills) if weights is None else weights
     total = _sum(weights, lambda w: w["weight"])
     base = _sum(F.filter(weights, lambda w: has_skill(owned, w["key"])), lambda w: w["weight"]) / total * 100
     for lines, is_required, share in ((required_lines, True, 0.2), (preferred_lines, False, 0.1)):

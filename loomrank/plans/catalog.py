@@ -183,7 +183,9 @@ def skill_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(*map(F.lit, OWNED))
     none = F.array().cast("array<string>")
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.withColumn("skill_match", scoring.skill_match(own, none, none, "text", skills=WORDS))
+    # weights as a column of their own are worked out once for a row
+    d = d.withColumn("weights", scoring.posting_weights(none, none, "text", WORDS))
+    d = d.withColumn("skill_match", scoring.skill_match(own, none, none, "text", skills=WORDS, weights=F.col("weights")))
     d = d.withColumn("v", scoring.viability("skill_match", F.lit(60), F.lit(50)))
     rec = scoring.recommend(F.col("v.score"), {"high_skill_match": F.col("skill_match") >= 70, "low_skill_match": F.col("skill_match") < 45})
     return d.select("doc_id", "skill_match", F.col("v.score").alias("viability"), rec.alias("r")).select("doc_id", "skill_match", "viability", F.col("r.label").alias("label"), F.array_join("r.reasons", " ").alias("reasons"))
@@ -637,7 +639,7 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CACHE = """
-WITH r AS (SELECT user_id || '/' || event_type AS url, CASE WHEN event_id % 9 = 0 THEN 3 ELSE 4 END AS version, epoch_ms(ts) AS ms, epoch_ms(ts) * 100000 + event_id AS o, event_id AS data FROM events),
+WITH r AS (SELECT user_id || '/' || event_type AS url, CASE WHEN event_id % 9 = 0 THEN 3 ELSE 4 END AS version, (epoch_us(ts) // 1000) AS ms, (epoch_us(ts) // 1000) * 100000 + event_id AS o, event_id AS data FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY o DESC) AS k FROM r),
 m AS (SELECT * FROM n WHERE k = 1 ORDER BY o DESC, url LIMIT 200)
 SELECT url, ms AS ts, data FROM m WHERE version = 4 AND 1706745600000 - ms <= 604800000
@@ -778,7 +780,7 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.latest_events(e, 120)
 
 
-LATEST = 'SELECT epoch_ms(ts) * 100000 + event_id AS "at", event_type AS type FROM events ORDER BY 1 DESC LIMIT 120'
+LATEST = 'SELECT (epoch_us(ts) // 1000) * 100000 + event_id AS "at", event_type AS type FROM events ORDER BY 1 DESC LIMIT 120'
 
 
 Query = Callable[[SparkSession, str], DataFrame]
