@@ -787,11 +787,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "text_primitives": (text_primitives, TEXT_PRIMITIVES), "hashes": (hashes, HASHES), "alias_hits": (alias_hits, ALIAS_HITS), "sentence_skills": (sentence_skills, SENTENCE_SKILLS),
     "skill_match": (skill_match, SKILL_MATCH), "profile_fields": (profile_fields, PROFILE_FIELDS), "term_signals": (term_signals, TERM_SIGNALS), "parsed_postings": (parsed, PARSED),
-    "hard_eligibility": (hard_eligibility, HARD_ELIGIBILITY), "role_scores": (role_scores, ROLE_SCORES), "ranked_jobs": (ranked_jobs, None), "tiers": (tiers, TIERS), "overview": (overview, OVERVIEW),
+    "hard_eligibility": (hard_eligibility, HARD_ELIGIBILITY), "role_scores": (role_scores, ROLE_SCORES), "tiers": (tiers, TIERS), "overview": (overview, OVERVIEW),
     "key_insights": (insights, INSIGHTS), "flag_counts": (flags, FLAGS), "worth_reconsidering": (reconsidered, RECONSIDERED), "top_matches": (top_matches, TOP_MATCHES), "skill_gaps": (gaps, GAPS),
     "smart_search": (smart_search, _search_sql()), "vector_similarity": (vector_similarity, VECTOR_SIMILARITY), "share_scores": (share_scores, SHARE_SCORES), "hiring_history": (hiring_history, HIRING_HISTORY),
     "viability_grid": (viability_grid, VIABILITY_GRID), "page_keys": (page_keys, PAGE_KEYS), "job_cache": (cache, CACHE), "application_status": (applications, APPLICATIONS), "upserted_records": (upserted, UPSERTED),
-    "field_intents": (field_intents, FIELD_INTENTS), "listing_signature": (listing_signature, None), "resume_skill_sets": (resume_skill_sets, None), "text_quality": (text_quality, TEXT_QUALITY),
+    "field_intents": (field_intents, FIELD_INTENTS), "listing_signature": (listing_signature, None), "text_quality": (text_quality, TEXT_QUALITY),
     "semantic_vectors": (semantic_vectors, None), "described_pages": (described_pages, None), "page_jobs": (page_jobs, None), "event_bursts": (event_bursts, EVENT_BURSTS), "event_activity": (event_activity, EVENT_ACTIVITY),
     "latest_events": (latest, LATEST),
 }
