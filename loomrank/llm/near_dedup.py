@@ -8,8 +8,11 @@ own. Texts that agree on a sketch share a bucket.
 Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. In each
 bucket every text is compared with the bucket's leaders (the least by id and by a hash of it); texts that end up in
 another class than their leaders form the bucket of the next round, with leaders of its own. So n texts of a bucket give
-2n pairs, never n * n, and leaders come from aggregates, so a bucket of any size is spread over tasks. The first round
-takes a few sketches only, and pairs whose texts are in one class already aren't compared again.
+2n pairs, and leaders come from aggregates, so a bucket of any size is spread over tasks. The first round takes a few
+sketches only, and pairs whose texts are in one class already aren't compared again. Leaders only save work: after
+ROUNDS more rounds, every pair of a bucket whose texts are still in different classes is compared, except where numbers
+of words or parities of words rule a link out; so two texts of one bucket that are linked are in one class. Large
+buckets are dealt in tiles for that.
 
 A pair is a link if its edit similarity is 0.8 or more: one less the edit distance of the two sequences of words over
 the longer one's length. The distance comes from an alignment in a band around the diagonal, as wide as the distance
@@ -37,6 +40,8 @@ from .decontaminate import WORD_BYTES
 WORDS, SKETCHES, SIMILARITY = 5, 32, 0.8
 #: Sketches of the first round, and rounds in which texts that matched no leader of their bucket get other leaders.
 FIRST, ROUNDS = 6, 2
+#: Texts of a tile of a bucket, and bits of the parities of a text's words.
+TILE, PARITIES = 256, 1024
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 LEAST_ID = -(1 << 63)
@@ -87,6 +92,13 @@ def sketches(h: np.ndarray, n: int = SKETCHES) -> np.ndarray:
     return mix(out)
 
 
+def parities(w: np.ndarray) -> np.ndarray:
+    """Whether each of PARITIES classes of words has an odd number of them, as bits. An insertion or deletion changes one
+    bit at most and a substitution two."""
+    odd = np.bincount((w >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def distance(a: list, b: list, most: int) -> int:
     """The edit distance of two sequences if it is at most `most`, else some larger number. Aligns in a band of the
     diagonals up to `most` away: bit k of a column stands for the row k places above the band's lower edge."""
@@ -137,19 +149,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """The id, a hash of the text and the sketches of each row."""
+    """The id, a hash of the text, the sketches, the number of words and their parities of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             data, at = bytes_of(b.column("text"))
-            sigs = [sketches(kmers(words(data[at[k] : at[k + 1]]))).view(np.int64) for k in range(len(at) - 1)]
+            own = [words(data[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
+            sigs = [sketches(kmers(w)).view(np.int64) for w in own]
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             edge = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             sig = pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), sig], names=["doc_id", "key", "sig"])
+            odd = np.concatenate([parities(w) for w in own]) if own else np.zeros(0, np.int64)
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(odd))
+            count = pa.array([len(w) for w in own], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), sig, count, odd], names=["doc_id", "key", "sig", "n_words", "odd"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key binary, sig array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key binary, sig array<long>, n_words int, odd array<long>")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -200,15 +216,33 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("low", "high", "x", "y").mapInArrow(run, "low long, high long")
 
 
+def unsettled(members: DataFrame, label: DataFrame | None, reps: DataFrame) -> DataFrame:
+    """All pairs (low, high) of a bucket's members (bucket, id) that are in different classes and may be links by their
+    numbers of words and by the parities of their words."""
+    own = stored(labelled(members, label, "id"), "labelled")
+    mixed = own.groupBy("bucket").agg(F.min("id_class").alias("a"), F.max("id_class").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    own = own.join(mixed.select("bucket", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "bucket")
+    own = stored(own.join(reps.select("id", "n_words", "odd"), "id"), "unsettled")
+    # a pair of tiles meets once: one side brings the lower tile, the other the higher one
+    own = own.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
+    all_ = own.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    x = all_.filter("tile <= other").select("bucket", F.col("tile").alias("lower"), F.col("other").alias("upper"), F.struct("id", "id_class", "n_words", "odd").alias("x"))
+    y = all_.filter("other <= tile").select("bucket", F.col("other").alias("lower"), F.col("tile").alias("upper"), F.struct("id", "id_class", "n_words", "odd").alias("y"))
+    both = x.join(y, ["bucket", "lower", "upper"]).filter("(lower < upper or x.id < y.id) and x.id_class <> y.id_class")
+    most = F.floor((1 - SIMILARITY) * F.greatest("x.n_words", "y.n_words") + 1e-9)
+    apart = F.abs(F.col("x.n_words") - F.col("y.n_words"))
+    flips = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    both = both.filter((apart <= most) & (flips <= 2 * most - apart))
+    return both.select(F.least("x.id", "y.id").alias("low"), F.greatest("x.id", "y.id").alias("high")).distinct()
+
+
 def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The class (id, label) of every id that has a link."""
     dealt = reps.select("id", F.posexplode("sig").alias("k", "bucket"))
-    found = label = tried = None
-    for n in range(rounds + 2):
-        members = dealt.filter(F.col("k") < FIRST).select("bucket", "id") if not n else dealt.select("bucket", "id")
-        members = led(members)
-        sides = members.select("id", F.explode("leaders").alias("with")).filter("id <> with")
-        pairs = sides.select(F.least("id", "with").alias("low"), F.greatest("id", "with").alias("high")).distinct()
+    found = label = tried = every = None
+
+    def linked(pairs):
+        nonlocal found, label, tried
         if label is not None:
             pairs = labelled(labelled(pairs, label, "low"), label, "high").filter("low_class <> high_class").select("low", "high")
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
@@ -218,6 +252,14 @@ def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame
             found = new if found is None else stored(found.union(new), "links")
             tried = pairs if tried is None else stored(tried.union(pairs), "tried")
             label = components(found)
+
+    for n in range(rounds + 2):
+        members = dealt.filter(F.col("k") < FIRST).select("bucket", "id") if not n else dealt.select("bucket", "id")
+        members = led(members)
+        if n == 1:
+            every = members.select("bucket", "id")
+        sides = members.select("id", F.explode("leaders").alias("with")).filter("id <> with")
+        linked(sides.select(F.least("id", "with").alias("low"), F.greatest("id", "with").alias("high")).distinct())
         if n:
             # who isn't in the class of a leader goes on to the next round, in the same bucket
             side = members.select("bucket", "id", F.explode("leaders").alias("with"))
@@ -225,6 +267,8 @@ def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame
             dealt = stored(away.filter("away").select("bucket", "id"), "rest")
             if dealt.isEmpty():
                 break
+    if every is not None:
+        linked(unsettled(every, label, reps))
     return label if label is not None else docs.sparkSession.createDataFrame([], "id long, label long")
 
 
@@ -246,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """For each row its class, whether it stands for it, how many rows have its very text, and how many different texts
     the class has; `key` is the hash of its text."""
     rows = stored(sketched(docs), "sketches")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count("*").alias("n_copies"))
+    reps = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_words").alias("n_words"), F.first("odd").alias("odd"), F.count("*").alias("n_copies"))
     # ids of the table may repeat, so different texts get numbers of their own, which storing makes fast
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
     named = labelled(reps.select("id", "key", "doc_id", "n_copies"), classes(docs, reps), "id").withColumnRenamed("id_class", "label")

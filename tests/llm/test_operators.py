@@ -210,6 +210,17 @@ def _grouped(out):
     return groups.values()
 
 
+def test_near_duplicates_in_a_crowd(docs):
+    """Texts of one template that all share a bucket: each has one near copy, and most of them are no bucket's leader."""
+    gen = random.Random(8)
+    template = " ".join("".join(gen.choice(SYLLABLES) for _ in range(3)) for _ in range(30))
+    own = [[f"w{k}x{j}" for j in range(30)] for k in range(20)]
+    crowd = [f"{template} {' '.join(w)}" for w in own] + [f"{template} {' '.join(w[:-6])} {' '.join(reversed(w[-6:]))}" for w in own]
+    df = docs.sparkSession.createDataFrame(list(enumerate(crowd)), "doc_id long, text string")
+    reps = near_dedup.sketched(df).withColumns({"id": F.col("doc_id"), "sig": F.array(F.lit(1).cast("long"))}).localCheckpoint()
+    assert sorted((r["id"], r["label"]) for r in near_dedup.classes(df, reps).collect()) == [(i, i % 20) for i in range(40)]
+
+
 def test_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
