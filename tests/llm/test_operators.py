@@ -221,6 +221,25 @@ def test_near_duplicates_in_a_crowd(docs):
     assert sorted((r["id"], r["label"]) for r in near_dedup.classes(df, reps).collect()) == [(i, i % 20) for i in range(40)]
 
 
+def test_candidates_at_the_threshold():
+    """Texts with a fifth of their words changed, inserted or left out share a bucket."""
+    import numpy as np
+
+    gen = random.Random(5)
+    for n, tries, most_lost in [(5, 60, 0), (9, 60, 0), (13, 60, 0), (16, 60, 0), (19, 60, 0), (25, 200, 4), (60, 200, 3), (300, 200, 2)]:
+        lost = 0
+        for _ in range(tries):
+            a = [f"w{gen.randrange(10**6)}" for _ in range(n)]
+            b = list(a)
+            for k in gen.sample(range(n), n // 5):
+                b[k] = gen.choice([f"v{k}", f"v{k}", f"v{k}", "", f"{b[k]} v{k}"]) if len(a) > 9 else f"v{k}"
+            x, y = (near_dedup.words(np.frombuffer(" ".join(t).encode(), np.uint8)) for t in (a, b))
+            if near_dedup.similar(x, y):
+                sigs = [set(near_dedup.sketches(near_dedup.kmers(w)).tolist()) | set(near_dedup.pieces(w).tolist()) for w in (x, y)]
+                lost += not sigs[0] & sigs[1]
+        assert lost <= most_lost, (n, lost)
+
+
 def test_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
