@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 A sentence ends after ., ! or ? before white space, or at the end of a line. A span is a run of consecutive sentences:
-from each sentence on, the shortest run of two or more that has LEAST_WORDS words, and each sentence of LONG words by
-itself. Spans are hashed (64 bits of BLAKE2b over their words in lower case) and counted over all documents; of each
+from each sentence on, the run of SENTENCES whatever its words and the shortest of that many or more that has LEAST_WORDS
+words (other sentences may hold the same words), and each sentence of LONG words by itself. Where a longer run of the
+same sentences is repeated so are the runs of SENTENCES in it, and those cover it. Spans are hashed (64 bits of BLAKE2b over their words in lower case) and counted over all documents; of each
 repeated span the first occurrence (least id, then place) stays, and sentences that any other occurrence covers go.
 
 Counting uses partial sums. Occurrences then meet their span's first one in a join of two stored tables, which Spark
@@ -58,6 +59,10 @@ def spans(parts: list[str]) -> list[tuple[int, int, int]]:
         if end - i >= SENTENCES and held >= LEAST_WORDS:
             out.append(([w for s in words[i:end] for w in s], i, end - i))
         held -= len(own)
+    at = [i for i, own in enumerate(words) if own]  # white space alone is no sentence
+    for first, last in zip(at, at[SENTENCES - 1 :]):
+        out.append(([w for s in words[first : last + 1] for w in s], first, last - first + 1))
+    out = [(w, i, n) for (i, n), w in {(i, n): w for w, i, n in out}.items()]
     return [(struct.unpack("<q", hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest())[0], i, n) for w, i, n in out]
 
 

@@ -173,6 +173,26 @@ def test_sentence_spans(rows, docs, empty):
     assert sentence_dedup.deduplicated(empty).count() == 0
 
 
+def test_sentence_runs(spark):
+    """Against all runs of two sentences or more, of any number of words, and sentences of LONG words."""
+    gen = random.Random(4)
+    say = lambda n: " ".join(word() for _ in range(n)).capitalize() + ". "
+    passage, footer = [say(20), say(5), say(4)], [say(2), say(3)]
+    pool = [say(gen.choice([1, 3, 8, 40])) for _ in range(12)]
+    texts = [[say(9), *passage, say(9), *footer], [say(7), *passage, say(30), *footer], [*passage, *footer], *([gen.choice(pool) for _ in range(gen.randint(1, 12))] for _ in range(20))]
+    seen, want = set(), {}
+    for i, parts in enumerate(texts):
+        low, gone = [p.strip().lower() for p in parts], set()
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                if b - a > 1 or len(low[a].split()) >= sentence_dedup.LONG:
+                    gone |= set(range(a, b)) if tuple(low[a:b]) in seen else set()
+                    seen.add(tuple(low[a:b]))
+        want[i] = "".join(p for k, p in enumerate(parts) if k not in gone)
+    df = spark.createDataFrame([(i, "".join(p)) for i, p in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in sentence_dedup.deduplicated(df).collect()} == want
+
+
 def test_near_duplicates(rows, docs, empty):
     import numpy as np
 
