@@ -4,14 +4,17 @@ Each element of a page is a node that is content or not. Its own evidence is a w
 class, id and role, length of its text, density of links, place); parent-child potentials, by the child's kind, tell
 how likely a child is content if its parent is. Sum-product messages pass upward from the leaves and downward from the
 root, which gives each node's exact marginal. Weights and potentials are trained together on labelled pages (the tree's
-log-likelihood, its gradient by the same messages). The labelled pages are written by a generator with many layouts:
-menus, headers, sidebars, notices, adverts, forms and reader comments around articles; training takes a second or two.
+log-likelihood, its gradient by the same messages). The tables hold no labelled pages, so those are written by a generator
+of five kinds of layout (elements named by HTML, names that tell, names that don't, layout tables, line breaks); training
+takes a few seconds on the driver. Held-out precision and recall by characters, for a kind that training left out: 0.91 or
+more and 0.97 or more, but 0.86 recall for line breaks.
 
 Text is that of nodes with a marginal above one half. Block elements part blocks; inside a block white space becomes
 one space; scripts, styles, comments, form fields and other unseen elements never give text.
 
 Defined cases: a null or empty page has no text; text outside any element counts as the body's; tags that are never
-closed end with their parents, as browsers do; repeated rows each give their row; other columns are ignored; an empty
+closed end with their parents, as browsers do; a tag, comment or script that never ends hides the rest; any markup takes
+about linear time; repeated rows each give their row; other columns are ignored; an empty
 table gives no rows.
 """
 
@@ -40,9 +43,13 @@ INLINE = _set("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd
 CLOSED_BY_BLOCK = _set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul")
 CLOSES = {"li": ({"li"}, _set("ul ol menu")), "dt": (_set("dt dd"), {"dl"}), "dd": (_set("dt dd"), {"dl"}), "tr": (_set("tr td th"), _set("table")), "td": (_set("td th"), _set("tr table")), "th": (_set("td th"), _set("tr table")), "option": ({"option"}, {"select"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+# A tag's name and attributes; possessive, so that no page takes more than linear time.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+NAMED = ("class", "id", "role")
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
+#: Elements deeper than this are children of the last one that isn't, as in browsers.
+DEEPEST = 512
 
 
 @dataclass(slots=True)
@@ -57,57 +64,83 @@ class Node:
     kids: int = 0
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The elements in page order (the root first) and, in page order, (element, text) chunks; (-1, "") parts blocks."""
+def parse(page: str, label: str = "") -> tuple[list[Node], list[tuple[int, str]]]:
+    """The elements in page order (the root first) and, in page order, (element, text) chunks; (-1, "") parts blocks.
+    label: the attribute that holds an element's label, on pages to learn from. As in browsers, a tag or comment that
+    never ends hides the rest of the page."""
     nodes = [Node("html", "", -1, 0)]
     chunks: list[tuple[int, str]] = []
     stack = [0]
+    open_: dict[str, int] = {"html": 1}
     at, n = 0, len(page)
 
-    def text(s: str) -> None:
-        if s:
-            chunks.append((stack[-1], s))
+    def close(k: int) -> None:
+        for j in stack[k:]:
+            open_[nodes[j].tag] -= 1
+        del stack[k:]
 
     while at < n:
-        m = TOKEN.search(page, at)
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = n
+        if begin > at:
+            chunks.append((stack[-1], page[at:begin]))
+        if begin == n:
+            break
+        mark = page[begin + 1 : begin + 2]
+        if mark in ("!", "?") or (mark == "/" and not page[begin + 2 : begin + 3].isalpha()):
+            if page.startswith("<!--", begin):
+                end = begin + 4 if page.startswith(">", begin + 4) else page.find("-->", begin + 2)
+                at = n if end < 0 else page.find(">", end) + 1
+            else:
+                end = page.find(">", begin)
+                at = n if end < 0 else end + 1
+            continue
+        if not (mark == "/" or mark.isascii() and mark.isalpha()):
+            chunks.append((stack[-1], "<"))
+            at = begin + 1
+            continue
+        m = TAG.match(page, begin)
         if not m:
-            text(page[at:])
+            if mark == "/" and not page[begin + 2].isascii():
+                at = begin + 2
+                continue
             break
-        text(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if not tag:
-            continue
-        tag = tag.lower()
+        tag = m[2].lower()
         block = tag not in INLINE
         if m[1]:
             if block:
                 chunks.append((-1, ""))
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in ("html", "body") and any(nodes[k].tag == tag for k in stack):
+            if open_.get(tag, 0) and tag != "html":
+                close(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
+        if tag in ("html", "body") and open_.get(tag, 0):
+            if tag == "body" or len(nodes) > 1 or not label:
+                continue
         ends, inside = CLOSES.get(tag, (None, None))
         if tag in CLOSED_BY_BLOCK:
             ends, inside = {"p"}, _set("td th table button object")
-        if ends:
+        if ends and any(open_.get(t, 0) for t in ends):
             for k in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[k]].tag
-                if t in ends:
-                    if tag not in ("tr",) or t == "tr":
-                        del stack[k:]
-                        break
+                if t in ends and (tag != "tr" or t == "tr"):
+                    close(k)
+                    break
                 if t in inside or (tag in CLOSED_BY_BLOCK and t not in INLINE and t != "p"):
                     break
         if block:
             chunks.append((-1, ""))
-        found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        label = found.pop("data-y", "")
+        names, own = [], ""
+        if m[3]:
+            for k, v in ATTRIBUTE.findall(m[3]):
+                k = k.lower()
+                if k in NAMED:
+                    names.append(v.strip("\"'"))
+                elif label and k == label:
+                    own = v.strip("\"'")
         parent = stack[-1]
-        nodes.append(Node(tag, " ".join(found.values()).lower(), parent, nodes[parent].depth + 1, int(label) if label else -1))
+        nodes.append(Node(tag, " ".join(names).lower(), parent, nodes[parent].depth + 1, int(own) if own in ("0", "1") else -1))
         nodes[parent].kids += 1
         if tag == "br":
             chunks.append((parent, " "))
@@ -117,7 +150,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             e = _END[tag].search(page, at)
             at = e.end() if e else n
             continue
-        stack.append(len(nodes) - 1)
+        if len(stack) < DEEPEST:
+            stack.append(len(nodes) - 1)
+            open_[tag] = open_.get(tag, 0) + 1
     return nodes, chunks
 
 
@@ -139,20 +174,24 @@ HINTS = [
 _HINTS = [re.compile(h) for h in HINTS]
 GROUPS = [_set(s) for s in ("html body", "article main", "nav menu", "header", "footer", "aside", "form fieldset input label", "p", "h1", "h2 h3 h4 h5 h6 hgroup", "ul ol dl", "li dt dd", "div section center", "a", "b i em strong u span font small code mark", "table tbody tr td th", "blockquote pre figure figcaption", "dialog details summary address")]
 _GROUP = {t: k for k, g in enumerate(GROUPS) for t in g}
-KINDS = 4  # inline; text blocks; containers; those that name a part of a page
-_KIND = {t: 0 for t in INLINE} | dict.fromkeys("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split(), 1) | dict.fromkeys("nav header footer aside form main article dialog".split(), 3)
-FEATURES = len(GROUPS) + len(HINTS) + 9
+KINDS = 5  # inline; text blocks; containers; those that name a part of a page; headings
+_KIND = {t: 0 for t in INLINE} | dict.fromkeys("p li blockquote pre td th dt dd figcaption".split(), 1) | dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), 4) | dict.fromkeys("nav header footer aside form main article dialog".split(), 3)
+# What a page's owner writes at its foot, in any language.
+_OWNER = re.compile(r"©|&copy;|&#169;|\(c\) ?\d{4}|copyright|all rights reserved", re.I)
+FEATURES = len(GROUPS) + len(HINTS) + 19
 
 
 def features(nodes: list[Node], chunks: list[tuple[int, str]]) -> np.ndarray:
-    own = [0] * len(nodes)
-    stops = [0] * len(nodes)
+    n_nodes = len(nodes)
+    own, stops, owner, parts = [0] * n_nodes, [0] * n_nodes, [False] * n_nodes, [0] * n_nodes
     before = 0
     for k, s in chunks:
         if k >= 0:
             n = len(s.strip())
             own[k] += n
             stops[k] += s.count(".") + s.count(",") + s.count("!") + s.count("?")
+            owner[k] = owner[k] or n > 3 and bool(_OWNER.search(s))
+            parts[k] += n > 0
     for node in nodes:
         node.chars = node.linked = 0
     for k in range(len(nodes) - 1, -1, -1):
@@ -164,6 +203,13 @@ def features(nodes: list[Node], chunks: list[tuple[int, str]]) -> np.ndarray:
             nodes[node.parent].chars += node.chars
             nodes[node.parent].linked += node.linked
     total = max(1, nodes[0].chars)
+    under = list(stops)
+    prose = [own[k] > 60 and 40 * stops[k] > own[k] / 4 for k in range(n_nodes)]
+    paragraphs = [0] * n_nodes  # children that read like prose
+    for k in range(n_nodes - 1, 0, -1):
+        under[nodes[k].parent] += under[k]
+        owner[nodes[k].parent] = owner[nodes[k].parent] or owner[k] and nodes[k].chars > 0.5 * nodes[nodes[k].parent].chars
+        paragraphs[nodes[k].parent] += prose[k]
     x = np.zeros((len(nodes), FEATURES))
     cache: dict[str, list[int]] = {}
     g = len(GROUPS)
@@ -185,6 +231,17 @@ def features(nodes: list[Node], chunks: list[tuple[int, str]]) -> np.ndarray:
         row[b + 6] = node.chars == 0
         row[b + 7] = min(node.depth, 12) / 12
         row[b + 8] = own[k] > 80
+        up = nodes[node.parent] if node.parent >= 0 else node
+        row[b + 9] = up.linked / max(1, up.chars)
+        row[b + 10] = min(1.0, under[k] / max(1, node.chars) * 20)
+        row[b + 11] = owner[k]
+        row[b + 12] = min(paragraphs[k], 4) / 4
+        row[b + 13] = min(paragraphs[node.parent], 4) / 4 if node.parent >= 0 else 0
+        row[b + 14] = node.chars / max(1, up.chars)
+        row[b + 15] = min(parts[k], 6) / 6
+        row[b + 16] = math.log1p(own[k]) / 5
+        row[b + 17] = own[k] / total
+        row[b + 18] = own[k] > 0.6 * node.chars > 0 and node.kids > 0
         before += own[k]
     return x
 
@@ -220,11 +277,11 @@ class Model:
         return w / (1 + w)
 
 
-def train(pages: list[str], steps: int = 120, l2: float = 2e-4) -> Model:
+def train(pages: list[str], steps: int = 100, l2: float = 1e-4) -> Model:
     """Weights and potentials of the greatest likelihood for pages whose elements are labelled (data-y)."""
     trees = []
     for page in pages:
-        nodes, chunks = parse(page)
+        nodes, chunks = parse(page, "data-y")
         y = [max(0, v.label) for v in nodes]
         trees.append((nodes, features(nodes, chunks), np.array(y)))
     model = Model(np.zeros(FEATURES), np.zeros((KINDS, 2, 2)))
@@ -244,121 +301,154 @@ def train(pages: list[str], steps: int = 120, l2: float = 2e-4) -> Model:
             np.add.at(gp, k, joint)
         return [gw / count + l2 * model.weights, gp / count + l2 * model.pairs]
 
-    adam(grad, [model.weights, model.pairs], steps, 0.08)
+    adam(grad, [model.weights, model.pairs], steps, 0.12)
     return model
 
 
-def labelled_page(rng: random.Random) -> str:
-    """A page with data-y="1" on the elements whose text, or most of whose text, is the article's."""
-    word = lambda: "".join(rng.choice("aeiounrtslmdcéü") for _ in range(rng.randint(2, 9)))
-
-    def words(a: int, b: int) -> str:
-        return " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
-
-    def prose(a: int = 1, b: int = 8) -> str:
-        return " ".join(words(2, 18) + rng.choice([".", ".", "!", "?", ", " + word() + "."]) for _ in range(rng.randint(a, b)))
-
-    def el(tag: str, body: str, y: int, names: str = "") -> str:
-        how = rng.choice(["class", "class", "id"])
-        return f'<{tag} data-y="{y}"' + (f' {how}="{names}"' if names else "") + f">{body}</{tag}>"
-
-    pick = rng.choice
-    links = lambda y=0, n=None: "".join(el("li", el("a", words(1, 3), y), y) for _ in range(n or rng.randint(2, 9)))
-
-    def paragraph() -> str:
-        text = prose(1, pick([1, 3, 6, 12]))
-        if rng.random() < 0.25:
-            text += " " + el(pick(["b", "em", "strong", "a", "code", "i"]), words(1, 5), 1) + " " + prose(1, 2)
-        if rng.random() < 0.15:
-            return f'<p data-y="1"><b data-y="1">{text}<br>'  # never closed
-        if rng.random() < 0.1:
-            return el("p", words(1, 3) + ".", 1)
-        return el("p", text, 1)
-
-    def inner() -> str:
+#: Ways to build a page: elements named by HTML; classes and ids that say what they hold; ones that don't; layout
+#: tables; text parted by line breaks.
+LAYOUTS = ("semantic", "named", "unnamed", "table", "breaks")
+
+
+class Generator:
+    """Writes pages whose elements are labelled (data-y): 1 where the text, or most of it, is the article's."""
+
+    def __init__(self, rng: random.Random, layout: str):
+        self.rng, self.pick, self.layout = rng, rng.choice, layout
+        self.loud = rng.random() < 0.12
+        self.codes = iter(rng.sample(range(10, 999), 300))
+
+    def words(self, a: int, b: int) -> str:
+        r = self.rng
+        return " ".join("".join(r.choice("aeiounrtslmdcéü") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b))).capitalize()
+
+    def prose(self, a: int = 1, b: int = 8) -> str:
+        loud = self.rng.random() < (0.9 if self.loud else 0.05)  # texts without full stops are articles too
+        return " ".join(self.words(2, 18) + ("" if loud else self.pick([".", ".", "!", "?", ", " + self.words(1, 3).lower() + "."])) for _ in range(self.rng.randint(a, b)))
+
+    def el(self, tag: str, body: str, y: int, *names: str, sure: bool = False) -> str:
+        """An element; of its names one is taken (surely, or now and then), or a code that tells nothing."""
+        name = ""
+        if self.layout == "unnamed":
+            name = f"{self.pick('abcxz')}{next(self.codes, 7)}" if self.rng.random() < 0.6 else ""
+        elif names and (sure or self.layout == "named" or self.rng.random() < 0.5):
+            name = self.pick(names)
+        how = self.pick(["class", "class", "id"])
+        return f'<{tag} data-y="{y}"' + (f' {how}="{name}"' if name else "") + f">{body}</{tag}>"
+
+    def tag(self, *named: str) -> str:
+        """One of the elements that HTML has for this, or a plain one."""
+        return self.pick(named) if self.layout == "semantic" or self.layout == "named" and self.rng.random() < 0.4 else "div"
+
+    def links(self, a: int = 2, b: int = 9) -> str:
+        n = self.rng.randint(a, b)
+        one = lambda: self.el("a", self.words(1, 3), 0)
+        return self.el("ul", "".join(self.el("li", one(), 0) for _ in range(n)), 0) if self.rng.random() < 0.6 else self.pick([" | ", " ", "<br>"]).join(one() for _ in range(n))
+
+    def paragraph(self) -> str:
+        text = self.prose(1, self.pick([1, 3, 6, 12]))
+        if self.rng.random() < 0.3:
+            text += " " + self.el(self.pick(["b", "em", "strong", "a", "code", "i", "span"]), self.words(1, 6), 1) + " " + self.prose(1, 2)
+        if self.rng.random() < 0.1:
+            text = self.el(self.pick(["b", "i", "font", "span"]), text, 1)
+        if self.rng.random() < 0.08:
+            return f'<p data-y="1">{text}'  # its end may be left out
+        plain = self.layout in ("unnamed", "table") and self.rng.random() < 0.5
+        return self.el("div" if plain else "p", self.words(1, 4) + self.pick([".", ""]) if self.rng.random() < 0.25 else text, 1)
+
+    def body(self) -> str:
+        n = self.rng.choice([1, 1, 2, 3, 5, 9])
+        if self.layout == "breaks" or self.layout == "table" and self.rng.random() < 0.4:
+            return self.pick(["<br><br>", "<br>", "<br />\n<br />"]).join(self.prose(1, 6) for _ in range(n))
         parts = []
-        for _ in range(rng.randint(1, 9)):
-            r = rng.random()
-            if r < 0.72:
-                parts.append(paragraph())
-            elif r < 0.8:
-                parts.append(el(pick(["h2", "h3"]), words(2, 7), 1))
-            elif r < 0.86:
-                parts.append(el(pick(["ul", "ol"]), "".join(el("li", prose(1, 2), 1) for _ in range(rng.randint(2, 5))), 1))
-            elif r < 0.91:
-                parts.append(el("blockquote", paragraph() if rng.random() < 0.5 else prose(1, 3), 1))
-            elif r < 0.94:
-                parts.append(el("figure", el("figcaption", words(3, 9), 1), 1))
-            elif r < 0.96:
-                parts.append(el("pre", words(4, 20), 1))
+        for _ in range(n):
+            kind = self.rng.random()
+            if kind < 0.74:
+                parts.append(self.paragraph())
+            elif kind < 0.81:
+                parts.append(self.el(self.pick(["h2", "h3", "h4"]), self.words(2, 7), 1))
+            elif kind < 0.87:
+                parts.append(self.el(self.pick(["ul", "ol"]), "".join(self.el("li", self.prose(1, 2), 1) for _ in range(self.rng.randint(2, 5))), 1))
+            elif kind < 0.91:
+                parts.append(self.el("blockquote", self.paragraph(), 1))
+            elif kind < 0.94:
+                parts.append(self.el(self.tag("figure"), self.el(self.tag("figcaption"), self.words(3, 9), 1), 1))
+            elif kind < 0.96:
+                parts.append(self.el("pre", self.words(4, 20), 1))
             else:
-                parts.append(el("table", el("tr", el("td", words(1, 4), 1) + el("td", words(1, 4), 1), 1), 1))
-            if rng.random() < 0.12:
-                parts.append(junk(True))
+                parts.append(self.el("table", "".join(self.el("tr", self.el("td", self.words(1, 4), 1) * 2, 1) for _ in range(3)), 1))
+            if self.rng.random() < 0.08:
+                parts.append(self.junk())
         return "".join(parts)
 
-    def junk(within: bool = False) -> str:
-        kind = rng.randrange(13)
-        text = lambda: prose(1, pick([1, 2, 4]))
-        p = lambda: pick([el("p", text(), 0), text(), el("div", text(), 0)])
+    def block(self) -> str:
+        """A little text that isn't the article's."""
+        return self.pick([self.el("p", self.prose(1, 2), 0), self.prose(1, 2), self.el("div", self.prose(1, 2), 0), self.el("a", self.words(2, 8), 0)])
+
+    def junk(self) -> str:
+        kind = self.rng.randrange(8)
+        if self.layout in ("unnamed", "breaks", "table") and kind in (1, 3):
+            kind = 0  # nothing there would tell such text from the article's
         if kind == 0:
-            return el("nav", el("ul", links(), 0), 0, pick(["", "nav", "main-menu", "breadcrumb"]))
+            return self.el(self.tag("nav"), self.links(), 0, "nav", "main-menu", "breadcrumb", "pagination", "nav-list")
         if kind == 1:
-            return el("div", pick([p(), el("a", words(2, 8), 0), text()]), 0, pick(["ad", "ads", "advert", "ad-slot", "sponsored", "promo", "banner-ad", "advertisement"]))
+            return self.el("div", self.block(), 0, "ad", "ads", "advert", "ad-slot", "sponsored", "promo", "banner-ad", sure=True)
         if kind == 2:
-            return el(pick(["aside", "div", "section"]), el("h3", words(1, 4), 0) + pick([p() + p(), el("ul", links(), 0), p()]), 0, pick(["sidebar", "widget", "related", "related-posts", "side-column", "trending"]))
+            return self.el(self.tag("aside"), self.el(self.pick(["h3", "h4"]), self.words(1, 4), 0) + self.links(), 0, "sidebar", "widget", "related-posts", "side-column", "trending")
         if kind == 3:
-            return el("aside", pick([p(), el("h4", words(1, 3), 0) + el("ul", links(), 0)]), 0)
+            return self.el(self.tag("dialog", "section", "div"), self.block() + self.pick(["", "<button>ok</button>"]), 0, "cookie-banner", "notice", "consent", "newsletter", "gdpr", "modal", "popup", sure=True)
         if kind == 4:
-            return el(pick(["div", "section"]), p() + pick(["", "<button>ok</button>", el("a", words(1, 2), 0)]), 0, pick(["cookie-banner", "notice", "alert", "consent", "newsletter", "subscribe-box", "gdpr", "site-notice", "cookie-notice"]))
+            return self.el("form", self.el("label", self.words(1, 3), 0) + '<input type="text">' + self.pick(["", self.el("p", self.words(3, 9), 0)]) + "<button>go</button>", 0, "search", "login", "contact")
         if kind == 5:
-            return el("form", el("label", words(1, 3), 0) + '<input type="text">' + pick(["", el("p", words(3, 9), 0)]) + "<button>go</button>", 0, pick(["", "search", "login", "comment-form", "contact"]))
-        if kind in (6, 7) and not within:
-            one = lambda: pick([el("div", el("b", words(1, 2), 0) + el("p", text(), 0), 0, pick(["comment", "reply", "comment-body"])), el("li", el("p", text(), 0), 0, "comment"), el("p", text(), 0), el("article", el("p", text(), 0), 0, "comment")])
-            many = "".join(one() for _ in range(rng.randint(1, 7)))
-            return el(pick(["section", "div", "ol", "aside"]), pick(["", el("h2", words(1, 3), 0)]) + many, 0, pick(["comments", "comment-list", "disqus_thread", "responses", "reader-comments", "discussion"]))
-        if kind == 8:
-            return el("div", "".join(el("a", words(1, 2), 0) for _ in range(rng.randint(2, 5))), 0, pick(["share", "social", "share-buttons", "tags", "follow-us"]))
-        if kind == 9:
-            return el("ul", links(), 0, pick(["menu", "pagination", "breadcrumbs", "nav-list"]))
-        if kind == 10:
-            return f"<script>var t='{words(2, 6)}</p>';</script><style>.{word()}{{margin:0}}</style><noscript>{words(2, 6)}</noscript>"
-        if kind == 11:
-            return el("dialog" if rng.random() < 0.4 else "div", p(), 0, pick(["modal", "popup", "overlay", "disclaimer", "warning-box"]))
-        return "<!-- " + words(1, 4) + " -->"
-
-    several = lambda a, b: "".join(junk() for _ in range(rng.randint(a, b)))
-    title = el(pick(["h1", "h1", "h1", "h2"]), words(2, 9), 1)
-    if rng.random() < 0.2:
-        title = el("header", title, 1)
-    article = title * (rng.random() < 0.85) + inner()
-    shell = rng.random()
-    if shell < 0.5:
-        article = el("article", article, 1, pick(["", "", "", "post", "entry"]))
-    elif shell < 0.8:
-        article = el(pick(["div", "section"]), article, 1, pick(["content", "post-body", "article", "entry-content", "main-text", "story", "post"]))
-    elif shell < 0.9:
-        article = el("div", article, 1)
-    if rng.random() < 0.3:
-        article = el("main", article + junk() * (rng.random() < 0.4), 1, pick(["", "content", "main"]))
-    if rng.random() < 0.35:
-        article = el("div", article + junk() * (rng.random() < 0.5), 1, pick(["wrap", "container", "page", "content", "row", ""]))
-    head = f"<head><meta charset='utf-8'><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>track(0);</script></head>"
-    top = ""
-    if rng.random() < 0.4:
-        top = el(pick(["header", "header", "div"]), pick([words(1, 4), el("h1", words(1, 4), 0), el("p", words(2, 7), 0), ""]) + junk() * (rng.random() < 0.5), 0, pick(["header", "site-header", "masthead", "topbar"]))
-    if rng.random() < 0.6:
-        top += el("nav", el("ul", links(), 0), 0)
-    foot = ""
-    if rng.random() < 0.75:
-        foot = el(pick(["footer", "footer", "div"]), pick(["&copy; " + words(1, 3) + " &middot; " + prose(1, 3), el("p", prose(1, 3), 0), el("ul", links(), 0)]), 0, pick(["footer", "site-footer", "copyright"]))
-    return f'<!DOCTYPE html><html data-y="1">{head}<body data-y="1">{top}{several(0, 2)}{article}{several(0, 3)}{foot}</body></html>'
+            return self.el("div", " ".join(self.el("a", self.words(1, 2), 0) for _ in range(self.rng.randint(2, 5))), 0, "share", "social", "tags", "follow-us")
+        if kind == 6:
+            return f"<script>if (a<b) write('{self.words(2, 6)}');</script><style>.{self.words(1, 1)} {{color: red}}</style><!-- {self.words(1, 4)} -->"
+        return self.comments() if self.layout in ("semantic", "named") else ""
+
+    def comments(self) -> str:
+        one = lambda: self.el(self.pick(["div", "li", "article"]), self.el("b", self.words(1, 2), 0) + self.el("p", self.prose(1, 3), 0), 0, "comment", "reply", "comment-body")
+        heading = self.pick(["", self.el("h2", self.words(1, 3), 0)])
+        return f'<{(t := self.pick(["section", "div", "ol"]))} data-y="0" {self.pick(["class", "id"])}="{self.pick(["comments", "comment-list", "disqus_thread", "responses", "discussion"])}">' + heading + "".join(one() for _ in range(self.rng.randint(1, 6))) + f"</{t}>"
+
+    def footer(self) -> str:
+        own = self.pick(["&copy; ", "© ", "Copyright ", "(c) 2001 "]) + self.words(1, 3) + " " + str(self.rng.randint(1995, 2025)) + self.pick(["", " " + self.prose(1, 2)])
+        return self.pick([own, self.el("p", own, 0), own + self.links(2, 5), self.links(3, 8)])
+
+    def page(self) -> str:
+        rng, el = self.rng, self.el
+        several = lambda a, b: [self.junk() for _ in range(rng.randint(a, b))]
+        title = el(self.pick(["h1", "h1", "h2"]), self.words(2, 9), 1) if rng.random() < 0.85 else ""
+        if title and rng.random() < 0.2:
+            title = el(self.tag("header"), title, 1)
+        article = title + self.body()
+        if rng.random() < 0.85 or self.layout == "table":
+            article = el(self.tag("article", "article", "section"), article, 1, "content", "post-body", "article", "entry-content", "main-text", "story", "post")
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            beside = self.junk() if rng.random() < 0.3 else ""
+            article = el(self.tag("main", "div"), self.pick([article + beside, beside + article]), 1, "wrap", "container", "page", "content", "row", "inner")
+        head = el(self.tag("header"), self.pick([self.words(1, 4), el("h1", self.words(1, 4), 0), self.links()]), 0, "header", "site-header", "masthead", "topbar") if rng.random() < 0.5 else ""
+        menu = el(self.tag("nav"), self.links(3, 9), 0, "nav", "menu") if rng.random() < 0.6 else ""
+        foot = el(self.tag("footer"), self.footer(), 0, "footer", "site-footer", "copyright", "colophon") if rng.random() < 0.75 else ""
+        if self.layout == "table":
+            cells = el("td", self.links(), 0) + el("td", article, 1) + (el("td", self.links(), 0) if rng.random() < 0.4 else "")
+            rows = [el("tr", el("td", self.pick([self.words(1, 4), self.links()]), 0), 0), el("tr", cells, 1)]
+            if foot:
+                rows.append(el("tr", el("td", self.footer(), 0), 0))
+            inside = el("table", "".join(rows[rng.random() < 0.3 :]), 1)
+        else:
+            inside = "".join([head, menu, *several(0, 2), article, *several(0, 2), self.comments() if rng.random() < 0.25 else "", foot])
+        return f'<html data-y="1"><head><title>{self.words(2, 8)}</title></head><body data-y="1">{inside}</body></html>'
+
+
+def labelled_page(rng: random.Random, layout: str | None = None) -> str:
+    return Generator(rng, layout or rng.choice(LAYOUTS)).page()
 
 
 @functools.lru_cache(4)
-def fitted(pages: int = 260, seed: int = 11) -> Model:
+def fitted(pages: int = 320, seed: int = 11, layouts: tuple[str, ...] = LAYOUTS) -> Model:
+    """The model learned from generated pages of some layouts, in equal parts."""
     rng = random.Random(seed)
-    return train([labelled_page(rng) for _ in range(pages)])
+    return train([labelled_page(rng, layouts[k % len(layouts)]) for k in range(pages)])
 
 
 def main_text(page: str | None, model: Model) -> str:
