@@ -17,14 +17,11 @@ from pyspark.sql import functions as F
 
 from loomrank.operators import resume
 
+from . import pdf
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_ESCAPES = {"n": 10, "r": 13, "t": 9, "b": 8, "f": 12, "(": 40, ")": 41, "\\": 92}
-_OBJECT, _LOOSE = re.compile(r"\b\d+\s+\d+\s+obj\b"), re.compile(r"(\d+)\s+(\d+)\s+obj\s*(<<.*?>>)\s*stream\r?\n", re.S)
-_BLOCK, _SHOW_ALL = re.compile(r"BT.*?ET", re.S), re.compile(r"\[((?:[^\[\]]|\[[^\]]*\])*)\]\s*TJ")
-_OPERAND = r"\((?:\\.|[^\\()])*\)|<[0-9a-fA-F\s]+>"
-_PIECE, _SHOW = re.compile(_OPERAND + r"|-?\d+(?:\.\d+)?", re.S), re.compile(rf"({_OPERAND})\s*(?:Tj|'|\")", re.S)
+# A run of seven words or more in the open bytes of a file.
 _RUNS = re.compile(r"[A-Za-z0-9@._+()&,:%$#'\"][A-Za-z0-9@._+\-/()&,:%$#'\"]{1,}(?:\s+[A-Za-z0-9@._+\-/()&,:%$#'\"]{2,}){6,}")
-GAP = -120
 
 
 def docx_text(data: bytes) -> str:
@@ -38,108 +35,15 @@ def docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x) or " ".join(t.text or "" for t in root.iter(f"{W}t"))
 
 
-def decode(data: bytes) -> str:
-    """Bytes of a PDF string: UTF-16 if it is marked or looks so, else UTF-8, else Latin-1."""
-    if data[:2] == b"\xfe\xff":
-        return data[2:].decode("utf-16-be", "replace")
-    if len(data) >= 4 and data.count(0) / len(data) >= 0.25:
-        return data.decode("utf-16-be", "replace")
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
-
-
-def literal(raw: str) -> str:
-    """The text of a PDF string in parentheses."""
-    out, at = bytearray(), 0
-    for m in re.finditer(r"\\(?:([0-7]{1,3})|(\r\n|.|\n|\r))", raw, re.S):
-        out += raw[at : m.start()].encode("latin-1", "replace")
-        at = m.end()
-        if m[1]:
-            out.append(int(m[1], 8) & 0xFF)
-        elif m[2] not in ("\n", "\r", "\r\n"):
-            out.append(_ESCAPES.get(m[2], ord(m[2]) & 0xFF))
-    return decode(bytes(out + raw[at:].rstrip("\\").encode("latin-1", "replace")))
-
-
-def _operand(token: str) -> str:
-    if token[0] == "(":
-        return literal(token[1:-1])
-    digits = re.sub("[^0-9a-fA-F]", "", token)
-    return decode(bytes.fromhex(digits + "0" * (len(digits) % 2)))
-
-
-def shown(content: str) -> str:
-    """The text that a content stream's operators show."""
-    out = []
-    for block in _BLOCK.findall(content):
-        for body in _SHOW_ALL.findall(block):
-            for token in _PIECE.findall(body):
-                out.append(_operand(token) if token[0] in "(<" else " " if float(token) < GAP else "")
-            out.append(" ")
-        out += [x for token in _SHOW.findall(block) for x in (_operand(token), " ")]
-    return "".join(out)
-
-
-def _length(head: str) -> int:
-    m = re.search(r"/Length\s+(\d+)\b", head)
-    return int(m[1]) if m else 0
-
-
-def streams(source: str) -> list[tuple[str, str]]:
-    """(dictionary, data) of each object with a stream."""
-    out, at = [], 0
-    while m := _OBJECT.search(source, at):
-        end = source.find("endobj", m.end())
-        if end < 0:
-            break
-        at, text = end + 6, source[m.end() : end]
-        found = re.search(r"stream(\r\n|\n|\r)", text)
-        if not found:
-            continue
-        close = text.rfind(">>", 0, found.start())
-        head = text[text.rfind("<<", 0, max(close, 0)) : close + 2] if close >= 0 else ""
-        n = _length(head)
-        if n and found.end() + n <= len(text):
-            out.append((head, text[found.end() : found.end() + n]))
-        elif (stop := text.find("endstream", found.end())) >= 0:
-            out.append((head, re.sub(r"\r?\n\Z", "", text[found.end() : stop])))
-    return out
-
-
-def loose_streams(source: str) -> list[tuple[str, str]]:
-    """As streams, for files whose objects don't end well."""
-    out, at = [], 0
-    while m := _LOOSE.search(source, at):
-        n = _length(m[3])
-        end = m.end() + n if n and m.end() + n <= len(source) else source.find("endstream", m.end())
-        if end < 0:
-            break
-        out.append((m[3], re.sub(r"\r?\n\Z", "", source[m.end() : end])))
-        after = source.find("endstream", end)
-        at = after + 9 if after >= 0 else end
-    return out
-
-
-def _inflated(head: str, data: str) -> str | None:
-    raw = data.encode("latin-1", "replace")
-    if not re.search(r"/FlateDecode\b", head):
-        return data
-    for bits in (15, -15):
-        try:
-            return zlib.decompressobj(bits).decompress(raw).decode("latin-1")
-        except zlib.error:
-            continue
-    return None
-
-
 def pdf_texts(data: bytes) -> list[str]:
-    """What several ways of reading a PDF find: streams of well-formed and of loose objects, operators in the open, runs
-    of readable words."""
-    source = data.decode("latin-1")
-    out = ["".join(shown(t) for head, raw in found if (t := _inflated(head, raw)) is not None) for found in (streams(source), loose_streams(source))]
-    return [*out, shown(source), " ".join(_RUNS.findall(source))]
+    """What several ways of reading a PDF find: its pages as they are laid out and in the order of showing, all streams
+    that show text, operators in the open, runs of readable words."""
+    document = pdf.Document(data)
+    pages = pdf.page_pieces(document)
+    out = ["\n".join(pdf.laid_out(p) for p in pages), "\n".join(pdf.flow(p) for p in pages), pdf.flow(pdf.stray_pieces(document))]
+    if b"BT" in data:
+        out.append(pdf.flow(list(pdf.Interpreter().run(data))))
+    return [*out, " ".join(_RUNS.findall(data.decode("latin-1")))]
 
 
 def kind_of(path: Column, mime: Column | None = None) -> Column:

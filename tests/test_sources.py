@@ -2,10 +2,12 @@
 
 import io
 import json
+import random
 import zipfile
 import zlib
 
 from loomrank.sources import files, pages, payloads
+from loomrank.sources import pdf as pdf_
 
 ROW = '<tr><td><a href="/posting/{0}?jobId={0}">{1}</a></td><td>{2}</td><td>Toronto</td><td>Builds things for people every day</td></tr>'
 TABLE = "<html><body><nav><a href='/home'>Home page of jobs</a></nav><table>" + "".join(ROW.format(12345 + k, f"Software Developer {k}", f"Acme {k} Labs") for k in range(5)) + "</table></body></html>"
@@ -70,7 +72,34 @@ def test_files(spark):
     assert got["a.txt"]["text"] == "Python developer" and got["b.docx"]["text"] == "Jane\nKnows SQL"
     assert "university" in got["c.pdf"]["text"] and got["c.pdf"]["error"] is None
     assert got["d.docx"]["text"] is None and "DOCX" in got["d.docx"]["error"] and got["e.pdf"]["text"] is None and got["f.txt"]["text"] == ""
-    assert files.literal(r"a\(b\)\101") == "a(b)A" and files.decode(b"\xfe\xff\x00a") == "a"
+    assert pdf_.Lexer(rb"(a\(b\)\101(c)\n)").next() == b"a(b)A(c)\n" and pdf_.decode(b"\xfe\xff\x00a") == "a"
+
+
+def test_pdf_pages():
+    """A file with a tree of pages, a length in another object, a font with its own codes, an object stream and moves."""
+    cmap = b"1 begincodespacerange <00> <ff> endcodespacerange 1 beginbfrange <01> <1a> <0061> endbfrange 1 beginbfchar <20> <0020> endbfchar"
+    content = b"BT /F1 10 Tf 1 0 0 1 50 700 Tm <0102> Tj 30 0 Td <03> Tj 0 -12 Td [<04> -300 <05> 20 <06>] TJ ET q 1 0 0 1 0 -100 cm BT /F1 10 Tf 50 700 Td <07> Tj ET Q BI /W 1 ID (x) Tj EI"
+    packed = zlib.compress(content)
+    inner = b"10 0 11 26 << /F1 12 0 R >>            << /Type /Page /Parent 2 0 R /Contents 4 0 R >>"
+    first = inner.index(b"<<")
+    inner = b"10 0 11 %d " % (inner.index(b"<< /Type") - first) + inner[first - 0 :]
+    first = inner.index(b"<<")
+    parts = [
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"2 0 obj << /Type /Pages /Kids [11 0 R] /Resources << /Font 10 0 R >> >> endobj",
+        b"4 0 obj << /Length 5 0 R /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream endobj", b"5 0 obj %d endobj" % len(packed),
+        b"6 0 obj << /Type /ObjStm /N 2 /First %d /Length 9999 >> stream\n" % first + inner + b"\nendstream endobj",
+        b"12 0 obj << /Type /Font /Subtype /TrueType /ToUnicode 13 0 R /FirstChar 0 /Widths [0 500 500 500 500 500 500 500] >> endobj", b"13 0 obj << >> stream\n" + cmap + b"\nendstream endobj",
+    ]
+    pages_ = pdf_.page_pieces(pdf_.Document(b"%PDF-1.5\n" + b"\n".join(parts)))
+    assert len(pages_) == 1 and [p.text for p in pages_[0]] == ["ab", "c", "d ef", "g"]
+    assert pdf_.laid_out(pages_[0]) == "ab c\nd ef\ng" and pages_[0][3].y == 600
+    gen = random.Random(1)
+    whole = b"%PDF-1.5\n" + b"\n".join(parts)
+    for _ in range(150):  # damaged files give something or ValueError, nothing else
+        cut = bytearray(whole)
+        for _ in range(gen.randint(1, 12)):
+            cut[gen.randrange(len(cut))] = gen.randrange(256)
+        files.pdf_texts(bytes(cut[: gen.randint(1, len(cut))]))
 
 
 def test_form_fields():
