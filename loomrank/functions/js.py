@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is named, also inside functions of arrays."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))
+
+
+def constant(value, kind: str) -> Column:
+    """A list or map as one literal: the optimiser sees two nodes, whatever its size, and works it out once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def js_round(x: Column | str) -> Column:
     """Rounds halves up, also below zero."""
     return F.floor(col(x) + 0.5)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .js import SPACE, blank, col, span
+from .js import SPACE, blank, col, let, span
 
 TEXTS = "array<string>"
+#: A character of a token.
+TOKEN = r"[a-z0-9#+.\-/]"
 
 
 def normalize(text: Column | str) -> Column:
     """White space of any kind as one space, none at the ends; null as empty."""
-    return F.trim(F.regexp_replace(blank(text, ""), f"{SPACE}+", " "))
+    # a space that stands alone needs no replacing
+    return F.trim(F.regexp_replace(blank(text, ""), f"(?! (?!{SPACE})){SPACE}+", " "))
 
 
 def normalize_token(text: Column | str) -> Column:
@@ -26,18 +29,18 @@ def stem(word: Column | str) -> Column:
 
 
 def tokenize(text: Column | str) -> Column:
-    parts = F.split(F.lower(normalize(text)), r"[^a-z0-9#+.\-/]+")
-    return F.filter(parts, lambda x: x != "")
+    return F.regexp_extract_all(F.lower(blank(text, "")), F.lit(f"{TOKEN}+"), 0)
 
 
 def ngrams(tokens: Column | str, least: int, most: int) -> Column:
     """All runs of least to most tokens, the short ones first, each size in the order of the text."""
-    t = col(tokens)
 
-    def of(n: int) -> Column:
-        return F.transform(span(1, F.size(t) - n + 1), lambda i: F.concat_ws(" ", F.slice(t, i, F.lit(n))))
 
-    return F.concat(*(of(n) for n in range(least, most + 1)))
+    def of(t: Column, n: int) -> Column:
+        heads = F.slice(t, F.lit(1), F.greatest(F.lit(0), F.size(t) - n + 1))
+        return t if n == 1 else F.transform(heads, lambda x, i: F.concat_ws(" ", x, *(F.get(t, i + k) for k in range(1, n))))
+
+    return let(tokens, lambda t: F.concat(*(of(t, n) for n in range(least, most + 1))))
 
 
 def sentences(text: Column | str) -> Column:
@@ -71,9 +74,14 @@ def clean_noise(text: Column | str) -> Column:
     return normalize(F.regexp_replace(F.regexp_replace(blank(text, ""), r"(?i)(?<![A-Za-z0-9_])(?:launch|open_in_new|more_vert|chevron_(?:left|right)|arrow_(?:back|forward))(?![A-Za-z0-9_])", " "), r"[_|]+", " "))
 
 
+#: An ending of a token of four characters or more, where tokens stand between spaces.
+ENDING = r"(?:(?<=[^ ])ing|edly|(?<=[^ ]{2})(?:ed|ly|es)|(?<=[^ ]{3})s)(?![^ ])"
+
+
 def search_words(text: Column | str) -> Column:
-    """Stemmed tokens of two letters or more."""
-    return F.filter(F.transform(tokenize(text), lambda t: stem(normalize_token(t))), lambda x: F.length(x) >= 2)
+    """Stemmed tokens of two letters or more. Endings are cut from all tokens at once."""
+    spaced = F.regexp_replace(F.lower(blank(text, "")), r"[^a-z0-9#+.\-/]+", " ")
+    return F.regexp_extract_all(F.regexp_replace(spaced, ENDING, ""), F.lit("[^ ]{2,}"), 0)
 
 
 # Number words.
@@ -88,9 +96,9 @@ def word_to_number(word: Column | str) -> Column:
 
 
 def hash32(text: Column | str) -> Column:
-    """FNV-1a of 32 bits over code units; texts of code points below 2**16 only."""
-    t = col(text)
-    codes = F.transform(span(1, F.length(t)), lambda i: F.ascii(F.substr(t, i, F.lit(1))).cast("long"))
+    """FNV-1a of 32 bits over the UTF-16 code units of a text."""
+    units = F.hex(F.encode(col(text), "UTF-16BE"))
+    codes = F.transform(span(1, (F.length(units) / 4).cast("int")), lambda i: F.conv(F.substr(units, i * 4 - 3, F.lit(4)), 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomrank.functions.js import blank, col, js_round, unique, whole_word
+from loomrank.functions.js import ascii_bounds, blank, col, constant, js_round, let, unique, whole_word
 from loomrank.functions.lexicon import CATEGORY_FACTORS, EQUIVALENTS, FACULTIES, FIELD_ALIASES, FIELD_PATTERNS, SKILLS, UNTECHNICAL, Skill
 from loomrank.functions.text import normalize_token
 
@@ -33,16 +33,13 @@ def lookup(skills: Sequence[Skill] = SKILLS) -> dict[str, str]:
 
 
 def _map(pairs: Mapping[str, object], kind: str) -> Column:
-    if not pairs:
-        return F.expr(f"cast(map() as map<string,{kind}>)")
-    return F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), F.lit(v).cast(kind) if not isinstance(v, Column) else v)))
+    return constant(pairs, f"map<string,{kind}>")
 
 
 def resolve(value: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """A skill's key: the value itself if it is one, else the key that has it as an alias, else the value."""
-    raw = F.trim(blank(value, ""))
-    keys = F.array(*(F.lit(s.key) for s in skills))
-    return F.when(F.array_contains(keys, raw), raw).otherwise(F.coalesce(_map(lookup(skills), "string")[normalize_token(raw)], raw))
+    keys, known = constant([s.key for s in skills], "array<string>"), _map(lookup(skills), "string")
+    return let(F.trim(blank(value, "")), lambda raw: F.when(F.array_contains(keys, raw), raw).otherwise(F.coalesce(known[normalize_token(raw)], raw)))
 
 
 def resolve_all(values: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
@@ -51,40 +48,48 @@ def resolve_all(values: Column | str, skills: Sequence[Skill] = SKILLS) -> Colum
 
 def canonical(values: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """The set of skills that some values stand for, by key and by alias."""
-    v = F.coalesce(col(values), F.array().cast("array<string>"))
-    by_alias = F.transform(v, lambda x: _map(lookup(skills), "string")[normalize_token(x)])
-    return unique(F.concat(resolve_all(v, skills), by_alias))
+    known = _map(lookup(skills), "string")
+    both = lambda v: unique(F.concat(resolve_all(v, skills), F.transform(v, lambda x: known[normalize_token(x)])))
+    return let(F.coalesce(col(values), F.array().cast("array<string>")), both)
 
 
 def has_skill(owned: Column | str, key: Column, equivalents: Mapping[str, Sequence[str]] = EQUIVALENTS) -> Column:
     """Whether a set has the skill or one that counts for it."""
-    others = _map({k: F.array(*map(F.lit, v)) for k, v in equivalents.items()}, "array<string>")
+    others = _map({k: list(v) for k, v in equivalents.items()}, "array<string>")
     return F.array_contains(col(owned), key) | F.coalesce(F.arrays_overlap(col(owned), others[key]), F.lit(False))
 
 
 def _entries(skills: Sequence[Skill], own_key: bool) -> Column:
-    def aliases(s: Skill) -> Column:
+    def aliases(s: Skill) -> list[dict]:
         names = dict.fromkeys(token(a) for a in ((s.key, *s.aliases) if own_key else s.aliases) if token(a))
-        return F.array(*(F.struct(F.lit(a).alias("text"), F.lit(whole_word(a)).alias("pattern")) for a in names))
+        return [{"text": a, "pattern": whole_word(a)} for a in names]
 
-    return F.array(*(F.struct(F.lit(s.key).alias("key"), aliases(s).alias("aliases")) for s in skills))
+    return constant([{"key": s.key, "aliases": aliases(s)} for s in skills], "array<struct<key:string,aliases:array<struct<text:string,pattern:string>>>>")
 
 
 def hits(text: Column | str, skills: Sequence[Skill] = SKILLS, own_key: bool = True) -> Column:
     """How often each skill that occurs is named: array of (key, hits) in the dictionary's order. Overlapping aliases
     count each."""
-    low = F.lower(blank(text, ""))
-    named = lambda e: F.filter(e["aliases"], lambda a: F.contains(low, a["text"]))
-    count = lambda e: F.aggregate(named(e), F.lit(0), lambda n, a: n + F.regexp_count(low, a["pattern"]))
-    counted = F.transform(_entries(skills, own_key), lambda e: F.struct(e["key"].alias("key"), count(e).alias("hits")))
-    return F.filter(counted, lambda x: x["hits"] > 0)
+
+
+    def of(low: Column) -> Column:
+        named = lambda e: F.filter(e["aliases"], lambda a: F.contains(low, a["text"]))
+        count = lambda e: F.aggregate(named(e), F.lit(0), lambda n, a: n + F.regexp_count(low, a["pattern"]))
+        counted = F.transform(_entries(skills, own_key), lambda e: F.struct(e["key"].alias("key"), count(e).alias("hits")))
+        return F.filter(counted, lambda x: x["hits"] > 0)
+
+    return let(F.lower(blank(text, "")), of)
 
 
 def skills_in(text: Column | str, skills: Sequence[Skill] = SKILLS, own_key: bool = True) -> Column:
     """Keys of the skills that a text names. Without own_key only aliases count, as in postings' sentences."""
-    low = F.lower(blank(text, ""))
-    named = lambda e: F.exists(e["aliases"], lambda a: F.contains(low, a["text"]) & F.regexp_like(low, a["pattern"]))
-    return F.transform(F.filter(_entries(skills, own_key), named), lambda e: e["key"])
+
+
+    def of(low: Column) -> Column:
+        named = lambda e: F.exists(e["aliases"], lambda a: F.contains(low, a["text"]) & F.regexp_like(low, a["pattern"]))
+        return F.transform(F.filter(_entries(skills, own_key), named), lambda e: e["key"])
+
+    return let(F.lower(blank(text, "")), of)
 
 
 def skills_in_sentences(sentences: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
@@ -111,17 +116,15 @@ def mention_weights(text: Column | str, skills: Sequence[Skill] = SKILLS) -> Col
 
 def profile_fields(text: Column | str, fields: Mapping[str, Sequence[str]] = FIELD_ALIASES) -> Column:
     """Fields of study that a profile names anywhere, also inside words."""
-    low = F.lower(blank(text, ""))
-    table = F.array(*(F.struct(F.lit(k).alias("field"), F.array(*map(F.lit, v)).alias("aliases")) for k, v in fields.items()))
-    return F.transform(F.filter(table, lambda e: F.exists(e["aliases"], lambda a: F.contains(low, a))), lambda e: e["field"])
+    table = constant([{"field": k, "aliases": list(v)} for k, v in fields.items()], "array<struct<field:string,aliases:array<string>>>")
+    named = lambda low: F.filter(table, lambda e: F.exists(e["aliases"], lambda a: F.contains(low, a)))
+    return let(F.lower(blank(text, "")), lambda low: F.transform(named(low), lambda e: e["field"]))
 
 
 def posting_fields(text: Column | str, fields: Mapping[str, str] = FIELD_PATTERNS) -> Column:
     """Fields of study that a posting's sentence names."""
-    from loomrank.functions.js import listed, matches
-
-    low = F.lower(blank(text, ""))
-    return listed([(matches(low, p), k) for k, p in fields.items()])
+    table = constant([{"field": k, "pattern": ascii_bounds(p)} for k, p in fields.items()], "array<struct<field:string,pattern:string>>")
+    return let(F.lower(blank(text, "")), lambda low: F.transform(F.filter(table, lambda e: F.regexp_like(low, e["pattern"])), lambda e: e["field"]))
 
 
 def faculty(text: Column | str) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomrank.functions.js import SPACE, col, first_match, has_any, matches, unique
+from loomrank.functions.js import SPACE, col, first_match, has_any, let, matches, unique
 from loomrank.functions.lexicon import SKILLS, Skill
 from loomrank.functions.text import normalize, sentences, word_to_number
 
@@ -126,7 +126,7 @@ def eligibility(sents: Column | str) -> Column:
         s = F.lower(line)
         terms, years = _numbers(s, WORK_TERM), _numbers(s, YEAR)
         upper = matches(s, r"\bupper[- ]?year\b")
-        least, only = matches(s, RANGE_ELIGIBILITY.replace("minimum|at least", "at least|minimum")), matches(s, r"\bonly\b") | matches(s, r"\beligible\b")
+        least, only = matches(s, RANGE_ELIGIBILITY), matches(s, r"\bonly\b") | matches(s, r"\beligible\b")
         some = F.size(terms) > 0
         year = F.greatest(F.array_max(years), F.when(upper, 3))
         none = F.array().cast("array<int>")
@@ -135,7 +135,10 @@ def eligibility(sents: Column | str) -> Column:
             F.when(some & least, F.array_min(terms)).alias("term"), F.when(some & ~least & only, terms).otherwise(none).alias("allowed"), year.alias("year"), F.when(noted, line).alias("line")
         )
 
-    rows = F.transform(F.filter(col(sents), lambda s: counts(F.lower(s))), read)
+    return let(F.transform(F.filter(col(sents), lambda s: counts(F.lower(s))), read), _eligibility)
+
+
+def _eligibility(rows: Column) -> Column:
     return F.struct(
         F.array_max(rows["term"]).alias("min_work_term"),
         F.array_sort(F.array_distinct(F.flatten(rows["allowed"]))).alias("allowed_work_terms"),
@@ -149,11 +152,16 @@ def degree_fields(sents: Column | str) -> Column:
 
     def read(line: Column) -> Column:
         s = F.lower(line)
-        fields = F.when(matches(s, DEGREE), posting_fields(s)).otherwise(F.array().cast("array<string>"))
+        fields = posting_fields(s)
         must = (matches(s, DEGREE_REQUIRED) | matches(s, DEGREE_FOCUS)) & ~matches(s, DEGREE_PREFERRED)
         return F.struct(fields.alias("fields"), must.alias("must"), line.alias("line"))
 
-    rows = F.filter(F.transform(col(sents), read), lambda r: F.size(r["fields"]) > 0)
+    # few sentences are about degrees
+    about = F.transform(F.filter(col(sents), lambda s: matches(F.lower(s), DEGREE)), read)
+    return let(F.filter(about, lambda r: F.size(r["fields"]) > 0), _degree_fields)
+
+
+def _degree_fields(rows: Column) -> Column:
     of = lambda must: F.array_distinct(F.flatten(F.filter(rows, lambda r: r["must"] == must)["fields"]))
     required = of(True)
     return F.struct(
@@ -184,7 +192,7 @@ def parse(df: DataFrame, text: str = "text", bullets: str | None = None, skills:
     df = df.withColumn("preferred_sentences", F.array_except(wanted, "required_sentences"))
     df = df.withColumn("required_skills", skills_in_sentences("required_sentences", skills))
     df = df.withColumn("preferred_skills", F.array_except(skills_in_sentences("preferred_sentences", skills), "required_skills"))
-    low = F.lower("full_text")
+    df, low = df.withColumn("_low", F.lower("full_text")), F.col("_low")
     df = df.withColumns({"_signals": term_signals(low), "_duration": duration_value(text, "full_text"), "_who": eligibility("sentences"), "_fields": degree_fields("sentences")})
     terms = with_duration(F.col("_signals"), "_duration")
     flags = {
@@ -206,4 +214,4 @@ def parse(df: DataFrame, text: str = "text", bullets: str | None = None, skills:
     bullets_ = F.slice(unique(F.filter("sentences", lambda s: has_any(s, SUMMARY_WORDS))), 1, MOST_BULLETS)
     df = df.withColumns({"meta": meta, "summary_bullets": bullets_})
     cut = {c: F.slice(c, 1, MOST_LINES) for c in ("required_sentences", "preferred_sentences")}
-    return df.withColumns(cut).drop("_items", "_signals", "_duration", "_who", "_fields", "_terms", "sentences")
+    return df.withColumns(cut).drop("_items", "_low", "_signals", "_duration", "_who", "_fields", "_terms", "sentences")

@@ -129,6 +129,12 @@ def histogram(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(m >= 72).alias("strong"), F.count_if((m >= 45) & (m < 72)).alias("decent"), F.count_if(m < 45).alias("weak"))
 
 
+def overview(df: DataFrame) -> DataFrame:
+    """histogram and groups in one pass."""
+    m, hard = F.col("overall_match"), F.col("hard")
+    return df.agg(F.count_if(m >= 72).alias("strong"), F.count_if((m >= 45) & (m < 72)).alias("decent"), F.count_if(m < 45).alias("weak"), F.count_if(~hard & (m >= 68)).alias("strong_fit"), F.count_if(~hard & (m < 68)).alias("other"), F.count_if(hard).alias("blocked"))
+
+
 def reconsider(df: DataFrame, most: int = 3, tie: str = "row_index") -> DataFrame:
     return ranked(df.filter("overall_match >= 30 and overall_match < 50 and target_role_match >= 50"), most, tie=tie)
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomrank.functions.js import blank, col, unique, whole_word
+from loomrank.functions.js import blank, col, constant, let, unique, whole_word
 from loomrank.functions.lexicon import SKILLS, Skill
-from loomrank.functions.text import compact, ngrams, normalize, normalize_token, tokenize
+from loomrank.functions.text import compact, normalize, normalize_token, tokenize
 
 from .dictionary import token
 
@@ -26,15 +26,17 @@ _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
 ARTIFACTS = [
     (r"(?i)\bTECHNICALSKILLS\b", "TECHNICAL SKILLS"), (r"(?i)\bFRAMEWORKS\s*&\s*LIBRARIES\b", "Frameworks & Libraries"), (r"(?i)\bTailwin\s+d\b", "Tailwind"),
     (r"(?i)\bDocke\s+r\b", "Docker"), (r"(?i)\bSupabas\s+e\b", "Supabase"), (r"(?i)\bIntegrat\s+e\b", "Integrate"), (r"(?i)\bCollaborat\s+ed\b", "Collaborated"),
-    (r"(?i)\biterati\s+ve\b", "iterative"), (r"(?i)\bpri\s+nter\b", "printer"), (r"(?i)\bun\s+available\b", "unavailable"),
+    (r"(?i)\biterati\s+ve\b", "iterative"), (r"(?i)\bpri\s+nter\b", "printer"), (r"(?i)\bPantry\s+Pa\s+l\b", "Pantry Pal"), (r"(?i)\bFide\s+x\b", "Fidex"), (r"(?i)\bun\s+available\b", "unavailable"),
     (r"\b([A-Za-z]{4,})\s+([b-hj-z])\b", "$1$2"), (r"(?i)\b([A-Za-z]{4,})\s+(ed|er|ers|ing|ive|ion|ions|al|ally|ment|ments|able|ably)\b", "$1$2"), (r"\bun\s+([a-z]{4,})\b", "un$1"),
     (r"(?i)linkedin\.com/in/([a-z0-9]+)\s*-\s*([a-z0-9]+)\s*-\s*([a-z0-9]+)", "linkedin.com/in/$1-$2-$3"), (r"((?:^|[\n.])\s*)[xX]\s+(?=[A-Z])", "$1 - "), (r"\s+[xX]\s+(?=[A-Za-z])", " - "),
     (rf"(?i)\b({_MONTH}[a-z]*\s+\d{{4}})\s+[tT]\s+({_MONTH}[a-z]*\s+\d{{4}}|Present|Current)\b", "$1 - $2"), (r"\b([A-Za-z]{3,})\s+t\s+(University|College|Institute|School)\b", "$1 - $2"),
     (r"(?i)\bPresen-\b", "Present "), (r"\b([A-Za-z]{2,})\s*-\s*([A-Za-z]{2,})\b", "$1-$2"), (r"\b([A-Za-z]+(?:-[A-Za-z]+)+)\s*-\s*([A-Za-z]{2,})\b", "$1-$2"),
 ]
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+#: Three single letters or more with spaces between them are one word.
+SPACED = r"(?:\b(?=(?:[A-Za-z]\s+){2,}[A-Za-z]\b)|(?<!^)\G)([A-Za-z])\s+(?=[A-Za-z]\b)"
 PDF_REPAIRS = [
-    (CONTROLS, " "), (r"[•·▪◦●]", " "), (r"\s+[|]\s+", " | "), (r"\b(\d{3})\s+(\d)\b", "$1$2"), (r"\b([B-HJ-Z])\s+([a-z]{4,})\b", "$1$2"),
+    (CONTROLS, " "), (SPACED, "$1"), (r"[•·▪◦●]", " "), (r"\s+[|]\s+", " | "), (r"\b(\d{3})\s+(\d)\b", "$1$2"), (r"\b([B-HJ-Z])\s+([a-z]{4,})\b", "$1$2"),
     (r"\b(\d{4})\s+[tT]\s+(Present|Current)\b", "$1 - $2"), (r"\s+([,.;:!?])", "$1"), (r"\s{2,}", " "),
 ]
 
@@ -85,32 +87,31 @@ def _compact(text: str) -> str:
 def resume_skills(text: Column | str, skills: Sequence[Skill] = SKILLS, compat: bool = True) -> Column:
     """Keys of the skills that a resume gives any evidence of, sorted. compat: also where an alias with marks, or a long
     one, shows up in the text without separators, even inside other words."""
-    clean = normalize_resume(repair(text))
-    low = F.lower(normalize(clean))
-    squeezed = compact(low)
-    section = technical_section(clean)
-    grams = ngrams(tokenize(low), 1, 3)
-    items = F.transform(candidates(section), normalize_token)
-    variants = F.array_distinct(F.concat(items, F.transform(items, lambda i: F.when(F.endswith(i, F.lit("s")) & (F.length(i) > 4), F.regexp_replace(i, r"s\z", "")).otherwise(i)), F.transform(items, lambda i: F.regexp_replace(i, r"\s*/\s*", "/")), F.transform(items, lambda i: F.regexp_replace(i, r"\s*-\s*", "-"))))
-    squeezed_variants = F.transform(variants, compact)
-
-    def entry(s: Skill) -> Column:
-        rows = []
-        for a in s.aliases:
-            t = token(a)
-            if t:
-                c = _compact(t)
-                loose = compat and (any(x in "+#/.- " for x in a) or len(c) >= 6)
-                rows.append(F.struct(F.lit(t).alias("text"), F.lit(whole_word(t)).alias("pattern"), F.lit(c).alias("compact"), F.lit(loose).alias("loose")))
-        return F.struct(F.lit(s.key).alias("key"), F.array(*rows).alias("aliases"))
-
-    def shown(a: Column) -> Column:
-        named = F.contains(low, a["text"]) & (F.regexp_like(low, a["pattern"]) | F.array_contains(grams, a["text"]))
-        listed = F.array_contains(variants, a["text"]) | ((F.length(a["compact"]) >= 3) & F.array_contains(squeezed_variants, a["compact"]))
-        return named | listed | (a["loose"] & (a["compact"] != "") & F.contains(squeezed, a["compact"]))
-
-    found = F.filter(F.array(*map(entry, skills)), lambda e: F.exists(e["aliases"], shown))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda e: e["key"])))
+    rows = []
+    for s in skills:
+        names = {t: a for a in reversed(s.aliases) if (t := token(a))}
+        shown = [{"text": t, "pattern": whole_word(t), "compact": _compact(t), "loose": compat and (any(x in "+#/.- " for x in a) or len(_compact(t)) >= 6)} for t, a in names.items()]
+        rows.append({"key": s.key, "aliases": shown})
+    table = constant(rows, "array<struct<key:string,aliases:array<struct<text:string,pattern:string,compact:string,loose:boolean>>>>")
+
+    def views(clean: Column) -> Column:
+        items = F.transform(candidates(technical_section(clean)), normalize_token)
+        without_s = lambda i: F.when(F.endswith(i, F.lit("s")) & (F.length(i) > 4), F.regexp_replace(i, r"s\z", "")).otherwise(i)
+        tight = lambda mark: lambda i: F.regexp_replace(i, rf"\s*{mark}\s*", mark)
+        variants = let(items, lambda x: F.array_distinct(F.concat(x, F.transform(x, without_s), F.transform(x, tight("/")), F.transform(x, tight("-")))))
+        low = F.lower(normalize(clean))
+        return F.struct(low.alias("low"), compact(low).alias("squeezed"), F.concat(F.lit(" "), F.array_join(tokenize(low), " "), F.lit(" ")).alias("tokens"), variants.alias("variants"))
+
+    def found(v: Column) -> Column:
+        # a run of tokens is an n-gram of the text
+        gram = lambda a: F.contains(v["tokens"], F.concat(F.lit(" "), a["text"], F.lit(" "))) & (F.length(F.regexp_replace(a["text"], "[^ ]+", "")) < 3)
+        named = lambda a: F.contains(v["low"], a["text"]) & (F.regexp_like(v["low"], a["pattern"]) | gram(a))
+        squeezed = F.transform(v["variants"], compact)
+        listed = lambda a, sq: F.array_contains(v["variants"], a["text"]) | ((F.length(a["compact"]) >= 3) & F.array_contains(sq, a["compact"]))
+        loose = lambda a: a["loose"] & (a["compact"] != "") & F.contains(v["squeezed"], a["compact"])
+        return let(squeezed, lambda sq: F.transform(F.filter(table, lambda e: F.exists(e["aliases"], lambda a: named(a) | listed(a, sq) | loose(a))), lambda e: e["key"]))
+
+    return F.array_sort(F.array_distinct(let(let(normalize_resume(repair(text)), views), found)))
 
 
 def effective_skills(parsed: Column | str, excluded: Column | str, manual: Column | str) -> Column:
@@ -170,12 +171,13 @@ def is_resume(text: Column | str, strict: bool = False) -> Column:
     return ~is_metadata(t, q) & (q["words"] >= (40 if strict else 20)) & ~bad & enough
 
 
-def text_score(text: Column | str) -> Column:
-    """How good an extracted text is; 0 for what isn't a resume."""
+def text_score(text: Column | str, signs_of: Sequence[str] = ("github", "linkedin", "university")) -> Column:
+    """How good an extracted text is; 0 for what isn't a resume. signs_of: words that speak for one; add a school's name
+    to have it count."""
     t = blank(text, "")
     q = quality(t)
     signs = F.when(t.rlike(r"(?i)\b(education|experience|skills|projects|work|resume|developer|engineer|intern)\b"), 20).otherwise(0)
-    signs = signs + F.when(t.contains("@"), 10).otherwise(0) + F.when(t.rlike(r"(?i)\b(github|linkedin|university)\b"), 12).otherwise(0)
+    signs = signs + F.when(t.contains("@"), 10).otherwise(0) + F.when(t.rlike(rf"(?i)\b({'|'.join(signs_of)})\b"), 12).otherwise(0)
     loss = q["metadata"] * 10 + q["pdf_words"] * 8 + F.greatest(F.lit(0.0), q["slashed"] - q["words"] * 0.08) * 3.5 + F.when(q["digits"] > q["letters"] * 0.75, 25).otherwise(0)
     return F.when(is_resume(t), F.greatest(F.lit(0.0), q["alpha"] + q["long"] * 0.5 + signs - loss)).otherwise(0.0)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomrank.functions.js import blank, clamp, col, js_round, listed, matches, number, score
+from loomrank.functions.js import blank, clamp, col, constant, js_round, let, listed, matches, number, score
 from loomrank.functions.lexicon import SKILLS, Skill
 from loomrank.functions.text import normalize_token
 
@@ -49,24 +49,27 @@ def line_coverage(lines: Column | str, owned: Column, required: bool, skills: Se
     """How far the skills that lines name are owned, 0 to 100; null where no line names any. A line that offers a choice
     is satisfied by one of its skills."""
 
-    def read(line: Column) -> Column:
-        named = skills_in(F.trim(line), skills)
+    def read(line: Column, named: Column) -> Column:
         n, have = F.size(named), _count(named, lambda k: has_skill(owned, k))
         choice = matches(F.lower(line), r"\bor\b|and/or|/") & (n > 1)
         part = F.when(n == 0, 0.0).when(choice, (have > 0).cast("double")).otherwise(have / n)
         weight = F.when(n > 0, (2.2 if required else 1.1) + F.least(F.lit(0.8), n * 0.14)).otherwise(0.0)
         return F.struct(weight.alias("weight"), part.alias("part"))
 
-    rows = F.transform(F.coalesce(col(lines), _none()), read)
-    total = _sum(rows, lambda r: r["weight"])
-    return F.when(total > 0, _sum(rows, lambda r: r["weight"] * r["part"]) / total * 100)
+    def of(rows: Column) -> Column:
+        total = _sum(rows, lambda r: r["weight"])
+        return F.when(total > 0, _sum(rows, lambda r: r["weight"] * r["part"]) / total * 100)
+
+    return let(F.transform(F.coalesce(col(lines), _none()), lambda line: let(skills_in(F.trim(line), skills), lambda named: read(line, named))), of)
 
 
 def skill_weights(required: Column, preferred: Column, text: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """Array of (key, weight): what each skill of a posting counts. required, preferred: resolved keys."""
-    mentions = mention_weights(text, skills)
-    known = F.array(*(F.lit(s.key) for s in skills))
+    known = constant([s.key for s in skills], TEXTS)
+    return let(mention_weights(text, skills), lambda m: _weights(m, required, preferred, known, skills))
+
 
+def _weights(mentions: Column, required: Column, preferred: Column, known: Column, skills: Sequence[Skill]) -> Column:
     def explicit(base: float):
         def of(k: Column) -> Column:
             m = F.get(F.filter(mentions, lambda x: x["key"] == k), F.lit(0))
@@ -83,8 +86,7 @@ def skill_weights(required: Column, preferred: Column, text: Column | str, skill
 
 def posting_weights(required: Column | str, preferred: Column | str, text: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """skill_weights of a posting's skills as they stand."""
-    need = resolve_all(required, skills)
-    return skill_weights(need, F.array_except(resolve_all(preferred, skills), need), text, skills)
+    return let(resolve_all(required, skills), lambda need: skill_weights(need, F.array_except(resolve_all(preferred, skills), need), text, skills))
 
 
 def skill_match(
@@ -93,21 +95,23 @@ def skill_match(
 ) -> Column:
     """How well owned skills (keys as typed) meet a posting, 0 to 100. weights: posting_weights, where a column has them;
     a column is worked out once, an expression at each of its uses."""
-    owned = canonical(owned_skills, skills)
-    need = resolve_all(required, skills)
     weights = posting_weights(required, preferred, text, skills) if weights is None else weights
-    total = _sum(weights, lambda w: w["weight"])
-    base = _sum(F.filter(weights, lambda w: has_skill(owned, w["key"])), lambda w: w["weight"]) / total * 100
-    for lines, is_required, share in ((required_lines, True, 0.2), (preferred_lines, False, 0.1)):
-        if lines is not None:
-            covered = line_coverage(lines, owned, is_required, skills)
-            base = F.when(covered.isNotNull(), base * (1 - share) + covered * share).otherwise(base)
-    technical = F.filter(need, lambda k: is_technical(k, skills))
-    share = _count(technical, lambda k: has_skill(owned, k)) / F.size(technical)
-    floor = F.when(F.size(technical) >= 3, F.when(share >= 0.75, 44 + share * 50).when(share >= 0.55, 32 + share * 44))
-    low = F.lower(blank(text, ""))
-    overlap = F.least(F.lit(100), 8 * _count(col(owned_skills), lambda s: F.contains(low, F.lower(s))))
-    return F.when(F.size(weights) == 0, overlap).when(total <= 0, 0).otherwise(score(F.greatest(base, floor))).cast("int")
+
+    def of(w: Column, owned: Column) -> Column:
+        total = _sum(w, lambda x: x["weight"])
+        base = _sum(F.filter(w, lambda x: has_skill(owned, x["key"])), lambda x: x["weight"]) / total * 100
+        for lines, is_required, share in ((required_lines, True, 0.2), (preferred_lines, False, 0.1)):
+            if lines is not None:
+                # a null coverage leaves the base as it is
+                covered = line_coverage(lines, owned, is_required, skills)
+                base = let(F.struct(base.alias("base"), covered.alias("covered")), lambda x, s=share: F.coalesce(x["base"] * (1 - s) + x["covered"] * s, x["base"]))
+        technical = F.filter(resolve_all(required, skills), lambda k: is_technical(k, skills))
+        shared = let(technical, lambda t: F.when(F.size(t) >= 3, _count(t, lambda k: has_skill(owned, k)) / F.size(t)))
+        floor = let(shared, lambda s: F.when(s >= 0.75, 44 + s * 50).when(s >= 0.55, 32 + s * 44))
+        overlap = let(F.lower(blank(text, "")), lambda low: F.least(F.lit(100), 8 * _count(col(owned_skills), lambda s: F.contains(low, F.lower(s)))))
+        return F.when(F.size(w) == 0, overlap).when(total <= 0, 0).otherwise(score(F.greatest(base, floor))).cast("int")
+
+    return let(weights, lambda w: let(canonical(owned_skills, skills), lambda owned: of(w, owned)))
 
 
 def coverage(owned: Column, wanted: Column) -> Column:
@@ -131,14 +135,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def resume_text_match(owned_skills: Column, text: Column | str, role: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """The share of the first 120 owned skills that a text names; a named role or any common word of the trade lifts it."""
-    low = F.lower(blank(text, ""))
     own = F.slice(F.array_sort(F.filter(col(owned_skills), lambda s: s != "")), 1, 120)
-    named = F.transform(hits(low, skills), lambda h: h["key"])
-    known = F.array(*(F.lit(s.key) for s in skills))
-    lone = lambda s: ~F.array_contains(known, s) & F.contains(F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9_#+.]+", " "), F.lit(" ")), F.concat(F.lit(" "), normalize_token(s), F.lit(" ")))
-    have = _count(own, lambda s: F.array_contains(named, s) | lone(s))
+    return let(F.lower(blank(text, "")), lambda low: let(own, lambda o: _text_match(low, o, F.lower(F.trim(blank(role, ""))), skills)))
+
+
+def _text_match(low: Column, own: Column, r: Column, skills: Sequence[Skill]) -> Column:
+    known = constant([s.key for s in skills], TEXTS)
+    seen = F.struct(F.transform(hits(low, skills), lambda h: h["key"]).alias("named"), F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9_#+.]+", " "), F.lit(" ")).alias("spaced"))
+    lone = lambda x, s: ~F.array_contains(known, s) & F.contains(x["spaced"], F.concat(F.lit(" "), normalize_token(s), F.lit(" ")))
+    have = let(seen, lambda x: _count(own, lambda s: F.array_contains(x["named"], s) | lone(x, s)))
     base = have / F.size(own) * 100
-    r = F.lower(F.trim(blank(role, "")))
     base = F.greatest(base, F.when((r != "") & F.contains(low, r), 35.0), F.when(low.rlike("(software|developer|engineer|analyst|data|ml|qa|test|product)"), 22.0))
     return F.when((F.size(own) == 0) | (low == ""), 0).otherwise(score(base)).cast("int")
 
@@ -159,11 +165,16 @@ BUSINESS_TITLE = r"(sales|marketing|communications?|business development|account
 
 def role_match(title: Column | str, text: Column | str, targets: Column | str) -> Column:
     """The best match of a posting with a comma-separated list of roles; 50 without any."""
-    t, body = F.lower(blank(title, "")), F.lower(blank(text, ""))
     roles = F.filter(F.transform(F.split(F.lower(blank(targets, "")), ","), lambda x: F.trim(x)), lambda r: r != "")
+    said = F.struct(F.lower(blank(title, "")).alias("title"), F.lower(blank(text, "")).alias("text"))
+    return let(said, lambda x: let(roles, lambda r: _role_match(x["title"], x["text"], r)))
 
+
+def _role_match(t: Column, body: Column, roles: Column) -> Column:
     def of(r: Column) -> Column:
-        words = F.filter(F.split(r, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+        return let(F.filter(F.split(r, "[^a-z0-9]+"), lambda w: F.length(w) >= 3), lambda words: one(r, words))
+
+    def one(r: Column, words: Column) -> Column:
         n = F.size(words)
         in_title, in_text = _count(words, lambda w: F.contains(t, w)), _count(words, lambda w: F.contains(body, w))
         got = (
@@ -286,9 +297,8 @@ def role_preference(text: Column | str, role: Column | str) -> Column:
 
 
 def industry_preference(text: Column | str, industries: Column) -> Column:
-    low = F.lower(blank(text, ""))
-    names = F.filter(F.transform(industries, lambda x: F.trim(F.lower(x))), lambda x: (x != "") & F.contains(low, x))
-    return F.least(F.lit(16), 4 * F.size(names))
+    names = F.transform(industries, lambda x: F.trim(F.lower(x)))
+    return let(F.lower(blank(text, "")), lambda low: F.least(F.lit(16), 4 * _count(names, lambda x: (x != "") & F.contains(low, x))))
 
 
 def term_length_preference(c: Column, preferred: Column | str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomrank.functions.js import blank, js_round
 from loomrank.functions.lexicon import ROLE_SYNONYMS, SKILLS, Skill
 from loomrank.functions.text import search_words
+from loomrank.sources.tables import stored
 
 _SPLIT, _ENDING, _DROP = re.compile(r"[^a-z0-9#+.\-/]+"), re.compile(r"(ing|edly|ed|ly|es|s)\Z"), re.compile(r"[^a-z0-9#+.\-/ ]")
 
@@ -98,12 +99,12 @@ def signal(df: DataFrame, q: Query) -> DataFrame:
     return df.withColumns({"raw": raw, "hits": F.col("_got")["hits"], "title_hits": F.col("_got")["title"], "required_hits": F.col("_got")["required"]}).drop("_got")
 
 
-def search(df: DataFrame, query: str, skills: Sequence[Skill] = SKILLS, hide_unmatched: bool = False, most: int | None = 30, tie: str = "row_index") -> DataFrame:
-    """Rows by smart_score, hits, ranking_score. Scores are spread over the range of the whole result, which comes as one
-    row of two numbers from an aggregate."""
+def scored(df: DataFrame, query: str, skills: Sequence[Skill] = SKILLS, hide_unmatched: bool = False, tie: str = "row_index") -> DataFrame:
+    """What a query gives each row: tie, ranking_score, raw, hits, title_hits, required_hits, smart_score. Scores are
+    spread over the range of the whole result, which comes as one row of two numbers from an aggregate. Texts are read
+    once: what they give, a few numbers a row, is stored before that."""
     q = expand(query, skills)
-    rows = signal(index(df), q)
-    rows = rows.drop(*(c for c in rows.columns if c.startswith("_")))
+    rows = stored(signal(index(df), q).select(tie, "ranking_score", "raw", "hits", "title_hits", "required_hits"), "search")
     ends = rows.agg(F.min("raw").alias("_min"), F.max("raw").alias("_max"))
     rows = rows.join(F.broadcast(ends))  # one row
     flat = F.when(F.lit(bool(q.text)), F.when(F.col("hits") > 0, 70).otherwise(20)).otherwise(50)
@@ -114,5 +115,9 @@ def search(df: DataFrame, query: str, skills: Sequence[Skill] = SKILLS, hide_unm
         # with nothing left, all rows stay
         some = rows.agg(F.count_if(good).alias("_some"))
         rows = rows.join(F.broadcast(some)).filter(good | (F.col("_some") == 0)).drop("_some")
-    out = rows.orderBy(F.desc("smart_score"), F.desc("hits"), F.desc("ranking_score"), tie)
-    return out.limit(most) if most else out
+    return rows
+
+
+def search(df: DataFrame, query: str, skills: Sequence[Skill] = SKILLS, hide_unmatched: bool = False, most: int = 30, tie: str = "row_index") -> DataFrame:
+    """The best rows by smart_score, hits, ranking_score."""
+    return scored(df, query, skills, hide_unmatched, tie).orderBy(F.desc("smart_score"), F.desc("hits"), F.desc("ranking_score"), tie).limit(most)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomrank.functions.js import blank, col, matches
 
-DROPPED = ("wwp_probe", "sessionId", "conversationId")
+# Parameters of an address that say nothing of the posting. Callers add the ones their pages use.
+DROPPED = ("sessionId", "conversationId")
 
 
 def posting_url(url: Column | str, dropped: tuple[str, ...] = DROPPED) -> Column:

@@ -16,6 +16,7 @@ from loomrank.functions import text
 from loomrank.functions.lexicon import read_skills
 from loomrank.operators import dictionary, eligibility, posting, ranking, ratings, scoring, search, stores, tracker
 from loomrank.operators.scoring import Profile
+from loomrank.sources.tables import stored
 
 # A dictionary of words that the documents have.
 WORDS = read_skills("""
@@ -98,6 +99,7 @@ def _sql_pick(xs: list[str], key: str = "doc_id") -> str:
 
 
 SQL_LINES = " || ' ' || ".join(_sql_pick(xs) for xs in LINES)
+SQL_BODY = "coalesce(text, '') || ' ' || " + SQL_LINES
 SQL_NORMAL = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
@@ -106,11 +108,11 @@ SQL_NORMAL = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 def text_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.withColumns({"n": text.normalize("text"), "tokens": text.tokenize("text")})
+    d = d.withColumns({"n": text.normalize("text"), "tokens": text.tokenize("text")}).withColumn("grams", text.ngrams("tokens", 1, 3))
     return d.select(
         "doc_id", F.length("n").cast("bigint").alias("n_normal"), F.size("tokens").cast("bigint").alias("n_tokens"), F.size(text.sentences("text")).cast("bigint").alias("n_sentences"),
-        F.length(text.compact("text")).cast("bigint").alias("n_compact"), text.title_key(F.substring("text", 1, 80)).alias("title_key"),
-        text.stem(F.lower(F.get("tokens", F.lit(0)))).alias("first_stem"), F.size(text.ngrams(F.slice("tokens", 1, 5), 1, 3)).cast("bigint").alias("n_grams"),
+        F.length(text.compact("text")).cast("bigint").alias("n_compact"), text.title_key("text").alias("title_key"),
+        text.stem(F.lower(F.get("tokens", F.lit(0)))).alias("first_stem"), F.size("grams").cast("bigint").alias("n_grams"), F.coalesce(F.element_at("grams", -1), F.lit("")).alias("last_gram"),
         F.size(F.array_distinct(text.search_words("text"))).cast("bigint").alias("n_words"),
     )
 
@@ -123,9 +125,10 @@ k AS (SELECT *, list_transform(clean, lambda w: CASE WHEN len(w) <= 3 THEN w ELS
 SELECT doc_id, len(n) AS n_normal, len(tokens) AS n_tokens,
        len(list_filter(string_split(regexp_replace(n, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n_sentences,
        len(regexp_replace(lower(text), '[^a-z0-9#+]', '', 'g')) AS n_compact,
-       trim(regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS title_key,
+       trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS title_key,
        CASE WHEN len(tokens) = 0 THEN NULL WHEN len(tokens[1]) <= 3 THEN tokens[1] ELSE regexp_replace(tokens[1], '(ing|edly|ed|ly|es|s)$', '') END AS first_stem,
-       CAST(least(len(tokens), 5) + greatest(least(len(tokens), 5) - 1, 0) + greatest(least(len(tokens), 5) - 2, 0) AS BIGINT) AS n_grams,
+       CAST(len(tokens) + greatest(len(tokens) - 1, 0) + greatest(len(tokens) - 2, 0) AS BIGINT) AS n_grams,
+       CASE WHEN len(tokens) >= 3 THEN tokens[-3] || ' ' || tokens[-2] || ' ' || tokens[-1] ELSE array_to_string(tokens, ' ') END AS last_gram,
        len(list_distinct(list_filter(stems, lambda w: len(w) >= 2))) AS n_words
 FROM k
 """
@@ -159,8 +162,7 @@ def _aliases(own_key: bool = True) -> str:
     return f"a(ord, skill, alias, weight, factor) AS (VALUES {', '.join(rows)})"
 
 
-SQL_HITS = rf"h AS (SELECT doc_id, ord, skill, CAST(sum(len(regexp_extract_all(lower(text), '\b' || alias || '\b'))) AS BIGINT) AS hits, any_value(weight) AS weight, any_value(factor) AS factor FROM documents, a GROUP BY ALL HAVING hits > 0)"
-SQL_HITS = SQL_HITS.replace(", any_value(weight) AS weight, any_value(factor) AS factor FROM documents, a GROUP BY ALL", ", any_value(weight) AS weight, any_value(factor) AS factor FROM documents, a GROUP BY doc_id, ord, skill")
+SQL_HITS = rf"h AS (SELECT doc_id, ord, skill, CAST(sum(len(regexp_extract_all(lower(text), '\b' || alias || '\b'))) AS BIGINT) AS hits, any_value(weight) AS weight, any_value(factor) AS factor FROM documents, a GROUP BY doc_id, ord, skill HAVING hits > 0)"
 ALIAS_HITS = f"""
 WITH {_aliases()}, {SQL_HITS}
 SELECT doc_id, skill, hits, floor((0.75 + least(2.4::DOUBLE, hits * 0.42::DOUBLE)) * weight * factor * 1000 + 0.5::DOUBLE) / 1000 AS weight FROM h
@@ -207,7 +209,7 @@ FROM v
 
 def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir)
-    return p.select("row_index", F.array_join(dictionary.profile_fields("snippet"), ",").alias("profile_fields"), F.array_join(dictionary.posting_fields("snippet"), ",").alias("posting_fields"), dictionary.faculty("title").alias("faculty"))
+    return p.select("row_index", F.array_join(dictionary.profile_fields("text"), ",").alias("profile_fields"), F.array_join(dictionary.posting_fields("text"), ",").alias("posting_fields"), dictionary.faculty("title").alias("faculty"))
 
 
 def _cases(table: dict[str, str], test: str, what: str = "f") -> str:
@@ -215,7 +217,7 @@ def _cases(table: dict[str, str], test: str, what: str = "f") -> str:
 
 
 PROFILE_FIELDS = f"""
-WITH p AS (SELECT doc_id AS row_index, lower({SQL_LINES}) AS s, {_sql_pick(TITLES)} AS title FROM documents)
+WITH p AS (SELECT doc_id AS row_index, lower({SQL_BODY}) AS s, {_sql_pick(TITLES)} AS title FROM documents)
 SELECT row_index, {_cases({k: " OR ".join(f"contains(s, {_q(a)})" for a in v) for k, v in dictionary.FIELD_ALIASES.items()}, "{}")} AS profile_fields,
        {_cases(dictionary.FIELD_PATTERNS, "regexp_matches(s, '{}')")} AS posting_fields,
        CASE {" ".join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{n}'" for n, p in dictionary.FACULTIES.items())} ELSE 'Engineering' END AS faculty
@@ -248,14 +250,14 @@ _BOTH = rf"(?:4|four){_S}\s*(?:or|/|and|&)\s*(?:8|eight){_S}|(?:8|eight){_S}\s*(
 
 
 def term_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir).withColumn("t", posting.term_signals(F.lower(text.normalize("snippet"))))
+    p = postings(spark, sf_dir).withColumn("t", posting.term_signals(F.lower(text.normalize("text"))))
     t = F.col("t")
-    four, eight = (eligibility.term_eligibility(F.struct(t["*"] if False else t["four_month_mention"].alias("four_month_mention"), *(t[n].alias(n) for n in ("eight_month_mention", "four_month_preferred", "eight_month_preferred", "four_month_required", "eight_month_required", "accepts_four", "accepts_eight")), F.lit(None).cast("int").alias("work_term_length")), x)["eligible"] for x in ("4", "8"))
+    four, eight = (eligibility.term_eligibility(F.struct(t["four_month_mention"].alias("four_month_mention"), *(t[n].alias(n) for n in ("eight_month_mention", "four_month_preferred", "eight_month_preferred", "four_month_required", "eight_month_required", "accepts_four", "accepts_eight")), F.lit(None).cast("int").alias("work_term_length")), x)["eligible"] for x in ("4", "8"))
     return p.select("row_index", *(t[n].alias(n) for n in ("four_month_mention", "eight_month_mention", "four_month_preferred", "eight_month_preferred", "four_month_required", "eight_month_required", "accepts_four", "accepts_eight")), four.alias("suits_four"), eight.alias("suits_eight"))
 
 
 TERM_SIGNALS = f"""
-WITH p AS (SELECT doc_id AS row_index, lower({SQL_LINES}) AS s FROM documents),
+WITH p AS (SELECT doc_id AS row_index, lower({SQL_NORMAL.format(SQL_BODY)}) AS s FROM documents),
 f AS (SELECT row_index, {_flags("four")}, {_flags("eight")}, regexp_matches(s, {_q(_BOTH)}) AS both_ FROM p),
 g AS (SELECT *, CASE WHEN both_ OR four_accepted OR (four_required AND NOT eight_accepted) THEN true WHEN eight_required AND NOT four_accepted THEN false WHEN four_mention OR four_preferred THEN true END AS accepts_four,
              CASE WHEN both_ OR eight_accepted THEN true WHEN four_required AND NOT eight_accepted THEN false WHEN eight_required OR eight_mention OR eight_preferred THEN true END AS accepts_eight FROM f)
@@ -268,7 +270,7 @@ FROM g
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posting.parse(postings(spark, sf_dir), "snippet", skills=WORDS)
+    p = posting.parse(postings(spark, sf_dir), skills=WORDS)
     c = F.col("constraints")
     many = lambda x: F.array_join(x.cast("array<string>"), "|")
     return p.select(
@@ -304,7 +306,7 @@ def _fields_of(must: bool) -> str:
 
 
 PARSED = f"""
-WITH p AS (SELECT doc_id AS row_index, {SQL_LINES} AS s FROM documents),
+WITH p AS (SELECT doc_id AS row_index, {SQL_NORMAL.format(SQL_BODY)} AS s FROM documents),
 q AS (SELECT row_index, s, lower(s) AS low, string_split(regexp_replace(s, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS sents FROM p),
 r AS (SELECT *, list_filter(sents, lambda x: {_sentence_any(posting.REQUIRED_WORDS)} OR (regexp_matches(lower(x), {_q(posting.HARD_CUE)}) AND ({_ALIAS_ANY}))) AS req,
              list_filter(sents, lambda x: {_sentence_any(posting.PREFERRED_WORDS)} OR (regexp_matches(lower(x), {_q(_SQL_SOFT)}) AND ({_ALIAS_ANY}))) AS pre,
@@ -322,7 +324,7 @@ FROM u
 
 
 def hard_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir).withColumn("e", posting.eligibility(text.sentences("snippet")))
+    p = postings(spark, sf_dir).withColumn("e", posting.eligibility(text.sentences("text")))
     e = F.col("e")
     return p.select("row_index", e["min_work_term"].alias("min_work_term"), F.array_join(e["allowed_work_terms"].cast("array<string>"), ",").alias("allowed"), e["min_academic_year"].alias("min_year"), F.size(e["eligibility_lines"]).alias("n_lines"))
 
@@ -335,7 +337,7 @@ def _sql_numbers(pattern: str) -> str:
 
 
 HARD_ELIGIBILITY = f"""
-WITH p AS (SELECT doc_id, {SQL_LINES} AS s FROM documents),
+WITH p AS (SELECT doc_id, {SQL_NORMAL.format(SQL_BODY)} AS s FROM documents),
 q AS (SELECT doc_id, unnest(string_split(regexp_replace(s, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1))) AS line FROM p),
 r AS (SELECT doc_id, line, lower(line) AS low FROM q),
 t AS (SELECT *, regexp_matches(low, {_q(posting.HARD_ELIGIBILITY)}) AS hard, regexp_matches(low, {_q(posting.SOFT_ELIGIBILITY)}) AS soft, regexp_matches(low, {_q(posting.RANGE_ELIGIBILITY)}) AS least_,
@@ -351,7 +353,7 @@ FROM documents d LEFT JOIN g USING (doc_id)
 
 def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir)
-    body = F.concat_ws(" ", "title", "snippet")
+    body = F.concat_ws(" ", "title", "text")
     return p.select(
         "row_index", scoring.role_match("title", body, F.lit(ME.target_role)).alias("role_match"), scoring.role_preference("title", F.lit("software developer")).alias("role_boost"),
         scoring.industry_preference("text", F.array(*map(F.lit, ME.industries))).alias("industry_boost"), ranking.fit_class(F.pmod(F.col("row_index"), F.lit(101))).alias("fit"),
@@ -368,7 +370,7 @@ def _role(role: str) -> str:
 
 
 ROLE_SCORES = f"""
-WITH p AS (SELECT doc_id AS row_index, lower({_sql_pick(TITLES)}) AS t, lower({_sql_pick(TITLES)} || ' ' || {SQL_LINES}) AS b, lower(text || ' ' || {SQL_LINES}) AS x FROM documents)
+WITH p AS (SELECT doc_id AS row_index, lower({_sql_pick(TITLES)}) AS t, lower({_sql_pick(TITLES)} || ' ' || {SQL_BODY}) AS b, lower({SQL_BODY}) AS x FROM documents)
 SELECT row_index, CAST(greatest(0, least(100, greatest({_role("software developer")}, {_role("data analyst")}))) AS INTEGER) AS role_match, CASE WHEN contains(t, 'software developer') THEN 12 ELSE 0 END AS role_boost,
        least(16, 4 * ({" + ".join(f"CAST(contains(x, {_q(i)}) AS INTEGER)" for i in ME.industries)})) AS industry_boost,
        CASE WHEN row_index % 101 >= 72 THEN 'good' WHEN row_index % 101 >= 42 THEN 'warn' ELSE 'bad' END AS fit
@@ -376,8 +378,13 @@ FROM p
 """
 
 
+#: What is kept of an analysis: what is read of a text, not the text.
+ANALYSED = ["row_index", "title", "company", "location", "required_skills", "preferred_skills", "summary_bullets", "constraints", "base_skill_match", "keyword_skill_match", "skill_match", "target_role_match", "viability", "overall_match", "ranking_score", "recommendation", "hard", "hard_reasons", "flags"]
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.analyze(postings(spark, sf_dir), ME, "snippet", WORDS)
+    """All postings analysed from their whole texts and stored: ranking and filtering read a narrow table."""
+    return stored(ranking.analyze(postings(spark, sf_dir), ME, "text", WORDS).select(*ANALYSED), "analysis")
 
 
 def ranked_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,8 +427,7 @@ SELECT tier, place, row_index, overall_match, ranking_score FROM r WHERE place <
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir)
-    return ranking.histogram(e).join(F.broadcast(ranking.groups(e)))
+    return ranking.overview(entries(spark, sf_dir))
 
 
 OVERVIEW = f"""
@@ -485,7 +491,7 @@ QUERY = 'marketing "software developer" threa'
 
 
 def smart_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(entries(spark, sf_dir), QUERY, WORDS, most=None).select("row_index", "smart_score", "hits", "title_hits", "required_hits")
+    return search.scored(entries(spark, sf_dir), QUERY, WORDS).select("row_index", "smart_score", "hits", "title_hits", "required_hits")
 
 
 def _search_sql() -> str:
@@ -515,7 +521,8 @@ SELECT row_index, CAST(floor((total - min(total) OVER ()) / (max(total) OVER ()
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector and the first one of its label."""
     e = _read(spark, sf_dir, "embeddings")
-    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("center"))
+    # stored, so that its size is known when the join is planned: a small one is broadcast and labels aren't shuffled
+    first = stored(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("center")), "centers")
     return e.join(first, "label").select("vec_id", F.round(scoring.cosine("embedding", "center"), 5).alias("cosine"), scoring.similarity_percent(F.round(scoring.cosine("embedding", "center"), 5)).alias("percent"))
 
 
@@ -532,7 +539,7 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     total = n.groupBy("user_id").agg(F.sum("n").alias("t"))
     kinds = F.create_map(*(F.lit(x) for k, v in enumerate(_TYPES, 1) for x in (v, k)))
-    label = F.concat(F.lit("Term "), F.coalesce(kinds["".join([]) or "x"] if False else kinds[F.col("event_type")], F.lit(9)).cast("string"), F.lit(" "), F.col("event_type"))
+    label = F.concat(F.lit("Term "), F.coalesce(kinds[F.col("event_type")], F.lit(9)).cast("string"), F.lit(" "), F.col("event_type"))
     return n.join(total, "user_id").select("user_id", label.alias("label"), (F.col("n") * 100.0 / F.col("t")).alias("percent"), F.coalesce(kinds[F.col("event_type")], F.lit(9)).alias("pos"))
 
 
@@ -622,7 +629,7 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_KEYS = """
 WITH p AS (SELECT page_id, regexp_replace(url, '#.*', '') AS u FROM pages),
 k AS (SELECT page_id, split_part(u, '?', 1) AS head, CASE WHEN contains(u, '?') THEN split_part(u, '?', 2) END AS q FROM p),
-s AS (SELECT page_id, head, q, array_to_string(list_filter(string_split(coalesce(q, ''), '&'), lambda x: x <> '' AND NOT split_part(x, '=', 1) IN ('wwp_probe', 'sessionId', 'conversationId')), '&') AS w FROM k),
+s AS (SELECT page_id, head, q, array_to_string(list_filter(string_split(coalesce(q, ''), '&'), lambda x: x <> '' AND NOT split_part(x, '=', 1) IN ('sessionId', 'conversationId')), '&') AS w FROM k),
 r AS (SELECT page_id, head, coalesce(q, '') AS q, head || CASE WHEN w <> '' THEN '?' || w ELSE '' END AS url FROM s)
 SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'jid:' || page_id ELSE 'url:' || url END AS job_key,
  CASE WHEN regexp_matches(lower(head || ' ' || q), 'jobid=|postingid=|/posting/|/job/') THEN 'posting' WHEN regexp_matches(lower(head || ' ' || q), '/jobs|/postings|search|/co-op/') THEN 'listings' WHEN page_id % 10 >= 8 THEN 'listings' ELSE 'unknown' END AS kind
@@ -791,7 +798,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "key_insights": (insights, INSIGHTS), "flag_counts": (flags, FLAGS), "worth_reconsidering": (reconsidered, RECONSIDERED), "top_matches": (top_matches, TOP_MATCHES), "skill_gaps": (gaps, GAPS),
     "smart_search": (smart_search, _search_sql()), "vector_similarity": (vector_similarity, VECTOR_SIMILARITY), "share_scores": (share_scores, SHARE_SCORES), "hiring_history": (hiring_history, HIRING_HISTORY),
     "viability_grid": (viability_grid, VIABILITY_GRID), "page_keys": (page_keys, PAGE_KEYS), "job_cache": (cache, CACHE), "application_status": (applications, APPLICATIONS), "upserted_records": (upserted, UPSERTED),
-    "field_intents": (field_intents, FIELD_INTENTS), "listing_signature": (listing_signature, None), "text_quality": (text_quality, TEXT_QUALITY),
+    "field_intents": (field_intents, FIELD_INTENTS), "ranked_jobs": (ranked_jobs, None), "resume_skill_sets": (resume_skill_sets, None), "listing_signature": (listing_signature, None), "text_quality": (text_quality, TEXT_QUALITY),
     "semantic_vectors": (semantic_vectors, None), "described_pages": (described_pages, None), "page_jobs": (page_jobs, None), "event_bursts": (event_bursts, EVENT_BURSTS), "event_activity": (event_activity, EVENT_ACTIVITY),
     "latest_events": (latest, LATEST),
 }

@@ -49,6 +49,11 @@ def meaningful(text: str) -> bool:
     return len(t) >= 4 and not NAVIGATION.match(t) and not re.fullmatch(r"[a-z_0-9-]{1,24}", t, re.I) and bool(re.search("[a-z]{3,}", t, re.I))
 
 
+# Attributes that may hold an address, and parameters that name a posting.
+URL_ATTRIBUTES = ("onclick", "ondblclick", "data-url", "data-href", "data-link")
+ID_PARAMETER = "jobid=|postingid=|positionid=|opportunityid="
+
+
 def title_like(text: str) -> bool:
     return meaningful(text) and not ACTION.match(text)
 
@@ -112,16 +117,20 @@ def row_id(row: Element) -> str:
 
 
 def row_url(row: Element, anchor: Element | None, base: str) -> str | None:
-    """The address of a row's posting: of its main link, else of what its attributes hold."""
-    found: list[tuple[int, int, str]] = []
-    for e in [*([anchor] if anchor is not None else []), row, *row.elements()]:
-        for name, value in e.attrs.items():
-            for u in url_candidates(value) or ([value] if name == "href" else []):
-                full = urljoin(base, u)
-                if full.startswith("http") and posting_like(full):
-                    points = 120 * bool(POSTING_QUERY.search(full)) + 90 * bool(POSTING_PATH.search(full)) + 40 * (e is anchor)
-                    found.append((-points, len(found), full))
-    return min(found)[2] if found else None
+    """The address of a row's posting: the first of the best of those that its links and attributes hold."""
+    number = row_id(row).lower()
+    said = [anchor.attrs.get("href")] if anchor is not None else []
+    said += [a.attrs.get("href") for a in row.find_all("a")]
+    for e in (row, *row.elements()):
+        for value in filter(None, map(e.attrs.get, URL_ATTRIBUTES)):
+            said += [value, *url_candidates(value)]
+
+    def points(url: str) -> int:
+        low = url.lower()
+        return 120 * bool(re.search(ID_PARAMETER, low)) + 90 * bool(number and number in low) + 40 * bool(re.search("/posting/|/job/", low)) - 80 * bool(re.search("folder|print|apply", low))
+
+    full = [urljoin(base, u) for u in said if u]
+    return max((u for u in full if u.startswith("http") and posting_like(u)), key=points, default=None)
 
 
 def _named(row: Element, classes: tuple[str, ...], attribute: str | None) -> Iterator[str]:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from loomrank.operators.tracker import job_key, posting_url
 
@@ -17,13 +20,59 @@ def debounced(events: DataFrame, key: str, time: str = "ts", quiet: str = "320 m
 
 
 def changes(rows: DataFrame, key: str, value: str, time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """The first row of each value that a key takes on within the watermark: repeats go."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key, value])
+    """The rows at which a key's value is another one than before: of a, a, b, a the first, third and fourth. The last
+    value of each key is kept as state; within a batch rows count in the order of time."""
+    if not rows.isStreaming:
+        before = F.lag(value).over(W.partitionBy(key).orderBy(time))
+        return rows.withColumn("_new", ~F.col(value).eqNullSafe(before) | before.isNull()).filter("_new").drop("_new")
+
+    def run(_, batches, state):
+        last = state.get if state.exists else (None,)
+        rows_ = pd.concat(list(batches)).sort_values(time, kind="stable")
+        now = rows_[value].astype(object).where(rows_[value].notna(), None)
+        before = pd.Series([last[0], *now.iloc[:-1]], index=now.index, dtype=object)
+        if len(now):
+            state.update((now.iloc[-1],))
+        yield rows_[(now != before).to_numpy() & now.notna().to_numpy()]
+
+    kind = rows.schema[value].dataType.simpleString()
+    return rows.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, rows.schema, f"last {kind}", "append", GroupStateTimeout.NoTimeout)
 
 
 def limited(attempts: DataFrame, key: str, time: str = "ts", every: str = "1300 milliseconds", late: str = "1 minute") -> DataFrame:
-    """At most one attempt of a key in each interval: the earliest."""
-    return attempts.withWatermark(time, late).groupBy(F.window(time, every).alias("w"), key).agg(F.min(time).alias(time)).select(key, time)
+    """The attempts (key, time) of a key that don't come within `every` of the last one let through."""
+    apart = pd.Timedelta(every)
+    rows = attempts.select(key, time)
+
+    def passed(times: list, last):
+        for t in times:
+            ok = last is None or t - last >= apart
+            last = t if ok else last
+            yield ok, last
+
+    if not attempts.isStreaming:
+
+        def walk(batches):  # sorted by key and time, so one time is all that is held
+            had, last = None, None
+            for b in batches:
+                keep = []
+                for k, t in zip(b[key], b[time], strict=True):
+                    ok, last = next(passed([t], last if had is not None and k == had[0] else None))
+                    had = (k,)
+                    keep.append(ok)
+                yield b[keep]
+
+        return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(walk, rows.schema)
+
+    def run(_, batches, state):
+        held = pd.concat(list(batches)).sort_values(time, kind="stable")
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        got = list(passed(list(held[time]), last))
+        if got:
+            state.update((got[-1][1].value // 1000,))
+        yield held[[ok for ok, _ in got]]
+
+    return rows.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, rows.schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def signatures(jobs: DataFrame, page: str, time: str = "ts", late: str = "10 minutes") -> DataFrame:

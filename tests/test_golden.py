@@ -128,7 +128,7 @@ def test_stores(spark):
 
 
 def test_tracker(spark):
-    assert value(spark, tracker.job_key(F.lit(""), F.lit("https://h/x?a=1&wwp_probe=1#f"), F.lit(""))) == "url:https://h/x?a=1"
+    assert value(spark, tracker.job_key(F.lit(""), F.lit("https://h/x?a=1&sessionId=1#f"), F.lit(""))) == "url:https://h/x?a=1"
     assert value(spark, *(tracker.status_of(F.lit(t)) for t in ("Offer – interview scheduled", "Not selected", "Viewed"))) == ("interview", "rejected", None)
     assert value(spark, tracker.field_intent(F.lit("Company name"))) == "name"
 
@@ -136,3 +136,17 @@ def test_tracker(spark):
 def test_search():
     q = search.expand('"data engineer" python')
     assert "data engineer" in q.phrases and "python" in q.tokens and "etl" in q.tokens
+
+
+def test_resume_repairs(spark):
+    from loomrank.operators import resume
+
+    assert value(spark, resume.sanitize_pdf(F.lit("M a t t h e w wrote a to z in Fide x and 20 24"))) == "Matthew wrote a to z in Fidex and 20 24"
+    assert value(spark, resume.sanitize_pdf(F.lit("xa b c de f"))) == "xa b c de f"
+    from loomrank.functions import text
+
+    units = "é😀".encode("utf-16-be")
+    h = 2166136261
+    for k in range(0, len(units), 2):
+        h = ((h ^ int.from_bytes(units[k : k + 2], "big")) * 16777619) & 0xFFFFFFFF
+    assert value(spark, text.hash32(F.lit("é😀"))) == h

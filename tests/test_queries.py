@@ -5,8 +5,6 @@ import os
 import subprocess
 import sys
 
-from pyspark.sql import functions as F
-
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -35,12 +33,22 @@ def test_ranked_pipeline(spark):
 
 
 def test_stream_of_listings(spark, tmp_path):
-    from loomrank.streaming.listings import changes
+    from loomrank.streaming.listings import changes, limited
 
-    rows = [("p", "a", dt.datetime(2024, 1, 1)), ("p", "a", dt.datetime(2024, 1, 1, 0, 1)), ("p", "b", dt.datetime(2024, 1, 1, 0, 2))]
+    rows = [("p", v, dt.datetime(2024, 1, 1, 0, k)) for k, v in enumerate("aabba")] + [("q", "b", dt.datetime(2024, 1, 1))]
     spark.createDataFrame(rows, "page string, signature string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("page string, signature string, ts timestamp").parquet(str(tmp_path / "in"))
     q = changes(s, "page", "signature").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(90)
-    assert {r[0] for r in spark.table("seen").select("signature").collect()} == {"a", "b"}
-    assert spark.table("seen").agg(F.count("*")).first()[0] == 2
+    want = [("p", "a"), ("p", "a"), ("p", "b"), ("q", "b")]
+    assert sorted((r[0], r[1]) for r in spark.table("seen").collect()) == want
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    assert sorted((r[0], r[1]) for r in changes(batch, "page", "signature").collect()) == want
+    at = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
+    tries = spark.createDataFrame([("k", at(x)) for x in (1299, 1300, 0, 2599, 2600, 5000)] + [("m", at(1))], "key string, ts timestamp").coalesce(1)
+    kept = [("k", at(x)) for x in (0, 1300, 2600, 5000)] + [("m", at(1))]
+    assert sorted(tuple(r) for r in limited(tries, "key").collect()) == kept
+    tries.write.parquet(str(tmp_path / "tries"))
+    q = limited(spark.readStream.schema(tries.schema).parquet(str(tmp_path / "tries")), "key").writeStream.format("memory").queryName("let").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted(tuple(r) for r in spark.table("let").collect()) == kept

@@ -22,6 +22,19 @@ def test_listed_jobs(spark):
     assert pages.jobs(df).count() == 5
 
 
+def test_row_url():
+    """The id parameter counts 120, the row's number 90, a posting's path 40; folder, print and apply 80 less."""
+    from loomrank.sources.dom import parse as tree
+
+    def best(*links):
+        row = next(e for e in tree("<table><tr><td>12345</td><td>" + "".join(f'<a href="{u}">Software Developer</a>' for u in links) + "</td></tr></table>").elements() if e.tag == "tr")
+        return pages.row_url(row, row.find_all("a")[0], "https://h.example/")
+
+    assert best("/posting/12345/print?jobId=12345", "/posting/12345?x=1", "/jobs/x?jobId=12345") == "https://h.example/jobs/x?jobId=12345"
+    assert best("/job/folder/1", "/job/2") == "https://h.example/job/2"
+    assert best("/job/1", "/job/2") == "https://h.example/job/1"
+
+
 def test_posting_bullets(spark):
     html = "<main><h3>Technical skills</h3><ul><li>Experience with Python required</li><li>short</li></ul><p>More.</p></main>"
     assert pages.posting_parts(html)["bullets"] == ["Experience with Python required"]
