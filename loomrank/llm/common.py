@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrank.sources.tables import dropped, stored  # noqa: F401
+
 #: Rows of a batch that goes to Python: whole texts are held, so few of them.
 BATCH_ROWS = 400
 
@@ -30,36 +28,19 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="loomrank-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, which cuts its lineage. Shuffle files that nothing
-    refers to any more go when the driver collects its garbage, so that is asked for here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a stored table that is no longer needed."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def blocks(data: np.ndarray, ends: np.ndarray, most: int = 1 << 20):
+    """Ranges of a text of about `most` bytes that end where `ends` is true, so that no word is cut."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + most)
+        while b < n:
+            stop = np.flatnonzero(ends[data[a:b]])
+            if len(stop):
+                b = a + int(stop[-1]) + 1
+                break
+            b = min(n, b + most)
+        yield a, b
+        a = b
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:

@@ -9,11 +9,10 @@ at least stands unchanged in the longer one, moved by no more places than there
 longer text has up to SHORT words.
 
 Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. In each
-bucket every text is compared with the bucket's leaders (the least by id and by a hash of it); texts that end up in
-another class than their leaders form the bucket of the next round, with leaders of its own. So n texts of a bucket give
+bucket every text is compared with the bucket's leaders (the least by id and by a hash of it). So n texts of a bucket give
 2n pairs, and leaders come from aggregates, so a bucket of any size is spread over tasks. The first round takes a few
-sketches only, and pairs whose texts are in one class already aren't compared again. Leaders only save work: after
-ROUNDS more rounds, every pair of a bucket whose texts are still in different classes is compared, except where numbers
+sketches only, the second all, and pairs whose texts are in one class already aren't compared again. Leaders only save work: then
+every pair of a bucket whose texts are still in different classes is compared, except where numbers
 of words or parities of words rule a link out; so two texts of one bucket that are linked are in one class. Large
 buckets are dealt in tiles for that.
 
@@ -34,19 +33,22 @@ gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, read, small_batches, span_hashes, stored, texts
+from .common import blocks, bytes_of, dropped, mix, read, small_batches, span_hashes, stored, texts
 from .decontaminate import WORD_BYTES
 
 WORDS, SKETCHES, SIMILARITY = 2, 32, 0.8
 #: Words of the longer text up to which pieces find every pair.
 SHORT = 19
-#: Sketches of the first round, and rounds in which texts that matched no leader of their bucket get other leaders.
-FIRST, ROUNDS = 6, 2
+#: Sketches of the first round, which brings together most of what is close, and further rounds of leaders after the
+#: second; classes don't depend on either.
+FIRST, ROUNDS = 6, 0
 #: Texts of a tile of a bucket, and bits of the parities of a text's words.
 TILE, PARITIES = 256, 1024
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
@@ -55,11 +57,14 @@ LEAST_ID = -(1 << 63)
 
 
 def words(raw: np.ndarray) -> np.ndarray:
-    """The hashes of a text's words in order."""
-    low = np.concatenate([[32], _TABLE[raw], [32]])
-    word = low != 32
-    start, end = np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(word[:-1] & ~word[1:]) + 1
-    return span_hashes(low, start, end)
+    """The hashes of a text's words in order. A long text is read in blocks."""
+    out = []
+    for a, b in blocks(raw, _TABLE == 32):
+        low = np.concatenate([[32], _TABLE[raw[a:b]], [32]]).astype(np.uint8)
+        word = low != 32
+        start, end = np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(word[:-1] & ~word[1:]) + 1
+        out.append(span_hashes(low, start, end))
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def kmers(w: np.ndarray) -> np.ndarray:
@@ -266,19 +271,21 @@ def unsettled(members: DataFrame, label: DataFrame | None, reps: DataFrame) -> D
 def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The class (id, label) of every id that has a link."""
     dealt = reps.select("id", F.posexplode("sig").alias("k", "bucket"))
-    found = label = tried = every = None
+    label = every = None
+    links: list[DataFrame] = []
+    tried: list[DataFrame] = []
 
     def linked(pairs):
-        nonlocal found, label, tried
+        nonlocal label
         if label is not None:
             pairs = labelled(labelled(pairs, label, "low"), label, "high").filter("low_class <> high_class").select("low", "high")
-            pairs = pairs.join(tried, ["low", "high"], "left_anti")
+            for had in tried:
+                pairs = pairs.join(had, ["low", "high"], "left_anti")
         pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
-            new = stored(verified(pairs, docs, reps), "links")
-            found = new if found is None else stored(found.union(new), "links")
-            tried = pairs if tried is None else stored(tried.union(pairs), "tried")
-            label = components(found)
+            links.append(stored(verified(pairs, docs, reps), "links"))
+            tried.append(pairs)
+            label = components(functools.reduce(DataFrame.union, links))
 
     for n in range(rounds + 2):
         members = dealt.filter(F.col("k") < FIRST).select("bucket", "id") if not n else dealt.select("bucket", "id")
@@ -287,7 +294,7 @@ def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame
             every = members.select("bucket", "id")
         sides = members.select("id", F.explode("leaders").alias("with")).filter("id <> with")
         linked(sides.select(F.least("id", "with").alias("low"), F.greatest("id", "with").alias("high")).distinct())
-        if n:
+        if 0 < n <= rounds:
             # who isn't in the class of a leader goes on to the next round, in the same bucket
             side = members.select("bucket", "id", F.explode("leaders").alias("with"))
             away = labelled(labelled(side, label, "id"), label, "with").groupBy("bucket", "id").agg(F.bool_and(F.col("id_class") != F.col("with_class")).alias("away"))
@@ -296,6 +303,7 @@ def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame
                 break
     if every is not None:
         linked(unsettled(every, label, reps))
+    dropped(*links, *tried)
     return label if label is not None else docs.sparkSession.createDataFrame([], "id long, label long")
 
 
@@ -308,7 +316,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = label.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = label.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = stored(step.join(jump, "label").select("id", "was", F.least("label", "further").alias("label")), "labels")
+        dropped(label)
         if new.filter("was <> label").isEmpty():
+            dropped(both)
             return new.select("id", "label")
         label = new.select("id", "label")
 

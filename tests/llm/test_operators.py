@@ -145,11 +145,35 @@ def test_fingerprints(spark, rows, docs, empty):
             assert (None if i == fingerprint.LEAST_ID else i, len(t), hashlib.sha256(new.encode()).hexdigest()) in have
     a, b = "one two three\nfour five six", "four five six\none two three"
     s, t = fingerprint.State.of(a.encode()), fingerprint.State.of(b.encode())
-    assert s.digest() == t.digest() and s.likeness(t) == 1.0
+    assert s.printed() == t.printed() and s.likeness(t) == 1.0
     more = s + fingerprint.State.of(b"seven eight nine ten")
-    assert (more - fingerprint.State.of(b"seven eight nine ten")).digest() == s.digest() != more.digest()
+    assert (more - fingerprint.State.of(b"seven eight nine ten")).printed() == s.printed() != more.printed() == fingerprint.updated(s.printed(), inserted=(b"seven eight nine ten",))
     assert 0.4 < s.likeness(more) < 1 and s.likeness(fingerprint.State.of(b"nothing of the kind at all")) < 0.3
     assert fingerprint.fingerprints(empty).count() == 0
+    # every column of the query, by a plain sum of each paragraph's numbers
+    def plain(text):
+        total = [0] * fingerprint.LANES
+        for line in text.encode().split(b"\n"):
+            d = hashlib.shake_128(line).digest(4 * fingerprint.LANES)
+            total = [(x + int.from_bytes(d[4 * k : 4 * k + 4], "little")) % 2**32 for k, x in enumerate(total)]
+        return "".join(x.to_bytes(4, "little").hex() for x in total)
+
+    def shingles(text):
+        return Counter(tuple(w[k : k + 3]) for line in text.split("\n") for w in [line.split()] for k in range(max(1, len(w) - 2)) if w)
+
+    for k in single:
+        i, t = order[k]
+        j, nxt = order[(k + 1) % len(order)]
+        if [x[0] for x in order].count(j) == 1:
+            n = len(t) // 3
+            new = t[: len(t) - n] + nxt[:n]
+            r = next(r for r in out if r["doc_id"] == (None if i == fingerprint.LEAST_ID else i))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (plain(t), plain(new))
+            for near, other in ((r["near_edited"], new), (r["near_next"], nxt)):
+                a, b = shingles(t), shingles(other)
+                # the dot product of counts over the norms' mean, which the sketch estimates
+                want = 1.0 if plain(t) == plain(other) else 2 * sum(a[x] * b[x] for x in a) / max(1, sum(v * v for v in a.values()) + sum(v * v for v in b.values()))
+                assert abs(near - want) < 0.2, (t[:50], near, want)
 
 
 def test_sentence_spans(rows, docs, empty):
@@ -210,8 +234,7 @@ def test_near_duplicates(rows, docs, empty):
 
     for a in texts:
         for b in texts:
-            ka, kb = (set(near_dedup.kmers(words.get(t, words.get(None))).tolist()) for t in (a, b))
-            if a < b and len(ka & kb) > 0.5 * len(ka | kb) and near_dedup.similar(words[a], words[b]):
+            if a < b and near_dedup.similar(words[a], words[b]):
                 parent[top(a)] = top(b)
     want = {}
     for i, t in rows:
@@ -262,6 +285,31 @@ def test_candidates_at_the_threshold():
         assert lost <= most_lost, (n, lost)
 
 
+def test_long_texts_are_read_in_blocks(monkeypatch):
+    """What is worked out block by block is what it is at once, on every text, and a long one takes bounded memory."""
+    import tracemalloc
+
+    import numpy as np
+
+    from loomrank.llm import common
+
+    raws = [np.frombuffer((t or "").encode(), np.uint8) for t in TEXTS]
+    whole = [(near_dedup.words(r).tolist(), fingerprint.sketch(r.tobytes()).tolist(), [x.tolist() for x in repeats.anchors(r)]) for r in raws]
+    ids = packing.tokens(packing.vocabulary())
+    apart = [ids.of([t or ""])[0][0].tolist() for t in TEXTS]
+    assert [x.tolist() for x, _ in ids.of([t or "" for t in TEXTS], most=70)] == apart
+    long = np.frombuffer((prose(4000) * 60).encode()[: 24 << 20], np.uint8)
+    for work in (near_dedup.words, repeats.anchors, lambda x: fingerprint.sketch(x.tobytes())):
+        tracemalloc.start()
+        work(long)
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(long) + (160 << 20)
+        tracemalloc.stop()
+    small = lambda data, ends, most=64: common.blocks(data, ends, most)
+    monkeypatch.setattr(near_dedup, "blocks", small)
+    monkeypatch.setattr(fingerprint, "blocks", small)
+    assert [(near_dedup.words(r).tolist(), fingerprint.sketch(r.tobytes()).tolist(), [x.tolist() for x in repeats.anchors(r, 300)]) for r in raws] == whole
+
+
 def test_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
