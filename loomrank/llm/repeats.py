@@ -66,8 +66,19 @@ def sliding(x: np.ndarray, size: int, best) -> np.ndarray:
     return best(x[:n], x[size - reach :][:n])
 
 
-def anchors(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a text's anchors and their hashes."""
+def anchors(data: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's anchors and their hashes. A long text is read in blocks with all that their anchors depend on."""
+    n, places, hashes = len(data), [], []
+    for a in range(0, max(1, n), step):
+        lo = max(0, a - REACH)
+        at, h = _anchors(_prefix(data[lo : min(n, a + step + LENGTH)]))
+        own = (at + lo >= a) & (at + lo < a + step)
+        places.append(at[own] + lo)
+        hashes.append(h[own])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def _anchors(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(total) <= LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = rolling(total, ANCHOR)
@@ -133,7 +144,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
             ids = b.column("doc_id").to_numpy()
             hashes, counts, n = [], [], []
             for k in range(len(at) - 1):
-                h, c = np.unique(anchors(_prefix(data[at[k] : at[k + 1]]))[1], return_counts=True)
+                h, c = np.unique(anchors(data[at[k] : at[k + 1]])[1], return_counts=True)
                 hashes.append(h)
                 counts.append(np.minimum(c, 2))
                 n.append(len(h))
@@ -165,10 +176,9 @@ def _marked(batches):
     for b in batches:
         for i, key, z, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "z", "wanted")), strict=True):
             data = np.frombuffer(unpack.decompress(z), np.uint8)
-            total = _prefix(data)
-            at, h = anchors(total)
+            at, h = anchors(data)
             keep = np.isin(h, np.array(wanted, np.int64).view(np.uint64))
-            yield i, key, data, total, at[keep], h[keep]
+            yield i, key, data, at[keep], h[keep]
 
 
 SPANS = "doc_id long, key binary, a long, b long"
@@ -180,7 +190,7 @@ def _surroundings(batches):
     names = ["h", "doc_id", "key", "p", "around", "a", "b"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     rows = []
-    for i, key, data, _, at, hashes in _marked(batches):
+    for i, key, data, at, hashes in _marked(batches):
         n, raw = len(data), data.tobytes()
         places: dict[tuple, list[int]] = {}
         for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
@@ -242,13 +252,16 @@ def _constructed(batches):
 
 def _windows(batches):
     """The hashes of the 200-byte strings that hold a wanted anchor."""
-    for i, key, data, total, at, _ in _marked(batches):
+    step = 1 << 18  # bytes of a text whose windows go on at once
+    for i, key, data, at, _ in _marked(batches):
         starts = np.zeros(len(data) - LENGTH + 2, np.int64)
         np.add.at(starts, np.maximum(at - REACH, 0), 1)
         np.add.at(starts, np.minimum(at, len(data) - LENGTH) + 1, -1)
-        s = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
-        if len(s):
-            h = rolling(total, LENGTH)[s]
+        every = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
+        for s in np.split(every, np.searchsorted(every, np.arange(step, len(data), step))):
+            if not len(s):
+                continue
+            h = rolling(_prefix(data[s[0] : s[-1] + LENGTH]), LENGTH)[s - s[0]]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(s), i)), pa.array([key] * len(s), pa.binary()), pa.array(s)], names=["w", "doc_id", "key", "s"])
 
 
