@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -135,8 +136,36 @@ class Tokens:
     def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.start[at], self.start[at + 1] - self.start[at]
 
-    def of(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids with the end id, and the places (numbers of ids before) where a sentence ends."""
+    def of(self, batch: list[str], most: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids with the end id, and the places (numbers of ids before) where a sentence ends. Works on
+        about `most` characters at a time; a longer text is cut at a space before a plain letter, which parts pre-tokens."""
+        out: list[list] = [[] for _ in batch]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            for (i, _), got in zip(held, self.some([t for _, t in held]), strict=True):
+                out[i].append(got)
+            held, size = [], 0
+
+        for i, t in enumerate(batch):
+            a = 0
+            while a < len(t) or not a:
+                b = len(t)
+                if b - a > most and (m := _BREAK.search(t, a + most)):
+                    b = m.start()
+                if held and size + b - a > most:
+                    flush()
+                held.append((i, t[a:b]))
+                size += b - a
+                if b == len(t):
+                    break
+                a = b
+        flush()
+        return [parts[0] if len(parts) == 1 else _joined(parts) for parts in out]
+
+    def some(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         out: list = [None] * len(batch)
         plain, rows = [], []
         for i, t in enumerate(batch):
@@ -198,6 +227,17 @@ class Tokens:
         return out
 
 
+#: A space between plain letters.
+_BREAK = re.compile(r"(?<=[A-Za-z0-9.,;:!?]) (?=[A-Za-z0-9])")
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of one text as one, with one end id."""
+    begin = np.cumsum([0, *(len(ids) - 1 for ids, _ in parts)])
+    ids = np.concatenate([*(ids[:-1] for ids, _ in parts), parts[-1][0][-1:]])
+    return ids, np.concatenate([*(ends[:-1] + b for (_, ends), b in zip(parts, begin)), [len(ids)]])
+
+
 @functools.lru_cache(1)
 def tokens(path: str) -> Tokens:
     """Made once for each worker process."""
