@@ -1,18 +1,20 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A paragraph is a line. Each one hashes to a wide vector: LANES numbers of 16 bits from SHAKE-128 of its bytes, and
+A paragraph is a line. Each one hashes to a wide vector: LANES numbers of 32 bits from SHAKE-128 of its bytes, and
 SKETCH numbers of 32 bits in which each of its three-word shingles adds 1 or -1 at a place its hash names. A document's
-state is the sum of its paragraphs' vectors, modulo 2**16 and 2**32, so the order of paragraphs doesn't matter, and a
-paragraph is inserted or deleted by adding or subtracting its vector. The printed fingerprint is the SHA-256 of the
-state. Equality rests on the first part; the second estimates likeness, twice the shared shingles over all of both.
+state is the sum of its paragraphs' vectors, modulo 2**32, so the order of paragraphs doesn't matter, and a paragraph is
+inserted or deleted by adding or subtracting its vector. The printed fingerprint is the first part itself in hexadecimal
+(2,048 bits), so `updated` inserts and deletes in a printed one. Equality rests on it; the second part, a sum over the same
+paragraphs that isn't printed, estimates likeness, twice the shared shingles over all of both, as lanes alone tell only
+equal from unequal.
 
 To pair each document with the next in descending order of ids, documents are dealt out by ranges of ids whose bounds
 are ids of the table (PER_RANGE rows each, at most RANGES). A range's largest id is its bound, so that document is also
 sent to the range above it, where the smallest id needs it: one shuffle of the (compressed) texts and no global order.
 
 Defined cases: a null text is empty (one empty paragraph); two empty texts are alike (1.0); the last document's next is
-the first, so a single document follows itself; rows of equal ids follow each other in the order of their texts; a null
-id comes last; other columns are ignored; an empty table gives no rows.
+the first, so a single document follows itself; rows of equal ids follow each other in an order that
+depends on their texts alone; null ids come last, in one range; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, span_hashes, texts
+from .common import blocks, read, small_batches, span_hashes, texts
 
-LANES, SKETCH, SHINGLE = 1024, 1024, 3
-PER_RANGE, RANGES = 1000, 8192
+LANES, SKETCH, SHINGLE = 64, 1024, 3
+#: Rows of a range, and ranges at most: beyond that they hold more rows, which are sorted and read as a stream.
+PER_RANGE, RANGES = 1000, 100_000
 LEAST_ID = -(1 << 63)
 
 
@@ -41,16 +44,16 @@ class State:
 
     @classmethod
     def empty(cls) -> State:
-        return cls(np.zeros(LANES, np.uint16), np.zeros(SKETCH, np.uint32))
+        return cls(np.zeros(LANES, np.uint32), np.zeros(SKETCH, np.uint32))
 
     @classmethod
     def of(cls, raw: bytes) -> State:
         """The state of a text's lines, in any order."""
         lines = raw.split(b"\n")
-        lanes = np.zeros(LANES, np.uint16)
-        for k in range(0, len(lines), 64):
-            digests = b"".join([hashlib.shake_128(x).digest(2 * LANES) for x in lines[k : k + 64]])
-            lanes += np.frombuffer(digests, "<u2").reshape(-1, LANES).sum(0, dtype=np.uint16)
+        lanes = np.zeros(LANES, np.uint32)
+        for k in range(0, len(lines), 256):
+            digests = b"".join([hashlib.shake_128(x).digest(4 * LANES) for x in lines[k : k + 256]])
+            lanes += np.frombuffer(digests, "<u4").reshape(-1, LANES).sum(0, dtype=np.uint32)
         return cls(lanes, sketch(raw))
 
     def __add__(self, other: State) -> State:
@@ -59,8 +62,8 @@ class State:
     def __sub__(self, other: State) -> State:
         return State(self.lanes - other.lanes, self.sketch - other.sketch)
 
-    def digest(self) -> str:
-        return hashlib.sha256(self.lanes.astype("<u2").tobytes() + self.sketch.astype("<u4").tobytes()).hexdigest()
+    def printed(self) -> str:
+        return self.lanes.astype("<u4").tobytes().hex()
 
     def likeness(self, other: State) -> float:
         """Twice the shared shingles over those of both, as the sketches tell; 1 for equal states."""
@@ -71,11 +74,24 @@ class State:
         return float(min(1.0, max(0.0, 2 * (a @ b) / both))) if both else 0.0
 
 
+def updated(fingerprint: str, inserted: tuple[bytes, ...] = (), deleted: tuple[bytes, ...] = ()) -> str:
+    """A printed fingerprint after paragraphs came and went."""
+    lanes = np.frombuffer(bytes.fromhex(fingerprint), "<u4").astype(np.uint32)
+    for x in inserted:
+        lanes = lanes + State.of(x).lanes
+    for x in deleted:
+        lanes = lanes - State.of(x).lanes
+    return lanes.astype("<u4").tobytes().hex()
+
+
 def sketch(raw: bytes) -> np.ndarray:
-    """Counts of signed shingles: three words of a line, or all of a shorter line's."""
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.zeros(SKETCH, np.uint32)
+    """Counts of signed shingles: three words of a line, or all of a shorter line's. A long text is read in blocks of lines."""
+    data, ends = np.frombuffer(raw, np.uint8), np.arange(256) == 10
+    parts = [_sketch(data[a:b]) for a, b in blocks(data, ends)]
+    return np.sum(parts, axis=0, dtype=np.uint32) if parts else np.zeros(SKETCH, np.uint32)
+
+
+def _sketch(data: np.ndarray) -> np.ndarray:
     word = np.concatenate([[False], data > 32, [False]])
     start, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
     if not len(start):
@@ -115,7 +131,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = source.select("doc_id").count()
     ranges = max(1, min(RANGES, n // PER_RANGE))
     shares = [k / ranges for k in range(1, ranges)] + [1.0]
-    bounds = source.select(F.percentile_approx(key, shares, 100 * ranges)).first()[0] if n else [0]
+    bounds = source.select(F.percentile_approx(key, shares, 10 * ranges + 10_000)).first()[0] if n else [0]
     bounds = np.unique(np.array(bounds, np.int64))
 
     def dealt(batches):
@@ -151,7 +167,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     new, cut = edited(old, text)
                     e = changed(s, old, new, cut)
                     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((None if own == LEAST_ID else own, len(old), sha, s.digest(), e.digest(), s.likeness(e), s.likeness(state)))
+                    rows.append((None if own == LEAST_ID else own, len(old), sha, s.printed(), e.printed(), s.likeness(e), s.likeness(state)))
                 had = None if after else (part, i, text, state)
             columns = zip(*rows, strict=True) if rows else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
