@@ -42,10 +42,9 @@ def _slices(benchmark: DataFrame, window: int, limit: int) -> Iterator[dict[str,
     found: dict[str, set[str]] = {}
     held = 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        if item is None:
-            continue
         for w in windows_of(words_of(text), window):
-            found.setdefault(f" {w.decode('latin-1')} ", set()).add(item)
+            # an item without id hits words all the same
+            found.setdefault(f" {w.decode('latin-1')} ", set()).update([item] if item is not None else [])
             held += len(w)
         if held > limit:
             yield {k: tuple(sorted(v)) for k, v in found.items()}

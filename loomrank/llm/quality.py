@@ -8,8 +8,8 @@ bytes of a token, and the shares of tokens that repeat the one before or the one
 A network with one hidden layer turns that into a logit, whose temperature is set on a part of the sample that it
 didn't train on, so that scores are probabilities.
 
-Training reads a bounded sample: about ROWS labelled rows that aren't held out, in the order of a hash of their ids,
-and of those as many as SAMPLE_BYTES of text allow. lang, source and doc_id are never inputs of a score.
+Training reads a bounded sample: about ROWS labelled rows that aren't held out, picked by a hash of their ids, and of
+those, in the order of the table, as many as SAMPLE_BYTES of text allow (10 KB a row, three times the usual). lang, source and doc_id are never inputs of a score.
 
 Defined cases: empty and null texts have vectors of zeros and are scored like others; without a labelled row every
 score is 0.5, with labels of one kind only all rows get nearly that label; of several labels of a document the largest

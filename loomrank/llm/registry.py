@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, fingerprint, html_main, language, licenses, near_dedup, packing, quality, repeats, sentence_dedup
 
 
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py, which stands beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_licenses": licenses.op1_licenses,
         "op2_packing": packing.op2_packing,
         "op3_quality": quality.op3_quality,
