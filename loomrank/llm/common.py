@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +98,29 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 FOLDS = 5
 
 
+def released() -> None:
+    """Gives memory that isn't used back to the system: workers live on between tasks, and what they keep adds up."""
+    import pyarrow as pa
+
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't GNU's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def bounded(run):
+    """A function for mapInArrow whose worker gives its memory back when a partition is done."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return whole
+
+
 def held_out(doc_id):
     """Whether a row is kept from training: crc32 of its id as text leaves no rest by five; a null id isn't."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

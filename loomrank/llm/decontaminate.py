@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, texts
+from .common import bounded, read, small_batches, texts
 
 WINDOW = 13
 #: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned for in several rounds.
@@ -126,7 +126,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lim
                     names=["doc_id", "text", "n_words", "spans", "words", "items", *more],
                 )
 
-        return rows.select("doc_id", "text", "words", "items", *more).mapInArrow(run, schema)
+        return rows.select("doc_id", "text", "words", "items", *more).mapInArrow(bounded(run), schema)
 
     out = texts(docs, *more).withColumns({"words": F.expr("cast(array() as array<struct<first:long,last:long>>)"), "items": F.expr("cast(array() as array<string>)")})
     n = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read, small_batches, span_hashes, texts
+from .common import blocks, bounded, read, small_batches, span_hashes, texts
 
 LANES, SKETCH, SHINGLE = 64, 1024, 3
 #: Rows of a range, and ranges at most: beyond that they hold more rows, which are sorted and read as a stream.
@@ -173,8 +173,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in SCHEMA.split(", ")])
 
-    out = source.mapInArrow(dealt, "part int, after boolean, id long, z binary").repartition("part")
-    return out.sortWithinPartitions("part", "after", F.desc("id"), "z").mapInArrow(run, SCHEMA)
+    out = source.mapInArrow(bounded(dealt), "part int, after boolean, id long, z binary").repartition("part")
+    return out.sortWithinPartitions("part", "after", F.desc("id"), "z").mapInArrow(bounded(run), SCHEMA)
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

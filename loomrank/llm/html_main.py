@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam, read, small_batches
+from .common import adam, bounded, read, small_batches
 
 _set = lambda s: frozenset(s.split())
 # Elements by their role in HTML.
@@ -483,7 +483,7 @@ def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return source.mapInArrow(bounded(run), "page_id long, url string, text string, n_chars long")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

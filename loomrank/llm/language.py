@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam, bytes_of, held_out, read, share_of, small_batches, texts
+from .common import adam, bounded, bytes_of, held_out, read, share_of, small_batches, texts
 
 DIMS = 4096
 #: Rows of the training sample over all languages, the least of one language, and the most bits of a codeword.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model | None:
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(x, pa.binary())], names=["lang", "x"])
 
     kept = known.filter(share_of(F.col("doc_id")) < rates[F.col("lang")]).select("lang", "text")
-    got = kept.mapInArrow(run, "lang string, x binary").limit(2 * max(rows, each * len(counts))).collect()
+    got = kept.mapInArrow(bounded(run), "lang string, x binary").limit(2 * max(rows, each * len(counts))).collect()
     if not got:
         return None
     return train(np.stack([np.frombuffer(r[1], np.float32) for r in got]), [r[0] for r in got])
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 lang[known], score[known], close[known] = np.array(m.langs, object)[k[known]], s[known], c[known]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return texts(docs).mapInArrow(bounded(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bytes_of, dropped, mix, read, small_batches, span_hashes, stored, texts
+from .common import blocks, bounded, bytes_of, dropped, mix, read, small_batches, span_hashes, stored, texts
 from .decontaminate import WORD_BYTES
 
 WORDS, SKETCHES, SIMILARITY = 2, 32, 0.8
@@ -197,7 +197,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             count = pa.array([len(w) for w in own], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), sig, count, odd], names=["doc_id", "key", "sig", "n_words", "odd"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key binary, sig array<long>, n_words int, odd array<long>")
+    return keyed(docs).mapInArrow(bounded(run), "doc_id long, key binary, sig array<long>, n_words int, odd array<long>")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             packed = [z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "z"])
 
-    whole = keyed(docs).mapInArrow(pack, "doc_id long, key binary, z binary")
+    whole = keyed(docs).mapInArrow(bounded(pack), "doc_id long, key binary, z binary")
     need = wanted.join(reps.select("id", "doc_id", "key"), "id")
     # rows of one id and text are one: whichever is met serves
     held = stored(need.join(whole, ["doc_id", "key"]).groupBy("id").agg(F.first("z").alias("z")), "texts")
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     one = pairs.join(held.select(F.col("id").alias("low"), F.col("z").alias("x")), "low")
     both = one.join(held.select(F.col("id").alias("high"), F.col("z").alias("y")), "high")
-    return both.select("low", "high", "x", "y").mapInArrow(run, "low long, high long")
+    return both.select("low", "high", "x", "y").mapInArrow(bounded(run), "low long, high long")
 
 
 def unsettled(members: DataFrame, label: DataFrame | None, reps: DataFrame) -> DataFrame:

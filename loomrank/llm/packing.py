@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, small_batches, span_hashes, texts
+from .common import bounded, read, small_batches, span_hashes, texts
 
 SIZE = 2048
 END = 1
@@ -136,7 +136,7 @@ class Tokens:
     def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.start[at], self.start[at + 1] - self.start[at]
 
-    def of(self, batch: list[str], most: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray]]:
+    def of(self, batch: list[str], most: int = 1 << 19) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids with the end id, and the places (numbers of ids before) where a sentence ends. Works on
         about `most` characters at a time; a longer text is cut at a space before a plain letter, which parts pre-tokens."""
         out: list[list] = [[] for _ in batch]
@@ -378,7 +378,7 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
         if rows := packer.flush():
             yield table(rows)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(bounded(run), SCHEMA)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

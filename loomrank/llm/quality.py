@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam, bytes_of, held_out, mix, read, runs, share_of, small_batches, span_hashes, texts
+from .common import adam, bounded, bytes_of, held_out, mix, read, runs, share_of, small_batches, span_hashes, texts
 
 #: Rows and bytes of text of the training sample.
 ROWS, SAMPLE_BYTES = 5000, 48 << 20
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
             s = held.value.score(pooled(data, at, held.value.table)) if held.value else np.full(len(at) - 1, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts(docs).mapInArrow(bounded(run), "doc_id long, score double, predicted int")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,4 +216,4 @@ def kept(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             s = held.value.score(pooled(data, at, held.value.table)) if held.value else np.full(len(at) - 1, 0.5)
             yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)

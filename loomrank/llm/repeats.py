@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, dropped, mix, power, read, small_batches, stored
+from .common import bounded, bytes_of, dropped, mix, power, read, small_batches, stored
 from .near_dedup import LEAST_ID, keyed
 
 LENGTH, ANCHOR = 200, 48
@@ -153,7 +153,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
                     [pa.array(np.repeat(ids, n)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int32))], names=["doc_id", "h", "c"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, c int")
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), "doc_id long, h long, c int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             packed = [z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, z binary")
+    return docs.mapInArrow(bounded(run), "doc_id long, key binary, z binary")
 
 
 def _marked(batches):
@@ -285,10 +285,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def marked(hot: bool) -> DataFrame:
         return _packed(source).join(flagged.filter(F.col("hot") == hot).select("doc_id", "wanted"), "doc_id").select("doc_id", "key", "z", "wanted")
 
-    around = marked(False).mapInArrow(_surroundings, "h long, doc_id long, key binary, p long, around binary, a long, b long")
-    spans = stored(around.repartition("h").sortWithinPartitions("h").mapInArrow(_constructed, SPANS), "spans").union(whole)
+    around = marked(False).mapInArrow(bounded(_surroundings), "h long, doc_id long, key binary, p long, around binary, a long, b long")
+    spans = stored(around.repartition("h").sortWithinPartitions("h").mapInArrow(bounded(_constructed), SPANS), "spans").union(whole)
     if not flagged.filter("hot").isEmpty():
-        windows = stored(marked(True).mapInArrow(_windows, "w long, doc_id long, key binary, s long"), "windows")
+        windows = stored(marked(True).mapInArrow(bounded(_windows), "w long, doc_id long, key binary, s long"), "windows")
         twice = stored(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "twice")
         hot = windows.join(twice, "w").select("doc_id", "key", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
         spans = spans.union(stored(hot, "hot"))
@@ -328,7 +328,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     whole = _packed(keyed(docs)).join(by, ["doc_id", "key"], "left").select("doc_id", "z", "spans")
-    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.mapInArrow(bounded(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,5 +351,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = whole.mapInArrow(run, docs.schema)
+    out = whole.mapInArrow(bounded(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

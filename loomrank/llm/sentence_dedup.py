@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, stored
+from .common import bounded, read, small_batches, stored
 from .near_dedup import LEAST_ID, keyed
 from .repeats import _packed
 
@@ -80,7 +80,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(h, pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "tag", "h", "i", "n"])
 
     # the id and 32 bits of the text's hash name a text: ids alone may repeat
-    return docs.select("doc_id", F.hash("key").alias("tag"), "text").mapInArrow(run, "doc_id long, tag int, h long, i int, n int")
+    return docs.select("doc_id", F.hash("key").alias("tag"), "text").mapInArrow(bounded(run), "doc_id long, tag int, h long, i int, n int")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_sentences", "n_removed", "n_chars_removed", "text"])
 
     both = _packed(keyed(docs)).withColumn("tag", F.hash("key")).join(gone, ["doc_id", "tag"], "left").select("doc_id", "z", "gone")
-    return both.mapInArrow(run, "doc_id long, n_sentences long, n_removed long, n_chars_removed long, text string")
+    return both.mapInArrow(bounded(run), "doc_id long, n_sentences long, n_removed long, n_chars_removed long, text string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
