@@ -9,10 +9,11 @@ at least stands unchanged in the longer one, moved by no more places than there
 longer text has up to SHORT words.
 
 Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. In each
-bucket every text is compared with the bucket's leaders (the least by id and by a hash of it). So n texts of a bucket give
+bucket every text is compared with the bucket's leaders (the least by id and by a hash of it); texts that end up in
+another class than their leaders form the bucket of the next round, with leaders of its own. So n texts of a bucket give
 2n pairs, and leaders come from aggregates, so a bucket of any size is spread over tasks. The first round takes a few
-sketches only, the second all, and pairs whose texts are in one class already aren't compared again. Leaders only save work: then
-every pair of a bucket whose texts are still in different classes is compared, except where numbers
+sketches only, and pairs whose texts are in one class already aren't compared again. Leaders only save work: after
+ROUNDS more rounds, every pair of a bucket whose texts are still in different classes is compared, except where numbers
 of words or parities of words rule a link out; so two texts of one bucket that are linked are in one class. Large
 buckets are dealt in tiles for that.
 
@@ -46,9 +47,9 @@ from .decontaminate import WORD_BYTES
 WORDS, SKETCHES, SIMILARITY = 2, 32, 0.8
 #: Words of the longer text up to which pieces find every pair.
 SHORT = 19
-#: Sketches of the first round, which brings together most of what is close, and further rounds of leaders after the
-#: second; classes don't depend on either.
-FIRST, ROUNDS = 6, 0
+#: Sketches of the first round, which brings together most of what is close, and rounds after the second in which texts
+#: that matched no leader of their bucket get other leaders; classes don't depend on either.
+FIRST, ROUNDS = 6, 2
 #: Texts of a tile of a bucket, and bits of the parities of a text's words.
 TILE, PARITIES = 256, 1024
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
