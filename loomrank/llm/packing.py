@@ -68,7 +68,7 @@ def _classes() -> np.ndarray:
 class Tokens:
     """Ids of texts, and where a sentence may end, without a Python step for each word."""
 
-    KNOWN = 1 << 18
+    KNOWN = 1 << 19
 
     def __init__(self, path: str):
         import tiktoken
@@ -136,7 +136,7 @@ class Tokens:
     def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.start[at], self.start[at + 1] - self.start[at]
 
-    def of(self, batch: list[str], most: int = 1 << 17) -> list[tuple[np.ndarray, np.ndarray]]:
+    def of(self, batch: list[str], most: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids with the end id, and the places (numbers of ids before) where a sentence ends. Works on
         about `most` characters at a time; a longer text is cut at a space before a plain letter, which parts pre-tokens."""
         out: list[list] = [[] for _ in batch]
