@@ -38,7 +38,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded, bytes_of, dropped, mix, read, small_batches, span_hashes, stored, texts
@@ -165,6 +165,13 @@ def distance(a: list, b: list, most: int) -> int:
     return found
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two arrays have in common, each as often as both have it."""
+    (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity of two sequences of words is at least `least`."""
     longer = max(len(a), len(b))
@@ -173,6 +180,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     most = int((1 - least) * longer + 1e-9)
     if not most:
         return np.array_equal(a, b)
+    # an edit takes at most one word and two k-mers from what both have, so most pairs need no alignment
+    if longer - _shared(a, b) > most:
+        return False
+    if longer - WORDS + 1 - WORDS * most > len(np.intersect1d(kmers(a), kmers(b), assume_unique=True)):
+        return False
     return distance(a.tolist(), b.tolist(), most) <= most
 
 
@@ -249,6 +261,21 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("low", "high", "x", "y").mapInArrow(bounded(run), "low long, high long")
 
 
+def may_link(x: Column, y: Column) -> Column:
+    """Whether two texts (n_words, odd) may be links by their numbers of words and by the parities of their words."""
+    most = F.floor((1 - SIMILARITY) * F.greatest(x["n_words"], y["n_words"]) + 1e-9)
+    apart = F.abs(x["n_words"] - y["n_words"])
+    flips = sum((F.bit_count(x["odd"][k].bitwiseXOR(y["odd"][k])) for k in range(PARITIES // 64)), F.lit(0))
+    return (apart <= most) & (flips <= 2 * most - apart)
+
+
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (low, high) of ids that may be links, before any text is read."""
+    side = lambda c, n: reps.select(F.col("id").alias(c), F.struct("n_words", "odd").alias(n))
+    both = pairs.join(side("low", "x"), "low").join(side("high", "y"), "high")
+    return both.filter(may_link(F.col("x"), F.col("y"))).select("low", "high")
+
+
 def unsettled(members: DataFrame, label: DataFrame | None, reps: DataFrame) -> DataFrame:
     """All pairs (low, high) of a bucket's members (bucket, id) that are in different classes and may be links by their
     numbers of words and by the parities of their words."""
@@ -262,10 +289,7 @@ def unsettled(members: DataFrame, label: DataFrame | None, reps: DataFrame) -> D
     x = all_.filter("tile <= other").select("bucket", F.col("tile").alias("lower"), F.col("other").alias("upper"), F.struct("id", "id_class", "n_words", "odd").alias("x"))
     y = all_.filter("other <= tile").select("bucket", F.col("other").alias("lower"), F.col("tile").alias("upper"), F.struct("id", "id_class", "n_words", "odd").alias("y"))
     both = x.join(y, ["bucket", "lower", "upper"]).filter("(lower < upper or x.id < y.id) and x.id_class <> y.id_class")
-    most = F.floor((1 - SIMILARITY) * F.greatest("x.n_words", "y.n_words") + 1e-9)
-    apart = F.abs(F.col("x.n_words") - F.col("y.n_words"))
-    flips = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(PARITIES // 64)), F.lit(0))
-    both = both.filter((apart <= most) & (flips <= 2 * most - apart))
+    both = both.filter(may_link(F.col("x"), F.col("y")))
     return both.select(F.least("x.id", "y.id").alias("low"), F.greatest("x.id", "y.id").alias("high")).distinct()
 
 
@@ -282,7 +306,7 @@ def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame
             pairs = labelled(labelled(pairs, label, "low"), label, "high").filter("low_class <> high_class").select("low", "high")
             for had in tried:
                 pairs = pairs.join(had, ["low", "high"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(possible(pairs, reps), "pairs")
         if not pairs.isEmpty():
             links.append(stored(verified(pairs, docs, reps), "links"))
             tried.append(pairs)
