@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, bytes_of, dropped, mix, read, small_batches, span_hashes, stored, texts
+from .common import blocks, bounded, bytes_of, dropped, mix, read, runs, small_batches, span_hashes, stored, texts
 from .decontaminate import WORD_BYTES
 
 WORDS, SKETCHES, SIMILARITY = 2, 32, 0.8
@@ -50,6 +50,8 @@ SHORT = 19
 #: Sketches of the first round, which brings together most of what is close, and rounds after the second in which texts
 #: that matched no leader of their bucket get other leaders; classes don't depend on either.
 FIRST, ROUNDS = 6, 2
+#: K-mers that are sketched at once.
+GROUP = 1 << 15
 #: Texts of a tile of a bucket, and bits of the parities of a text's words.
 TILE, PARITIES = 256, 1024
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
@@ -88,21 +90,34 @@ def kmers(w: np.ndarray) -> np.ndarray:
 
 def sketches(h: np.ndarray, n: int = SKETCHES) -> np.ndarray:
     """One value for each sketch: its two least k-mers in the order of the text."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            x = (h ^ _ODD[40 + k]) * _ODD[8 + k]
-            a = int(x.argmin())
-            if len(x) > 1:
-                x[a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                b = int(x.argmin())
-                first, second = h[min(a, b)], h[max(a, b)]
-            else:
-                first = second = h[a]
-            out[k] = first * _ODD[1] + (second ^ _ODD[2]) * _ODD[3] + np.uint64(k)
-    return mix(out)
+    return all_sketches([h], n)[0]
+
+
+def all_sketches(texts: list[np.ndarray], n: int = SKETCHES) -> list[np.ndarray]:
+    """The sketches of several texts, GROUP k-mers at a time, or one text."""
+    out = [np.zeros(0, np.uint64)] * len(texts)
+    some = [k for k, h in enumerate(texts) if len(h)]
+    edge = np.concatenate([[0], np.cumsum([len(texts[k]) for k in some])]).astype(np.int64)
+    for a, b in runs(edge, GROUP):
+        h, size = np.concatenate([texts[k] for k in some[a:b]]), np.diff(edge[a : b + 1])
+        start = edge[a:b] - edge[a]
+
+        def least(x, start=start, size=size):
+            found = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, start), size))
+            return found[np.searchsorted(found, start)]
+
+        sig = np.zeros((b - a, n), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                x = (h ^ _ODD[40 + k]) * _ODD[8 + k]
+                one = least(x)
+                x[one] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                two = least(x)
+                first, second = h[np.minimum(one, two)], h[np.maximum(one, two)]
+                sig[:, k] = first * _ODD[1] + (second ^ _ODD[2]) * _ODD[3] + np.uint64(k)
+        for k, own in zip(some[a:b], mix(sig), strict=True):
+            out[k] = own
+    return out
 
 
 def pieces(w: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
@@ -201,7 +216,9 @@ def sketched(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, at = bytes_of(b.column("text"))
             own = [words(data[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
-            sigs = [np.concatenate([sketches(kmers(w)), pieces(w)]).view(np.int64) for w in own]
+            sigs = []
+            for a, c in runs(at, 1 << 20):
+                sigs += [np.concatenate([x, pieces(w)]).view(np.int64) for x, w in zip(all_sketches([kmers(w) for w in own[a:c]]), own[a:c], strict=True)]
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             edge = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             sig = pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))

@@ -266,6 +266,23 @@ def test_near_duplicates_in_a_crowd(docs):
     assert sorted((r["id"], r["label"]) for r in near_dedup.classes(df, reps).collect()) == [(i, i % 20) for i in range(40)]
 
 
+def test_sketches_of_several_texts(monkeypatch):
+    """A text's sketches are its two least k-mers, whatever texts it is sketched with."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "GROUP", 50)
+    rng, odd = np.random.default_rng(3), near_dedup._ODD
+    texts = [near_dedup.kmers(rng.integers(0, 40, n).astype(np.uint64)) for n in (0, 1, 2, 3, 30, 0, 200, 12, 1)]
+    for h, own in zip(texts, near_dedup.all_sketches(texts), strict=True):
+        assert len(own) == (near_dedup.SKETCHES if len(h) else 0)
+        for k in range(len(own)):
+            with np.errstate(over="ignore"):
+                two = sorted(np.argsort((h ^ odd[40 + k]) * odd[8 + k])[:2])
+                want = near_dedup.mix(h[two[:1]] * odd[1] + (h[two[-1:]] ^ odd[2]) * odd[3] + np.uint64(k))
+            assert own[k] == want[0]
+    assert near_dedup.all_sketches([]) == []
+
+
 def test_candidates_at_the_threshold():
     """Texts with a fifth of their words changed, inserted or left out share a bucket."""
     import numpy as np
