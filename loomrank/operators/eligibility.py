@@ -125,6 +125,25 @@ def same_posting(text: Column | str, job_id: Column | str, title: Column | str,
     return looks_like_full_posting(text, title, n_skills, constraints) & (((i != "") & F.contains(low, i)) | ~(other | stranger))
 
 
+def found_jobs(jobs: DataFrame, hints: DataFrame, page: str = "page") -> DataFrame:
+    """For each hint (page, hint, hint_id, hint_title) the job (page, row_index, job_id, title, row_text) of its page that it
+    means, and how it was found: 0 by the same id, 1 by the id as a word of the row, 2 by a title that has the hinted one,
+    3 by one that the hinted one has. The best way counts, then the first row; a hint that means none has nulls.
+
+    Rows are joined by page and meet in a minimum, so a page's rows are never brought together."""
+    tidy = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    mine = jobs.select(page, "row_index", tidy("job_id").alias("_id"), normalize("row_text").alias("_text"), title_key("title").alias("_key"))
+    asked = hints.select(page, "hint", tidy("hint_id").alias("_want"), title_key("hint_title").alias("_title"))
+    asked = asked.withColumn("_word", F.concat(F.lit(r"\b"), F.regexp_replace("_want", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\b")))
+    named, titled = F.col("_want") != "", F.col("_title") != ""
+    way = (
+        F.when(named & (F.col("_id") == F.col("_want")), 0).when(named & F.contains("_text", "_want") & F.regexp_like("_text", F.col("_word")), 1)
+        .when(titled & F.contains("_key", "_title"), 2).when(titled & F.contains("_title", "_key"), 3)
+    )
+    best = asked.join(mine, page, "left").groupBy(page, "hint").agg(F.min(F.when(way.isNotNull(), F.struct(way.alias("way"), "row_index"))).alias("_best"))
+    return best.select(page, "hint", F.col("_best.row_index").alias("row_index"), F.col("_best.way").cast("int").alias("way"))
+
+
 def page_type(title: Column | str, path: Column | str, query: Column | str, body: Column | str, links: Column | int = 0, site: str = "") -> Column:
     """ratings, posting, listings or unknown. site: the host's own name in titles of listings, if it has one."""
     t, b, p = F.lower(blank(title, "")), F.lower(blank(body, "")), F.lower(blank(path, ""))

@@ -206,6 +206,33 @@ def overlay(df: DataFrame) -> DataFrame:
     )
 
 
+# How suggestions are worded.
+FEW_GAPS, MANY_GAPS = ("Add a project featuring ", " to strengthen your match."), ("Focus on gaining experience in ", " — the most requested gaps.")
+OTHER_ROLE = ('Tailor your resume title/objective to align with "', '".')
+
+
+def card(df: DataFrame, owned: Sequence[str]) -> DataFrame:
+    """What is shown of a selected posting: its heading, scores, strong and missing skills (8 of each), requirements (6, of
+    120 characters at most), flags (5) and suggestions: on gaps, on the role, and the first reason unless said already."""
+    own, none = F.array(*map(F.lit, owned)).cast("array<string>"), F.array().cast("array<string>")
+    required, preferred = (F.coalesce(c, none) for c in ("required_skills", "preferred_skills"))
+    missing, strong = F.array_except(required, own), F.array_intersect(F.array_distinct(F.concat(F.array_intersect(required, own), preferred)), own)
+    between = lambda words, x: F.concat(F.lit(words[0]), x, F.lit(words[1]))
+    n, title = F.size(missing), blank("title", "")
+    gaps = F.when((n > 0) & (n <= 3), between(FEW_GAPS, F.array_join(missing, ", "))).when(n > 3, between(MANY_GAPS, F.array_join(F.slice(missing, 1, 2), " and ")))
+    role = F.when((F.coalesce("target_role_match", F.lit(0)) < 40) & (title != ""), between(OTHER_ROLE, title))
+    said = F.filter(F.array(gaps, role), lambda x: x.isNotNull())
+    reason = F.filter(F.slice(F.coalesce(F.col("recommendation")["reasons"], none), 1, 1), lambda r: ~F.exists(F.col("_said"), lambda x: F.contains(x, F.substring(r, 1, 20))))
+    short = lambda b: F.when(F.length(b) > 120, F.concat(F.substring(b, 1, 117), F.lit("…"))).otherwise(b)
+    place = F.array_join(F.filter(F.array(blank("company", ""), blank("location", "")), lambda x: x != ""), " • ")
+    shown = F.struct(
+        blank("title", "Untitled").alias("title"), place.alias("place"), F.struct("skill_match", "target_role_match", "overall_match").alias("scores"),
+        F.slice(strong, 1, 8).alias("strong"), F.slice(missing, 1, 8).alias("missing"), F.transform(F.slice(F.coalesce("summary_bullets", none), 1, 6), short).alias("requirements"),
+        F.slice(F.coalesce("flags", none), 1, 5).alias("flags"), F.concat("_said", reason).alias("suggestions"),
+    )
+    return df.withColumn("_said", said).withColumn("card", shown).drop("_said")
+
+
 def fit_class(overall: Column | str) -> Column:
     return F.when(col(overall) >= 72, "good").when(col(overall) >= 42, "warn").otherwise("bad")
 

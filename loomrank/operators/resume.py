@@ -11,7 +11,7 @@ from loomrank.functions.js import blank, col, constant, let, unique, whole_word
 from loomrank.functions.lexicon import SKILLS, Skill
 from loomrank.functions.text import compact, normalize, normalize_token, tokenize
 
-from .dictionary import token
+from .dictionary import canonical_entry, token
 
 HEADINGS = r"TECHNICAL SKILLS|SKILLS|EXPERIENCE|WORK EXPERIENCE|PROJECTS|EDUCATION|SUMMARY"
 SECTION_CHARS = 2500
@@ -122,6 +122,48 @@ def effective_skills(parsed: Column | str, excluded: Column | str, manual: Colum
     return F.array_sort(unique(F.concat(kept, F.coalesce(col(manual), none))))
 
 
+def _excluded(excluded: Column | str) -> Column:
+    tidy = F.transform(F.coalesce(col(excluded), F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    return unique(F.filter(tidy, lambda x: x != ""))
+
+
+def still_excluded(excluded: Column | str, parsed: Column | str) -> Column:
+    """What stays excluded when a resume is parsed anew: skills that it still gives."""
+    none = F.array().cast("array<string>")
+    return let(F.transform(F.coalesce(col(parsed), none), lambda s: F.lower(s)), lambda now: F.filter(F.coalesce(col(excluded), none), lambda x: F.array_contains(now, F.lower(F.coalesce(x, F.lit(""))))))
+
+
+def hidden(excluded: Column | str, skill: Column | str) -> Column:
+    """The excluded skills with one more."""
+    key = F.lower(F.trim(blank(skill, "")))
+    return let(_excluded(excluded), lambda x: F.when((key == "") | F.array_contains(x, key), x).otherwise(F.array_append(x, key)))
+
+
+def restored(excluded: Column | str, skill: Column | str) -> Column:
+    """The excluded skills without one."""
+    return F.array_remove(_excluded(excluded), F.lower(F.trim(blank(skill, ""))))
+
+
+def manual_added(weights: Column | str, excluded: Column | str, typed: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
+    """(weights, excluded, added): a typed skill with a weight of 1 in the map of manual ones and no longer excluded. What
+    names no skill changes nothing."""
+    own = F.coalesce(col(weights), F.create_map().cast("map<string,double>"))
+
+    def put(key: Column) -> Column:
+        more = F.map_concat(F.map_filter(own, lambda k, _: k != key), F.create_map(key, F.lit(1.0)))
+        was = _excluded(excluded)
+        after = F.when(F.array_contains(was, F.lower(key)), F.array_remove(was, F.lower(key))).otherwise(F.coalesce(col(excluded), F.array().cast("array<string>")))
+        kept = F.coalesce(col(excluded), F.array().cast("array<string>"))
+        return F.struct(F.when(key == "", own).otherwise(more).alias("weights"), F.when(key == "", kept).otherwise(after).alias("excluded"), (key != "").alias("added"))
+
+    return let(canonical_entry(typed, skills), put)
+
+
+def manual_removed(weights: Column | str, skill: Column | str) -> Column:
+    key = F.trim(blank(skill, ""))
+    return F.map_filter(col(weights), lambda k, _: k != key)
+
+
 def positive_keys(weights: Column | str) -> Column:
     """Keys of a map of skills with positive weights."""
     return F.map_keys(F.map_filter(col(weights), lambda _, v: v > 0))

@@ -84,6 +84,46 @@ def save_profile(profiles: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(profiles, named)
 
 
+def create_profile(profiles: DataFrame, name: str | None, now: int) -> DataFrame:
+    """The profiles with an empty one, named after the time in milliseconds; it isn't made active."""
+    new = profiles.sparkSession.range(1).select(F.lit(f"p-{now}").alias("id"), F.lit((name or "Untitled")[:80]).alias("name"))
+    empty = {c: F.lit("") if kind == "string" else F.array().cast(kind) if kind.startswith("array") else F.create_map().cast(kind) if kind.startswith("map") else F.lit(None).cast(kind) for c, kind in profiles.dtypes if c not in new.columns}
+    return profiles.filter(F.col("id") != f"p-{now}").unionByName(new.withColumns(empty))
+
+
+#: What a profile and the settings both hold of a resume.
+RESUME = ("resume_text", "resume_skills", "manual_skills", "excluded")
+
+
+def _or_empty(df: DataFrame, c: str) -> Column:
+    """A column, or the empty text, list or map."""
+    kind = dict(df.dtypes)[c]
+    return F.coalesce(F.col(c), F.lit("") if kind == "string" else F.array().cast(kind) if kind.startswith("array") else F.create_map().cast(kind))
+
+
+def resume_saved(profiles: DataFrame, settings: DataFrame) -> DataFrame:
+    """The profiles, the active one with the resume of the settings (one row)."""
+    active = active_profile(profiles).select(F.col("id").alias("_id"))
+    new = settings.select(*(F.col(c).alias(f"_{c}") for c in RESUME)).limit(1).join(active)
+    out = profiles.join(F.broadcast(new), F.col("id") == F.col("_id"), "left")
+    return out.withColumns({c: F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in RESUME}).select(profiles.columns)
+
+
+def default_seeded(profiles: DataFrame, settings: DataFrame) -> DataFrame:
+    """The profiles, the default one with the resume of the settings (one row) if it has none itself and they have one."""
+    has = lambda text, skills: (F.trim(F.coalesce(F.col(text), F.lit(""))) != "") | (F.coalesce(F.size(skills), F.lit(0)) > 0)
+    new = settings.filter(has("resume_text", "resume_skills")).select(*(_or_empty(settings, c).alias(f"_{c}") for c in RESUME), F.lit(True).alias("_new")).limit(1)
+    out = profiles.join(F.broadcast(new), (F.col("id") == "default") & ~has("resume_text", "resume_skills"), "left")
+    return out.withColumns({c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in RESUME}).select(profiles.columns)
+
+
+def settings_of_profile(settings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The settings with the resume of the active profile, if there is one."""
+    active = active_profile(profiles).select(*(_or_empty(profiles, c).alias(f"_{c}") for c in RESUME), F.lit(True).alias("_has"))
+    out = settings.join(F.broadcast(active), F.lit(True), "left")
+    return out.withColumns({c: F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(c)) for c in RESUME}).select(settings.columns)
+
+
 def application(df: DataFrame) -> DataFrame:
     """Application records with every column of the right type."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -790,6 +790,30 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATEST = 'SELECT (epoch_us(ts) // 1000) * 100000 + event_id AS "at", event_type AS type FROM events ORDER BY 1 DESC LIMIT 120'
 
 
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of its page each hint means: orders are rows of their customer's page, and each order gives a hint."""
+    o = _read(spark, sf_dir, "orders").withColumn("id", F.col("o_orderkey").cast("string"))
+    even = F.col("o_orderkey") % 2 == 0
+    jobs = o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("row_index"), F.when(even, F.col("id")).otherwise("").alias("job_id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("No "), "id", F.lit(" "), "o_orderstatus").alias("row_text"))
+    k, t = F.col("o_orderkey") % 4, F.col("o_orderkey") % 5
+    hint_id = F.when(k < 2, F.col("id")).when(k == 2, "").otherwise((F.col("o_orderkey") + 1).cast("string"))
+    title = F.when(t == 0, "").when(t == 1, "Low").when(t == 2, F.col("o_orderpriority")).when(t == 3, "medium").otherwise(F.concat("o_orderpriority", F.lit(" (urgent)")))
+    hints = o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("hint"), hint_id.alias("hint_id"), title.alias("hint_title"))
+    return eligibility.found_jobs(jobs, hints)
+
+
+JOB_LOOKUP = r"""
+WITH o AS (SELECT o_custkey AS page, o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+j AS (SELECT page, k AS row_index, CASE WHEN k % 2 = 0 THEN id ELSE '' END AS job_id, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS key, 'No ' || id || ' ' || s AS row_text FROM o),
+h AS (SELECT page, k AS hint, CASE k % 4 WHEN 2 THEN '' WHEN 3 THEN CAST(k + 1 AS VARCHAR) ELSE id END AS hint_id,
+             trim(regexp_replace(lower(CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'Low' WHEN 2 THEN p WHEN 3 THEN 'medium' ELSE p || ' (urgent)' END), '[^a-z0-9]+', ' ', 'g')) AS title FROM o),
+w AS (SELECT h.page, hint, row_index, CASE WHEN hint_id <> '' AND job_id = hint_id THEN 0 WHEN hint_id <> '' AND regexp_matches(row_text, '\b' || hint_id || '\b') THEN 1
+             WHEN title <> '' AND contains(key, title) THEN 2 WHEN title <> '' AND contains(title, key) THEN 3 END AS way FROM h JOIN j ON h.page = j.page),
+b AS (SELECT page, hint, row_index, way, row_number() OVER (PARTITION BY page, hint ORDER BY way NULLS LAST, row_index) AS n FROM w)
+SELECT page, hint, CASE WHEN way IS NOT NULL THEN row_index END AS row_index, way FROM b WHERE n = 1
+"""
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "text_primitives": (text_primitives, TEXT_PRIMITIVES), "hashes": (hashes, HASHES), "alias_hits": (alias_hits, ALIAS_HITS), "sentence_skills": (sentence_skills, SENTENCE_SKILLS),
@@ -800,7 +824,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "viability_grid": (viability_grid, VIABILITY_GRID), "page_keys": (page_keys, PAGE_KEYS), "job_cache": (cache, CACHE), "application_status": (applications, APPLICATIONS), "upserted_records": (upserted, UPSERTED),
     "field_intents": (field_intents, FIELD_INTENTS), "ranked_jobs": (ranked_jobs, None), "resume_skill_sets": (resume_skill_sets, None), "listing_signature": (listing_signature, None), "text_quality": (text_quality, TEXT_QUALITY),
     "semantic_vectors": (semantic_vectors, None), "described_pages": (described_pages, None), "page_jobs": (page_jobs, None), "event_bursts": (event_bursts, EVENT_BURSTS), "event_activity": (event_activity, EVENT_ACTIVITY),
-    "latest_events": (latest, LATEST),
+    "latest_events": (latest, LATEST), "job_lookup": (job_lookup, JOB_LOOKUP),
 }
 
 

@@ -150,3 +150,62 @@ def test_resume_repairs(spark):
     for k in range(0, len(units), 2):
         h = ((h ^ int.from_bytes(units[k : k + 2], "big")) * 16777619) & 0xFFFFFFFF
     assert value(spark, text.hash32(F.lit("é😀"))) == h
+
+
+def test_job_lookup(spark):
+    jobs = spark.createDataFrame([("p", 0, "11", "Data Clerk", "11 Data Clerk"), ("p", 1, None, "Developer", "row 222 (new)"), ("p", 2, "3", None, None), ("q", 0, "11", "Developer II", "x")], "page string, row_index int, job_id string, title string, row_text string")
+    hints = spark.createDataFrame(
+        [("p", 1, " 11 ", "Developer"), ("p", 2, "222", ""), ("p", 3, "22", "CLERK"), ("p", 4, "", "Senior Developer"), ("q", 5, "2", "Baker"), ("r", 6, "11", "x"), ("q", 7, None, None), ("q", 8, "a.b(", "developer")],
+        "page string, hint int, hint_id string, hint_title string",
+    )
+    got = {r["hint"]: (r["row_index"], r["way"]) for r in eligibility.found_jobs(jobs, hints).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (0, 2), 4: (1, 3), 5: (None, None), 6: (None, None), 7: (None, None), 8: (0, 2)}
+    assert eligibility.found_jobs(jobs.limit(0), hints).filter("way is not null").count() == 0
+
+
+def test_manual_skills(spark):
+    weights = F.create_map(F.lit("sql"), F.lit(2.0), F.lit("go"), F.lit(1.0))
+    assert value(spark, resume.still_excluded(arr("SQL", "java"), arr("sql", "python"))) == ["SQL"]
+    assert value(spark, resume.hidden(arr(" SQL ", ""), F.lit("Java")), resume.hidden(arr("sql"), F.lit("SQL")), resume.restored(arr("SQL", "java"), F.lit("sql"))) == (["sql", "java"], ["sql"], ["java"])
+    put = resume.manual_added(weights, arr("Python", "x"), F.lit(" Python "))
+    assert value(spark, put["weights"], put["excluded"], put["added"]) == ({"sql": 2.0, "go": 1.0, "python": 1.0}, ["x"], True)
+    none = resume.manual_added(weights, arr("X"), F.lit(" "))
+    assert value(spark, none["weights"], none["excluded"], none["added"]) == ({"sql": 2.0, "go": 1.0}, ["X"], False)
+    first = resume.manual_added(F.lit(None).cast("map<string,double>"), F.lit(None).cast(TEXTS), F.lit("sql"))
+    assert value(spark, first["weights"], resume.manual_removed(weights, F.lit("go "))) == ({"sql": 1.0}, {"sql": 2.0})
+
+
+def test_profiles_and_settings(spark):
+    kind = "id string, name string, active boolean, resume_text string, resume_skills map<string,double>, manual_skills map<string,double>, excluded array<string>"
+    profiles = spark.createDataFrame([("default", "Default", None, " ", {}, None, None), ("p-1", "One", True, "old", {"sql": 1.0}, {"go": 1.0}, ["x"])], kind)
+    settings = spark.createDataFrame([(7, "new", {"java": 1.0}, None, ["y"])], "own int, resume_text string, resume_skills map<string,double>, manual_skills map<string,double>, excluded array<string>")
+    by = lambda df: {r["id"]: r for r in df.collect()}
+    made = by(stores.create_profile(profiles, "n" * 90, 5))
+    assert set(made) == {"default", "p-1", "p-5"} and made["p-5"]["name"] == "n" * 80 and made["p-5"]["resume_skills"] == {} and not made["p-5"]["active"]
+    assert by(stores.create_profile(profiles, None, 1))["p-1"]["name"] == "Untitled"
+    saved = by(stores.resume_saved(profiles, settings))
+    assert (saved["p-1"]["resume_text"], saved["p-1"]["excluded"], saved["default"]["resume_text"]) == ("new", ["y"], " ")
+    seeded = by(stores.default_seeded(profiles, settings))
+    assert (seeded["default"]["resume_text"], seeded["default"]["manual_skills"], seeded["p-1"]["resume_text"]) == ("new", {}, "old")
+    assert by(stores.default_seeded(profiles, settings.limit(0)))["default"]["resume_text"] == " "
+    loaded = stores.settings_of_profile(settings, profiles).first()
+    assert (loaded["own"], loaded["resume_text"], loaded["manual_skills"], loaded["excluded"]) == (7, "old", {"go": 1.0}, ["x"])
+    assert stores.settings_of_profile(settings, profiles.limit(0)).first()["resume_text"] == "new"
+
+
+def test_card(spark):
+    from loomrank.operators import ranking
+
+    rows = [
+        ("Clerk", "A", None, ["sql", "go", "c", "d", "e"], ["java", "sql"], ["x" * 121, "short"], list("abcdef"), 10, (["Missing much of what is asked"],)),
+        ("", "A", "T", [], None, None, None, 90, None),
+        ("Chef", "", "T", ["go"], ["java"], [], [], 45, (["Add a project featuring go, and more", "second"],)),
+    ]
+    kind = "title string, company string, location string, required_skills array<string>, preferred_skills array<string>, summary_bullets array<string>, flags array<string>, target_role_match int, recommendation struct<reasons:array<string>>"
+    df = ranking.card(spark.createDataFrame(rows, kind).withColumns({"skill_match": F.lit(1), "overall_match": F.lit(2)}), ["sql", "java"])
+    a, b, c = (r["card"] for r in df.coalesce(1).collect())
+    assert (a["title"], a["place"], a["strong"], a["missing"], a["requirements"], a["flags"]) == ("Clerk", "A", ["sql", "java"], ["go", "c", "d", "e"], ["x" * 117 + "…", "short"], list("abcde"))
+    assert a["suggestions"] == ["Focus on gaining experience in go and c — the most requested gaps.", 'Tailor your resume title/objective to align with "Clerk".', "Missing much of what is asked"]
+    assert (b["title"], b["place"], b["strong"], b["suggestions"]) == ("Untitled", "A • T", [], [])
+    assert (c["place"], c["strong"], c["suggestions"]) == ("T", ["java"], ["Add a project featuring go to strengthen your match."])  # the reason's first 20 characters are said already
+    assert ranking.card(df.drop("card").limit(0), []).count() == 0
