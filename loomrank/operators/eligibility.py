@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomrank.functions.js import blank, col, listed, matches
+from loomrank.functions.js import blank, col, let, listed, matches
 from loomrank.functions.text import normalize, title_key
 
 # Reasons of the term filter.
@@ -144,6 +144,41 @@ def found_jobs(jobs: DataFrame, hints: DataFrame, page: str = "page") -> DataFra
     return best.select(page, "hint", F.col("_best.row_index").alias("row_index"), F.col("_best.way").cast("int").alias("way"))
 
 
+# Words that tell no company apart in a page's section, and what a title in it is worth in characters.
+SECTION_WORDS = "inc ltd corp company division office group solutions technologies systems".split()
+TITLE_BOOST = 4000
+
+
+def section_matches(text: Column | str, job_id: Column | str, title: Column | str, company: Column | str) -> Column:
+    """Whether a section of a page is about a listed job: it has the job's id; else, unless it has other ids only, words of
+    the title and of the company that tell them apart."""
+
+    def about(low: Column) -> Column:
+        i = F.trim(blank(job_id, ""))
+        numbers = F.slice(F.regexp_extract_all(low, F.lit(r"(?<![A-Za-z0-9_])\d{5,8}(?![A-Za-z0-9_])"), 0), 1, 36)
+        other = (i != "") & (F.size(numbers) > 0) & ~F.array_contains(numbers, i)
+        words, telling = _telling(title, TITLE_WORDS)
+        keys = F.when(F.size(telling) > 0, telling).otherwise(words)
+        titled = (F.size(keys) > 0) & (F.size(F.filter(keys, lambda w: F.contains(low, w))) >= F.when(F.size(keys) >= 4, 2).otherwise(1))
+        _, firm = _telling(company, SECTION_WORDS)
+        named = (F.size(firm) == 0) | F.exists(firm, lambda w: F.contains(low, w))
+        return (low != "") & (((i != "") & F.contains(low, F.lower(i))) | (~other & titled & named))
+
+    return let(F.lower(blank(text, "")), about)
+
+
+def found_sections(jobs: DataFrame, sections: DataFrame, page: str = "page") -> DataFrame:
+    """For each job (page, row_index, job_id, title, company) the section (page, section, text, visible) of its page that
+    holds its posting: visible ones before others, then the longest, where the job's title counts as TITLE_BOOST
+    characters, then the first; null where none does. Only numbers of sections reach the aggregate."""
+    texts = sections.select(page, "section", F.coalesce("visible", F.lit(False)).alias("_seen"), normalize("text").alias("_text")).filter(looks_like_posting("_text"))
+    both = jobs.select(page, "row_index", "job_id", "title", "company").join(texts, page, "left")
+    named = F.lower(normalize("title"))
+    length = F.length("_text") + F.when((named != "") & F.contains(F.lower("_text"), named), TITLE_BOOST).otherwise(0)
+    rank = F.when(section_matches("_text", "job_id", "title", "company"), F.struct(F.col("_seen"), length.alias("n"), (-F.col("section")).alias("s")))
+    return both.groupBy(page, "row_index").agg(F.max(rank).alias("_best")).select(page, "row_index", (-F.col("_best.s")).alias("section"))
+
+
 def page_type(title: Column | str, path: Column | str, query: Column | str, body: Column | str, links: Column | int = 0, site: str = "") -> Column:
     """ratings, posting, listings or unknown. site: the host's own name in titles of listings, if it has one."""
     t, b, p = F.lower(blank(title, "")), F.lower(blank(body, "")), F.lower(blank(path, ""))

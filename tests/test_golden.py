@@ -209,3 +209,20 @@ def test_card(spark):
     assert (b["title"], b["place"], b["strong"], b["suggestions"]) == ("Untitled", "A • T", [], [])
     assert (c["place"], c["strong"], c["suggestions"]) == ("T", ["java"], ["Add a project featuring go to strengthen your match."])  # the reason's first 20 characters are said already
     assert ranking.card(df.drop("card").limit(0), []).count() == 0
+
+
+def test_sections(spark):
+    m = lambda *x: eligibility.section_matches(*map(F.lit, x))
+    cases = [
+        m("posting 123456 of x", "123456", "", ""), m("posting 654321 data platform acme", "123456", "Data Platform", "Acme Inc"), m("data platform at acme", "123456", "Data Platform", "Acme Inc"),
+        m("data platform at other", "", "Data Platform", "Acme Inc"), m("software developer", "", "Software Developer", ""), m("anything", "", "", ""), m(None, "1", "a", "b"),
+    ]
+    assert value(spark, *cases) == (True, False, True, False, True, False, False)
+    body = " Required: " + "much to do " * 30
+    sections = spark.createDataFrame(
+        [("p", 0, "short data platform", True), ("p", 1, "data platform" + body, True), ("p", 2, "platform" + body * 3, True), ("p", 3, "data platform" + body * 9, False), ("p", 4, "data platform" + body, True)],
+        "page string, section int, text string, visible boolean",
+    )
+    jobs = spark.createDataFrame([("p", 0, None, "Data Platform", None), ("p", 1, "", "Chef", ""), ("q", 2, "1", "Data Platform", "")], "page string, row_index int, job_id string, title string, company string")
+    got = {r["row_index"]: r["section"] for r in eligibility.found_sections(jobs, sections).collect()}
+    assert got == {0: 1, 1: None, 2: None}
