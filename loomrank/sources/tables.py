@@ -20,12 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes a table into the shared folder and reads it back. Shuffle files that nothing refers to any more go when the
     driver collects its garbage, so that is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     schema = df.schema
     del df
     gc.collect()
