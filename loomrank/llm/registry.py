@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_main, language, licenses, near_dedup, packing, quality, repeats, sentence_dedup
+from . import decontaminate, fingerprint, html_main, language, licenses, near_dedup, packing, quality, ranked_search, repeats, sentence_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -25,8 +25,9 @@ def queries() -> dict:
         "op8_repeats": repeats.op8_repeats,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle(), "op9_decontaminate": decontaminate.ORACLE}
+    return {"op1_licenses": licenses.oracle(), "op9_decontaminate": decontaminate.ORACLE, "op11_ranked_search": ranked_search.ORACLE}
