@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from loomrank.sources.tables import dropped, stored  # noqa: F401
 
-#: Rows of a batch that goes to Python: whole texts are held, so few of them.
-BATCH_ROWS = 400
+#: Rows and bytes of a batch that goes to Python: whole texts are held, so few of them.
+BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,8 +21,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of a batch handed to Python; long texts make large batches."""
+    """Bounds the rows and the bytes of a batch handed to Python: a batch ends at the first row that reaches either."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

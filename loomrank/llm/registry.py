@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_main, language, licenses, near_dedup, packing, quality, ranked_search, repeats, sentence_dedup
+from . import decontaminate, divergence, fingerprint, html_main, language, licenses, near_dedup, packing, quality, ranked_search, repeats, sentence_dedup, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -26,8 +26,10 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
         "op11_ranked_search": ranked_search.op11_ranked_search,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle(), "op9_decontaminate": decontaminate.ORACLE, "op11_ranked_search": ranked_search.ORACLE}
+    return {"op1_licenses": licenses.oracle(), "op9_decontaminate": decontaminate.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_divergence": divergence.ORACLE}
