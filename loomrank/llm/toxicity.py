@@ -10,8 +10,8 @@ Training reads a bounded sample: of the labelled rows that aren't held out, the
 ids. Sums for the ratios are whole numbers, so they don't depend on the order of tasks; what comes to the driver is a row
 for each chosen bucket and at most FEATURES figures for each sampled row. lang, source and doc_id are never inputs of a score.
 
-Defined cases: empty and null texts have no n-grams and get the score of the offset alone; without a labelled row every
-score is 0, with labels of one kind only every score is that label; of several labels of a document the largest counts, of
+Defined cases: empty and null texts have no n-grams and get the score of the offset alone; without a labelled text every
+score is 0, with labelled texts of one kind only every score is that label; of several labels of a document the largest counts, of
 several texts of an id the least; rows without a label are scored, never learned from; repeated rows each give their row; other
 columns are ignored.
 """
@@ -29,8 +29,8 @@ from .common import adam, bounded, bytes_of, held_out, read, small_batches, stor
 from .language import LETTER_BYTES
 
 #: Labelled rows of the training sample, toxic and other.
-TOXIC, OTHERS = 2500, 5000
-BITS, FEATURES = 18, 1 << 14
+TOXIC, OTHERS = 2500, 4000
+BITS, FEATURES = 18, 1 << 13
 SHORTEST, LONGEST = 3, 6
 THRESHOLD = 0.5
 #: Bytes whose n-grams are looked up at a time, and the scale of the sums.
@@ -62,6 +62,15 @@ def shares(raw: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
     return np.sqrt(counts[:size] / max(total, 1))
 
 
+def present(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text has, and the square roots of their shares."""
+    if len(raw) > STEP:
+        x = shares(raw, np.arange(1 << BITS), 1 << BITS)
+        return np.flatnonzero(x), x[x > 0]
+    some, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *grams(raw)]), return_counts=True)
+    return some.astype(np.int64), np.sqrt(n / max(1, n.sum()))
+
+
 @dataclass
 class Model:
     place: np.ndarray
@@ -87,27 +96,22 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int =
     return stored(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y")), "toxicity-sample"), counts
 
 
-def ratios(rows: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that tell the classes apart best, and the naive Bayes log-count ratio of each."""
+def ratios(rows: DataFrame, n: dict[int, int], features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell the classes apart best, and the naive Bayes log-count ratio of each; n: rows of each class."""
     size = 1 << BITS
-    every = np.arange(size)
 
     def run(batches):
         sums = np.zeros((6, size), np.int64)  # x, x*x and share, of others and of toxic texts
         for b in batches:
             data, at = bytes_of(b.column("text"))
             for i, y in enumerate(b.column("y").to_pylist()):
-                x = shares(data[at[i] : at[i + 1]], every, size)
-                some = np.flatnonzero(x)
-                for k, v in enumerate((x[some], x[some] ** 2, x[some] ** 2 * SCALE)):
+                some, x = present(data[at[i] : at[i + 1]])
+                for k, v in enumerate((x, x**2, x**2 * SCALE)):
                     sums[2 * k + y, some] += np.rint(v * SCALE).astype(np.int64)
         some = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(s[some]) for s in sums)], names=names)
 
     names = ["bucket", "x0", "x1", "xx0", "xx1", "share0", "share1"]
-    n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return np.zeros(0, np.int64), np.zeros(0)
     sums = rows.select("y", "text").mapInArrow(bounded(run), ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:]))
     mean = lambda c, y: F.col(f"{c}{y}") / float(n[y] * SCALE)
     noise = lambda y: (mean("xx", y) - mean("x", y) * mean("x", y)) / float(n[y])
@@ -118,16 +122,24 @@ def ratios(rows: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, np.nd
     return np.array([r["bucket"] for r in got], np.int64), np.log((p + smooth) / (q + smooth))
 
 
-def train(y: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, size: int, weight: np.ndarray, steps: int = 200, l2: float = 1e-4) -> np.ndarray:
+def train(y: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, size: int, weight: np.ndarray, steps: int = 150, l2: float = 1e-4) -> np.ndarray:
     """Weights of logistic regression over sparse features, in row order; weight: of each row."""
     w, b = np.zeros(size), np.zeros(1)
+    order = np.argsort(column, kind="stable")  # by column too, so that both sums run along memory
+    by_row, by_column = row[order], value[order]
+    first, some = np.unique(column[order], return_index=True)[::-1]
+    starts, rows = np.unique(row, return_index=True)[::-1]
 
     def grad():
-        z = np.bincount(row, value * w[column], len(y)) + b[0]
+        z = np.full(len(y), b[0])
+        z[rows] += np.add.reduceat(value * w[column], starts)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        return [np.bincount(column, value * g[row], size) + l2 * w, np.array([g.sum()])]
+        out = l2 * w
+        out[some] += np.add.reduceat(by_column * g[by_row], first)
+        return [out, np.array([g.sum()])]
 
-    adam(grad, [w, b], steps, 0.05)
+    if len(row):
+        adam(grad, [w, b], steps, 0.05)
     return np.append(w, b)
 
 
@@ -148,13 +160,14 @@ def line(z: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tupl
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OTHERS, features: int = FEATURES) -> Model | None:
     small_batches(docs.sparkSession)
     rows, counts = sample(docs, labels, toxic, others)
-    if not counts.sum():
+    n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    if not n:
         return None
-    buckets, ratio = ratios(rows, features)
+    buckets, ratio = ratios(rows, n, features) if len(n) == 2 else (np.zeros(0, np.int64), np.zeros(0))
     size = len(buckets)
     place = np.full(1 << BITS, size, np.int32)
-    if not size:  # one class only
-        return Model(place, np.zeros(0), 0.0, 40.0 if counts[1] else -40.0)
+    if len(n) < 2:
+        return Model(place, np.zeros(0), 0.0, 40.0 if 1 in n else -40.0)
     place[buckets] = np.arange(size)
 
     def run(batches):
@@ -171,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OT
     y = np.array([r["y"] for r in got], float)
     columns, values = [np.frombuffer(r["k"], np.int32) for r in got], [np.frombuffer(r["x"], np.float32) for r in got]
     del got
-    row, column, plain = np.repeat(np.arange(len(y)), [len(k) for k in columns]), np.concatenate(columns), np.concatenate(values)
+    row, column, plain = np.repeat(np.arange(len(y)), [len(k) for k in columns]), np.concatenate(columns).astype(np.int64), np.concatenate(values)
     value = plain * ratio[column]
     scale = max(float(np.sqrt((value**2).sum() / len(y))), 1e-9)
     value /= scale
