@@ -29,7 +29,7 @@ from .common import adam, bounded, bytes_of, held_out, read, small_batches, stor
 from .language import LETTER_BYTES
 
 #: Labelled rows of the training sample, toxic and other.
-TOXIC, OTHERS = 2500, 4000
+TOXIC, OTHERS = 2000, 3000
 BITS, FEATURES = 18, 1 << 13
 SHORTEST, LONGEST = 3, 6
 THRESHOLD = 0.5
@@ -127,15 +127,16 @@ def train(y: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray,
     w, b = np.zeros(size), np.zeros(1)
     order = np.argsort(column, kind="stable")  # by column too, so that both sums run along memory
     by_row, by_column = row[order], value[order]
+    half = np.float32
     first, some = np.unique(column[order], return_index=True)[::-1]
     starts, rows = np.unique(row, return_index=True)[::-1]
 
     def grad():
         z = np.full(len(y), b[0])
-        z[rows] += np.add.reduceat(value * w[column], starts)
+        z[rows] += np.add.reduceat(value * w.astype(half)[column], starts)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         out = l2 * w
-        out[some] += np.add.reduceat(by_column * g[by_row], first)
+        out[some] += np.add.reduceat(by_column * g.astype(half)[by_row], first)
         return [out, np.array([g.sum()])]
 
     if len(row):
@@ -180,20 +181,22 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OT
                 names=["doc_id", "y", "k", "x"],
             )
 
+    # numbers of half the usual width: this is all that the driver holds
     got = sorted(rows.select("doc_id", "y", "text").mapInArrow(bounded(run), "doc_id long, y int, k binary, x binary").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got], float)
     columns, values = [np.frombuffer(r["k"], np.int32) for r in got], [np.frombuffer(r["x"], np.float32) for r in got]
     del got
-    row, column, plain = np.repeat(np.arange(len(y)), [len(k) for k in columns]), np.concatenate(columns).astype(np.int64), np.concatenate(values)
-    value = plain * ratio[column]
-    scale = max(float(np.sqrt((value**2).sum() / len(y))), 1e-9)
-    value /= scale
+    row, column = np.repeat(np.arange(len(y), dtype=np.int32), [len(k) for k in columns]), np.concatenate(columns)
+    value = np.concatenate(values) * ratio.astype(np.float32)[column]
+    del columns, values
+    scale = max(float(np.sqrt(value @ value / len(y))), 1e-9)
+    value /= np.float32(scale)
     test = np.arange(len(y)) % 5 == 0 if min(y.sum(), (1 - y).sum()) >= 25 else np.zeros(len(y), bool)
     learn = ~test
     number, use = np.cumsum(learn) - 1, learn[row]
     share = np.bincount(y[learn].astype(int), minlength=2)
     w = train(y[learn], number[row[use]], column[use], value[use], size, 0.5 / np.maximum(share, 1)[y[learn].astype(int)])
-    margin = np.bincount(row, value * w[column], len(y)) + w[-1]
+    margin = np.bincount(row, value * w.astype(np.float32)[column], len(y)) + w[-1]
     check = test if test.any() else learn
     seen = np.bincount(y[check].astype(int), minlength=2)
     prior = counts / counts.sum()
