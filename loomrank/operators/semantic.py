@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +31,19 @@ _ENDING = re.compile(r"(ing|edly|ed|ly|es|s)\Z")
 _SPLIT = re.compile(r"[^a-z0-9#+.\-/]+")
 
 
-def fnv(text: str) -> int:
-    h = 2166136261
+def fnv(text: str, h: int = 2166136261) -> int:
     for unit in np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).tolist():
         h = (h ^ unit) * 16777619 & 0xFFFFFFFF
     return h
 
 
+@lru_cache(maxsize=1 << 17)
+def _places(feature: str) -> tuple[int, int]:
+    """The two hashes of a feature; texts share most of theirs, so a worker keeps them."""
+    h = fnv(feature)
+    return h, fnv("::2", h)
+
+
 def features(text: str, named: Sequence[str] = ()) -> Counter:
     """Counts of stemmed tokens, their trigrams and bigrams, and of skills that the text names."""
     tokens = [t for t in _SPLIT.split(" ".join((text or "").lower().split())) if t]
@@ -57,7 +64,7 @@ def vector(counts: Counter) -> np.ndarray:
     out = np.zeros(DIMS, np.float32)
     for feature, n in counts.items():
         w = n**0.5
-        for h, share in ((fnv(feature), 1.0), (fnv(f"{feature}::2"), 0.5)):
+        for h, share in zip(_places(feature), (1.0, 0.5), strict=True):
             out[h % DIMS] += np.float32(w * share if h & 1 else -w * share)
     length = float(np.sqrt((out.astype(np.float64) ** 2).sum()))
     return (out / np.float32(length)) if length > 0 else out
@@ -68,10 +75,16 @@ def _vectors(texts: pd.Series, named: pd.Series) -> pd.Series:
     return pd.Series([vector(features(t, list(n) if n is not None else [])).tolist() for t, n in zip(texts, named, strict=True)])
 
 
+def constant(spark: SparkSession, text: str, skills: Sequence[Skill] = SKILLS) -> Column:
+    """The vector of one given text as a literal, so that no row works it out again."""
+    named = spark.range(1).select(skills_in(F.lit(text), skills).alias("n")).first()["n"]
+    return F.array(*(F.lit(float(x)).cast("float") for x in vector(features(text, named))))
+
+
 def embedding(text: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """The unit vector of a text, 192 floats; zeros for an empty one."""
-    t = blank(text, "")
-    return _vectors(t, skills_in(t, skills))
+    # skills_in takes care of nulls and empty texts itself; a nullif of a nullif as an argument isn't taken apart by the optimiser
+    return _vectors(blank(text, ""), skills_in(text, skills))
 
 
 def semantic_match(

@@ -738,11 +738,11 @@ FROM q
 
 def semantic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of all documents and their likeness to a role."""
-    from loomrank.operators.semantic import embedding
+    from loomrank.operators.semantic import constant, embedding
 
     d = _read(spark, sf_dir, "documents").select("doc_id", embedding("text", WORDS).alias("v"))
-    role = spark.range(1).select(embedding(F.lit("the article that was with them"), WORDS).alias("r"))
-    return d.join(F.broadcast(role)).select("doc_id", F.round(scoring.cosine("v", "r"), 5).alias("cosine"), scoring.similarity_percent(scoring.cosine("v", "r")).alias("percent"))
+    like = scoring.cosine("v", constant(spark, "the article that was with them", WORDS))
+    return d.select("doc_id", like.alias("c")).select("doc_id", F.round("c", 5).alias("cosine"), scoring.similarity_percent(F.col("c")).alias("percent"))
 
 
 def described_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
