@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomrank.functions import text
 from loomrank.functions.lexicon import read_skills
-from loomrank.operators import dictionary, eligibility, posting, ranking, ratings, scoring, search, stores, tracker
+from loomrank.operators import details, dictionary, eligibility, posting, ranking, ratings, scoring, search, stores, tracker
 from loomrank.operators.scoring import Profile
 from loomrank.sources.tables import stored
 
@@ -305,22 +305,21 @@ def _fields_of(must: bool) -> str:
     return f"flatten(list_transform(list_filter(deg, lambda x: {test}), lambda x: {each}))"
 
 
-PARSED = f"""
-WITH p AS (SELECT doc_id AS row_index, {SQL_NORMAL.format(SQL_BODY)} AS s FROM documents),
-q AS (SELECT row_index, s, lower(s) AS low, string_split(regexp_replace(s, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS sents FROM p),
+_PARSE = f"""q AS (SELECT row_index, s, lower(s) AS low, string_split(regexp_replace(s, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS sents FROM p),
 r AS (SELECT *, list_filter(sents, lambda x: {_sentence_any(posting.REQUIRED_WORDS)} OR (regexp_matches(lower(x), {_q(posting.HARD_CUE)}) AND ({_ALIAS_ANY}))) AS req,
              list_filter(sents, lambda x: {_sentence_any(posting.PREFERRED_WORDS)} OR (regexp_matches(lower(x), {_q(_SQL_SOFT)}) AND ({_ALIAS_ANY}))) AS pre,
              list_filter(sents, lambda x: {_sentence_any(posting.SUMMARY_WORDS)}) AS sums, {_DEGREE} AS deg FROM q),
 t AS (SELECT *, list_filter(pre, lambda x: NOT list_contains(req, x)) AS pref FROM r),
-u AS (SELECT *, {_SKILLS_OF.format("req")} AS rs, {_SKILLS_OF.format("pref")} AS ps, {_fields_of(True)} AS rf, {_fields_of(False)} AS pf FROM t)
-SELECT row_index, array_to_string(rs, '|') AS required_skills, array_to_string(list_filter(ps, lambda z: NOT list_contains(rs, z)), '|') AS preferred_skills,
+u AS (SELECT *, {_SKILLS_OF.format("req")} AS rs, {_SKILLS_OF.format("pref")} AS ps, {_fields_of(True)} AS rf, {_fields_of(False)} AS pf FROM t)"""
+_PARSED_ROWS = f"""SELECT row_index, array_to_string(rs, '|') AS required_skills, array_to_string(list_filter(ps, lambda z: NOT list_contains(rs, z)), '|') AS preferred_skills,
        CAST(len(list_distinct(req)) AS INTEGER) AS n_required, CAST(len(list_distinct(pref)) AS INTEGER) AS n_preferred, CAST(least(8, len(list_distinct(sums))) AS INTEGER) AS n_bullets,
        regexp_matches(low, {_q(posting.COVER_REQUIRED)}) AS cover_required, regexp_matches(low, {_q(posting.COVER_RECOMMENDED)}) AS cover_recommended, regexp_matches(low, {_q(posting.TRANSCRIPT)}) AS transcript,
        nullif(trim(regexp_extract(s, {_q("(?i)" + posting.GPA)})), '') AS gpa, regexp_matches(low, {_q(posting.FIRST_YEAR)}) AS first_year, regexp_matches(low, {_q(posting.MASTERS)}) AS masters,
        regexp_matches(low, {_q(posting.GRADUATE)}) AS graduate, nullif(trim(regexp_extract(s, {_q("(?i)" + posting.TERM_RESTRICTION)})), '') AS restriction,
        array_to_string({_in_order("rf")}, '|') AS required_fields, array_to_string(list_filter({_in_order("pf")}, lambda z: NOT list_contains(rf, z)), '|') AS preferred_fields
-FROM u
-"""
+FROM u"""
+PARSED = f"WITH p AS (SELECT doc_id AS row_index, {SQL_NORMAL.format(SQL_BODY)} AS s FROM documents), {_PARSE} {_PARSED_ROWS}"
+
 
 
 def hard_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -814,6 +813,110 @@ SELECT page, hint, CASE WHEN way IS NOT NULL THEN row_index END AS row_index, wa
 """
 
 
+# --- the posting behind a listed job ---------------------------------------------------------------------------------
+
+_HOST = "https://jobs.example.org"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs on pages of twenty: a document each, with a number, a number with letters, or none."""
+    p = postings(spark, sf_dir).withColumnRenamed("row_index", "job_key")
+    k = F.col("job_key")
+    number = (k + 100_000).cast("string")
+    job_id = F.when(k % 4 == 0, "").when(k % 8 == 5, F.concat(F.lit("J-"), number)).otherwise(number)
+    return p.select(F.floor(k / 20).alias("page"), "job_key", job_id.alias("job_id"), "title", "company", "text", number.alias("number"))
+
+
+def _scripts(listed: DataFrame) -> DataFrame:
+    """A script for each document, which names its number, its neighbour's, or none."""
+    k = F.col("job_key")
+    text = F.when(k % 3 == 0, F.concat(F.lit("var postingId = J-"), "number", F.lit("; "), "title", F.lit(". "), "text"))
+    text = text.when(k % 3 == 1, F.concat(F.lit("show(9"), (k + 100_001).cast("string"), F.lit("7); "), "text")).otherwise(F.concat("title", F.lit(" "), "text"))
+    return listed.select("page", k.alias("script"), text.alias("text"))
+
+
+def script_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scripts of a page say of each of its jobs."""
+    listed = _listed(spark, sf_dir)
+    return details.harvested(listed, _scripts(listed)).select("job_key", "n_chunks", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+_SQL_LISTED = f"""listed AS (SELECT doc_id // 20 AS page, doc_id AS k, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 8 = 5 THEN 'J-' || (doc_id + 100000) ELSE (doc_id + 100000)::VARCHAR END AS job_id,
+  {_sql_pick(TITLES)} AS title, source AS company, {SQL_BODY} AS body FROM documents),
+script AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY k) AS n FROM (SELECT page, k, CASE k % 3 WHEN 0 THEN 'var postingId = J-' || (k + 100000) || '; ' || title || '. ' || body
+  WHEN 1 THEN 'show(9' || (k + 100001) || '7); ' || body ELSE title || ' ' || body END AS text FROM listed) QUALIFY n <= 30),
+pair AS (SELECT l.k, l.job_id, l.title, n, CASE WHEN l.job_id <> '' AND contains(text[:6000], l.job_id) THEN text[:6000] WHEN regexp_matches(text, '(?i)jobs\\.htm|postingid|jobid|positionid|opportunityid') THEN text[:2400] END AS c
+  FROM listed l JOIN script s ON l.page = s.page),
+words AS (SELECT *, lower(c) AS low, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: len(w) >= 4) AS ws FROM pair WHERE len(c) >= 220),
+chunk AS (SELECT * FROM words WHERE contains(low, lower(job_id)) AND (regexp_matches(low, '(skills and experience|required|preferred|job summary|job responsibilities|job posting information|application information|work term duration)')
+  OR regexp_matches(low, '(required skills|preferred skills)') OR len(list_filter(ws, lambda w: contains(low, w))) >= CASE WHEN len(ws) = 0 THEN 2 ELSE least(2, len(ws)) END)),
+harvest AS (SELECT k, count(*) AS n_chunks, string_agg(c, chr(10) ORDER BY n) AS text FROM (SELECT k, c, min(n) AS n FROM chunk GROUP BY ALL) GROUP BY k)"""
+SCRIPT_POSTINGS = f"WITH {_SQL_LISTED} SELECT k AS job_key, n_chunks::INTEGER AS n_chunks, len(text)::INTEGER AS n_chars, md5(text) AS md5 FROM harvest"
+
+
+def job_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each listed job's posting was found: in the cache, a response, the page's scripts or the job's own page."""
+    listed = _listed(spark, sf_dir)
+    k = F.col("job_key")
+    whole = F.concat(F.lit("Job Posting Information. "), F.when(k % 3 < 2, F.concat(F.lit("Job ID "), "number", F.lit(". "))).otherwise(""), "title", F.lit(". "), "text")
+    anonymous = F.concat("title", F.lit(". "), "text")
+    # ^ picks the other of two neighbours
+    view, item = F.concat(F.lit(f"{_HOST}/posting/view.htm?id="), k.cast("string")), lambda name: F.concat(F.lit(f"{_HOST}/list.htm?{name}="), "number")
+    other = F.concat(F.lit(f"{_HOST}/posting/view.htm?id="), k.bitwiseXOR(F.lit(1)).cast("string"))
+    named = F.when(k % 3 > 0, item("postingId")).otherwise(item("page"))
+    form, body = F.lit(f"{_HOST}/form"), F.concat(F.lit("id="), "number")
+    row = lambda *x: F.struct(*(F.lit(v).alias(n) if not hasattr(v, "alias") else v.alias(n) for n, v in zip(("position", "method", "url", "body", "confidence"), x, strict=True)))
+    requests = listed.select("job_key", F.inline(F.array(row(0, "get", other, "", ""), row(1, "GET", named, "", "low"), row(2, "POST", form, body, F.when(k % 2 == 0, "High").otherwise("")))))
+    cache = listed.filter("job_key % 5 < 2").select(view.alias("url"), whole.alias("text")).unionByName(listed.filter("job_key % 7 = 0").select(item("postingId").alias("url"), whole.alias("text")))
+    answers = [
+        listed.filter("job_key % 2 = 0").select(F.lit("GET").alias("method"), view.alias("url"), F.lit(None).cast("string").alias("body"), whole.alias("text")),
+        listed.filter("job_key % 9 < 3").select(F.lit("GET").alias("method"), named.alias("url"), F.lit("").alias("body"), whole.alias("text")),
+        listed.filter("job_key % 4 = 2").select(F.lit("post").alias("method"), form.alias("url"), body.alias("body"), anonymous.alias("text")),
+    ]
+    responses = answers[0].unionByName(answers[1]).unionByName(answers[2])
+    pages = listed.filter("job_key % 11 < 6").select("job_key", whole.alias("text"))
+    found = details.details(listed, requests, cache, responses, details.harvested(listed, _scripts(listed)), pages, WORDS)
+    return found.select("job_key", "found", "position", "url", F.length("full_text").alias("n_chars"), F.array_join("required_skills", "|").alias("required_skills"))
+
+
+def _sql_same(high: str = "false") -> str:
+    """The rule of a posting that is a listed job's, over columns of a parsed text and of a job."""
+    words = lambda c: f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: len(w) >= 4)"
+    plain = "['intern', 'internship', 'co', 'coop', 'student', 'position', 'role', 'job', 'junior', 'senior', 'assistant', 'engineering', 'developer', 'software', 'analyst']"
+    telling = f"list_filter({words('title')}, lambda w: NOT list_contains({plain}, w))"
+    keys = f"(CASE WHEN len({telling}) > 0 THEN {telling} ELSE {words('title')} END)"
+    titled = f"CASE WHEN len({keys}) = 0 THEN len(s) >= 900 ELSE len(list_filter({keys}, lambda w: contains(lower(s), w))) >= CASE WHEN len({keys}) >= 4 THEN 2 ELSE 1 END END"
+    full = f"(len(s) >= 220 AND regexp_matches(lower(s), '(skills and experience|required|preferred|job summary|job responsibilities|job posting information|application information|work term duration)') AND (n_skills >= 3 OR stated OR len(s) >= 1400) AND {titled})"
+    numbers = r"regexp_extract_all(lower(s), '\b[0-9]{5,8}\b')[:24]"
+    firm = words("company")
+    ok = f"(job_id <> '' AND contains(lower(s), lower(job_id))) OR NOT ((job_id <> '' AND len({numbers}) > 0 AND NOT list_contains({numbers}, lower(job_id))) OR (len({firm}) > 0 AND len(list_filter({firm}, lambda w: contains(lower(s), w))) = 0 AND job_id = '' AND n_skills < 8))"
+    return f"{full} AND ({high} OR {ok})"
+
+
+_COUNT = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, '|')) END"
+JOB_DETAILS = rf"""
+WITH {_SQL_LISTED},
+written AS (SELECT k, 'Job Posting Information. ' || CASE WHEN k % 3 < 2 THEN 'Job ID ' || (k + 100000) || '. ' ELSE '' END || title || '. ' || body AS whole, title || '. ' || body AS anonymous FROM listed),
+tx AS (SELECT 'w' || k AS row_index, whole AS raw FROM written UNION ALL SELECT 'a' || k, anonymous FROM written UNION ALL SELECT 'h' || k, text FROM harvest),
+p AS (SELECT row_index, {SQL_NORMAL.format("raw")} AS s FROM tx),
+{_PARSE}, z AS ({_PARSED_ROWS}),
+x AS (SELECT row_index AS id, s, required_skills, {_COUNT.format("required_skills")} + {_COUNT.format("preferred_skills")} AS n_skills,
+      regexp_matches(low, 'work\s*term\s*duration\s*:\s*[^\s]') OR cover_required OR transcript OR restriction IS NOT NULL OR required_fields <> '' AS stated FROM z JOIN (SELECT row_index, s, low FROM q) USING (row_index)),
+asked AS (SELECT k, job_id, title, company, unnest([0, 1, 2]) AS position FROM listed),
+a AS (SELECT *, CASE position WHEN 0 THEN '{_HOST}/posting/view.htm?id=' || xor(k, 1) WHEN 1 THEN '{_HOST}/list.htm?' || CASE WHEN k % 3 > 0 THEN 'postingId=' ELSE 'page=' END || (k + 100000) ELSE '{_HOST}/form' END AS url,
+      CASE position WHEN 0 THEN xor(k, 1) ELSE k END AS target FROM asked),
+way AS (
+  SELECT a.*, 0 AS kind, false AS sure, 'w' || target AS id FROM a WHERE position = 0 AND target % 5 < 2 OR position = 1 AND k % 3 > 0 AND target % 7 = 0
+  UNION ALL SELECT a.*, 1, false, 'w' || target FROM a WHERE position = 0 AND target % 2 = 0 OR position = 1 AND target % 9 < 3
+  UNION ALL SELECT a.*, 1, k % 2 = 0, 'a' || target FROM a WHERE position = 2 AND target % 4 = 2
+  UNION ALL SELECT k, job_id, title, company, 1000, NULL, k, 2, false, 'h' || k FROM listed
+  UNION ALL SELECT k, job_id, title, company, 1000, NULL, k, 3, false, 'w' || k FROM listed WHERE k % 11 < 6),
+ok AS (SELECT way.k, kind, position, url, len(s) AS n_chars, required_skills FROM way JOIN x USING (id) WHERE {_sql_same("sure")}),
+best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY k ORDER BY position, kind) = 1)
+SELECT listed.k AS job_key, ['cache', 'response', 'context', 'page'][kind + 1] AS found, CASE WHEN kind < 2 THEN position END::INTEGER AS position, url, n_chars::INTEGER AS n_chars, required_skills FROM listed LEFT JOIN best USING (k)
+"""
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "text_primitives": (text_primitives, TEXT_PRIMITIVES), "hashes": (hashes, HASHES), "alias_hits": (alias_hits, ALIAS_HITS), "sentence_skills": (sentence_skills, SENTENCE_SKILLS),
@@ -824,7 +927,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "viability_grid": (viability_grid, VIABILITY_GRID), "page_keys": (page_keys, PAGE_KEYS), "job_cache": (cache, CACHE), "application_status": (applications, APPLICATIONS), "upserted_records": (upserted, UPSERTED),
     "field_intents": (field_intents, FIELD_INTENTS), "ranked_jobs": (ranked_jobs, None), "resume_skill_sets": (resume_skill_sets, None), "listing_signature": (listing_signature, None), "text_quality": (text_quality, TEXT_QUALITY),
     "semantic_vectors": (semantic_vectors, None), "described_pages": (described_pages, None), "page_jobs": (page_jobs, None), "event_bursts": (event_bursts, EVENT_BURSTS), "event_activity": (event_activity, EVENT_ACTIVITY),
-    "latest_events": (latest, LATEST), "job_lookup": (job_lookup, JOB_LOOKUP),
+    "latest_events": (latest, LATEST), "job_lookup": (job_lookup, JOB_LOOKUP), "script_postings": (script_postings, SCRIPT_POSTINGS), "job_details": (job_details, JOB_DETAILS),
 }
 
 
