@@ -43,6 +43,16 @@ def ngrams(tokens: Column | str, least: int, most: int) -> Column:
     return let(tokens, lambda t: F.concat(*(of(t, n) for n in range(least, most + 1))))
 
 
+def n_ngrams(tokens: Column | str, least: int, most: int) -> Column:
+    """How many runs ngrams() gives, without making them."""
+    return sum((F.greatest(F.lit(0), F.size(col(tokens)) - n + 1) for n in range(least, most + 1)), F.lit(0))
+
+
+def last_ngram(tokens: Column | str, least: int, most: int) -> Column:
+    """The last run that ngrams() gives: that of the last tokens alone."""
+    return F.get(F.reverse(ngrams(F.slice(col(tokens), -F.least(F.greatest(F.size(col(tokens)), F.lit(1)), F.lit(most)), F.lit(most)), least, most)), F.lit(0))
+
+
 def sentences(text: Column | str) -> Column:
     """Parts that end with . ! or ? before a space."""
     parts = F.split(normalize(text), r"(?<=[.!?]) +")

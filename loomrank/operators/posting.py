@@ -48,12 +48,24 @@ MONTHS = {"four": (r"(?:4|four)", "4", "four", "1", "one"), "eight": (r"(?:8|eig
 LENGTH = r"\s*[- ]?month(?:s)?"
 
 
+#: Characters on either side of a word of time that can belong to what is said of it; every pattern takes fewer, as runs of spaces don't occur.
+NEAR = 80
+
+
+def _near_terms(text: Column) -> Column:
+    """A text without what is far from any mention of months or terms."""
+    cut = lambda p: F.when(F.length(p) > 2 * NEAR, F.concat(F.left(p, F.lit(NEAR)), F.lit("\x01"), F.right(p, F.lit(NEAR)))).otherwise(p)
+    return F.array_join(F.transform(F.split(text, "(?=month|term)"), cut), "")
+
+
 def term_signals(text: Column | str) -> Column:
-    """What a text in lower case says about terms of four and eight months: a struct of flags, accepts_* true, false or
-    null."""
-    t = col(text)
+    """What a text in lower case and with single spaces says about terms of four and eight months: a struct of flags,
+    accepts_* true, false or null. Patterns run over the surroundings of months and terms only, each once."""
+    return let(_near_terms(col(text)), lambda near: let(_term_flags(near), _term_signals))
+
 
-    def side(name: str) -> dict[str, Column]:
+def _term_flags(t: Column) -> Column:
+    def side(name: str) -> list[Column]:
         either, digit, word, terms, terms_word = MONTHS[name]
         length = either + LENGTH
         out = {
@@ -66,10 +78,15 @@ def term_signals(text: Column | str) -> Column:
             out["preferred"] += r"|two\s*work\s*terms?\s*preferred"
             out["required"] += r"|two\s*work\s*terms?\s*(?:required|mandatory)"
             out["accepted"] += r"|open\s+to\s+two\s*work\s*terms?"
-        return {k: matches(t, v) for k, v in out.items()}
+        return [matches(t, v).alias(f"{name}_{k}") for k, v in out.items()]
 
-    four, eight = side("four"), side("eight")
     both = matches(t, rf"(?:4|four){LENGTH}\s*(?:or|/|and|&)\s*(?:8|eight){LENGTH}|(?:8|eight){LENGTH}\s*(?:or|/|and|&)\s*(?:4|four){LENGTH}")
+    return F.struct(*side("four"), *side("eight"), both.alias("both"))
+
+
+def _term_signals(f: Column) -> Column:
+    four, eight = ({k: f[f"{n}_{k}"] for k in ("mention", "preferred", "required", "accepted")} for n in ("four", "eight"))
+    both = f["both"]
     only_four = four["required"] & ~eight["accepted"]
     only_eight = eight["required"] & ~four["accepted"] & ~only_four
     said = lambda x: x["mention"] | x["accepted"] | x["preferred"]
@@ -92,7 +109,10 @@ def duration_value(raw: Column | str, text: Column | str) -> Column:
 
 def with_duration(signals: Column, value: Column | str) -> Column:
     """Signals as a stated duration overrules them, and the length in months that they come to."""
-    said = term_signals(F.lower(col(value)))
+    return let(term_signals(F.lower(col(value))), lambda said: _with_duration(signals, value, said))
+
+
+def _with_duration(signals: Column, value: Column | str, said: Column) -> Column:
     four = col(value).isNotNull() & said["four_month_mention"] & ~said["eight_month_mention"]
     eight = col(value).isNotNull() & said["eight_month_mention"] & ~said["four_month_mention"]
     both = col(value).isNotNull() & said["four_month_mention"] & said["eight_month_mention"]
@@ -135,7 +155,9 @@ def eligibility(sents: Column | str) -> Column:
             F.when(some & least, F.array_min(terms)).alias("term"), F.when(some & ~least & only, terms).otherwise(none).alias("allowed"), year.alias("year"), F.when(noted, line).alias("line")
         )
 
-    return let(F.transform(F.filter(col(sents), lambda s: counts(F.lower(s))), read), _eligibility)
+    # without these words a sentence says nothing of terms or years
+    about = F.filter(col(sents), lambda s: F.lower(s).rlike("term|year"))
+    return let(F.transform(F.filter(about, lambda s: counts(F.lower(s))), read), _eligibility)
 
 
 def _eligibility(rows: Column) -> Column:

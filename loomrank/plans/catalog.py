@@ -108,11 +108,11 @@ SQL_NORMAL = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 def text_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.withColumns({"n": text.normalize("text"), "tokens": text.tokenize("text")}).withColumn("grams", text.ngrams("tokens", 1, 3))
+    d = d.withColumns({"n": text.normalize("text"), "tokens": text.tokenize("text")})
     return d.select(
         "doc_id", F.length("n").cast("bigint").alias("n_normal"), F.size("tokens").cast("bigint").alias("n_tokens"), F.size(text.sentences("text")).cast("bigint").alias("n_sentences"),
         F.length(text.compact("text")).cast("bigint").alias("n_compact"), text.title_key("text").alias("title_key"),
-        text.stem(F.lower(F.get("tokens", F.lit(0)))).alias("first_stem"), F.size("grams").cast("bigint").alias("n_grams"), F.coalesce(F.element_at("grams", -1), F.lit("")).alias("last_gram"),
+        text.stem(F.lower(F.get("tokens", F.lit(0)))).alias("first_stem"), text.n_ngrams("tokens", 1, 3).cast("bigint").alias("n_grams"), F.coalesce(text.last_ngram("tokens", 1, 3), F.lit("")).alias("last_gram"),
         F.size(F.array_distinct(text.search_words("text"))).cast("bigint").alias("n_words"),
     )
 
