@@ -177,14 +177,14 @@ FIELD_ALIASES = {
 
 # Fields of study by patterns in a posting.
 FIELD_PATTERNS = {
-    "engineering": r"engineering|mechatronics|electrical|mechanical",
+    "engineering": r"engineering|mechatronics|electrical|mechanical|systems engineering",
     "business": r"business|commerce|bba|mba",
-    "marketing": r"marketing|brand",
-    "communications": r"communication|public relations|\bpr\b",
+    "marketing": r"marketing|brand|digital marketing",
+    "communications": r"communications?|public relations|\bpr\b",
     "finance": r"finance|accounting|economics|econ",
-    "operations": r"operation|supply chain|logistics",
+    "operations": r"operations?|supply chain|logistics",
     "computer science": r"computer science|\bcs\b|software",
-    "mathematics": r"mathematic|\bmath\b|statistic|actuarial",
+    "mathematics": r"mathematics?|\bmath\b|statistics?|actuarial",
     "science": r"\bscience\b|biolog|chemistry|physics",
     "arts": r"\barts\b|humanities|social science",
     "environment": r"environment|geography|planning",

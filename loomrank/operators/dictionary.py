@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomrank.functions.js import ascii_bounds, blank, col, constant, js_round, let, unique, whole_word
+from loomrank.functions.js import blank, col, constant, js_round, let, listed, matches, unique, whole_word
 from loomrank.functions.lexicon import CATEGORY_FACTORS, EQUIVALENTS, FACULTIES, FIELD_ALIASES, FIELD_PATTERNS, SKILLS, UNTECHNICAL, Skill
 from loomrank.functions.text import normalize_token
 
@@ -123,8 +123,8 @@ def profile_fields(text: Column | str, fields: Mapping[str, Sequence[str]] = FIE
 
 def posting_fields(text: Column | str, fields: Mapping[str, str] = FIELD_PATTERNS) -> Column:
     """Fields of study that a posting's sentence names."""
-    table = constant([{"field": k, "pattern": ascii_bounds(p)} for k, p in fields.items()], "array<struct<field:string,pattern:string>>")
-    return let(F.lower(blank(text, "")), lambda low: F.transform(F.filter(table, lambda e: F.regexp_like(low, e["pattern"])), lambda e: e["field"]))
+    # patterns as literals are compiled once; as values of a table they would be for each row
+    return let(F.lower(blank(text, "")), lambda low: listed([(matches(low, p), k) for k, p in fields.items()]))
 
 
 def faculty(text: Column | str) -> Column:
