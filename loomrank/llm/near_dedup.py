@@ -389,5 +389,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: the one of least id, and one row of it."""
     at = near_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_id"), F.col("key").alias("_key")).distinct()
-    mine = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)), "_key": F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))})
-    return mine.join(at, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return whole_rows(docs).join(at, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one value, whatever its columns are called, beside its id and the hash of its text."""
+    key = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)).alias("_id"), key.alias("_key"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, bytes_of, dropped, mix, power, read, small_batches, stored
-from .near_dedup import LEAST_ID, keyed
+from .near_dedup import LEAST_ID, keyed, whole_rows
 
 LENGTH, ANCHOR = 200, 48
 REACH = LENGTH - ANCHOR
@@ -337,16 +337,18 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated bytes removed from their texts; n_chars, where there is one, follows the text."""
-    by = repeated_spans(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    by = repeated_spans(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     by = by.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    own = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)), "_key": F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")))})
-    whole = own.join(by, ["_id", "_key"], "left").select(*docs.columns, "_spans")
+    own = "spans"
+    while own in docs.columns:
+        own = f"_{own}"
+    whole = whole_rows(docs).join(by, ["_id", "_key"], "left").select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("spans").alias(own))
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
         for b in batches:
             new = []
-            for t, spans in zip(b.column(at).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for t, spans in zip(b.column(at).to_pylist(), b.column(own).to_pylist(), strict=True):
                 new.append(kept_bytes(t.encode("utf-8", "surrogatepass"), joined(spans)).decode("utf-8", "ignore") if spans and t is not None else t)
             columns = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
