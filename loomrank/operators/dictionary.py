@@ -59,12 +59,14 @@ def has_skill(owned: Column | str, key: Column, equivalents: Mapping[str, Sequen
     return F.array_contains(col(owned), key) | F.coalesce(F.arrays_overlap(col(owned), others[key]), F.lit(False))
 
 
-def _entries(skills: Sequence[Skill], own_key: bool) -> Column:
-    def aliases(s: Skill) -> list[dict]:
-        names = dict.fromkeys(token(a) for a in ((s.key, *s.aliases) if own_key else s.aliases) if token(a))
-        return [{"text": a, "pattern": whole_word(a)} for a in names]
+def aliases(s: Skill, own_key: bool = True) -> list[dict]:
+    """The texts that a skill goes by, each with the pattern that finds it."""
+    names = dict.fromkeys(token(a) for a in ((s.key, *s.aliases) if own_key else s.aliases) if token(a))
+    return [{"text": a, "pattern": whole_word(a)} for a in names]
+
 
-    return constant([{"key": s.key, "aliases": aliases(s)} for s in skills], "array<struct<key:string,aliases:array<struct<text:string,pattern:string>>>>")
+def _entries(skills: Sequence[Skill], own_key: bool) -> Column:
+    return constant([{"key": s.key, "aliases": aliases(s, own_key)} for s in skills], "array<struct<key:string,aliases:array<struct<text:string,pattern:string>>>>")
 
 
 def hits(text: Column | str, skills: Sequence[Skill] = SKILLS, own_key: bool = True) -> Column:
@@ -86,7 +88,8 @@ def skills_in(text: Column | str, skills: Sequence[Skill] = SKILLS, own_key: boo
 
 
     def of(low: Column) -> Column:
-        named = lambda e: F.exists(e["aliases"], lambda a: F.contains(low, a["text"]) & F.regexp_like(low, a["pattern"]))
+        # when() rather than &: inside a UDF's argument the optimiser may put the sides of & in another order, and then lose the UDF
+        named = lambda e: F.exists(e["aliases"], lambda a: F.when(F.contains(low, a["text"]), F.regexp_like(low, a["pattern"])).otherwise(False))
         return F.transform(F.filter(_entries(skills, own_key), named), lambda e: e["key"])
 
     return let(F.lower(blank(text, "")), of)

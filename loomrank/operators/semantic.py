@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from loomrank.functions.js import blank, col, js_round, score
 from loomrank.functions.lexicon import SKILLS, Skill
 
-from .dictionary import canonical, resolve_all, skills_in
+from .dictionary import aliases, canonical, resolve_all, skills_in
 from .scoring import cosine, coverage, similarity_percent
 
 DIMS = 192
@@ -70,9 +70,20 @@ def vector(counts: Counter) -> np.ndarray:
     return (out / np.float32(length)) if length > 0 else out
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _vectors(texts: pd.Series, named: pd.Series) -> pd.Series:
-    return pd.Series([vector(features(t, list(n) if n is not None else [])).tolist() for t, n in zip(texts, named, strict=True)])
+@lru_cache(maxsize=8)
+def _vectors(skills: tuple[Skill, ...]):
+    """A UDF for vectors of texts. Skills are looked up in it: the optimiser loses a UDF whose argument has functions of arrays."""
+    table = [(s.key, [(x["text"], x["pattern"]) for x in aliases(s)]) for s in skills]
+
+    def of(texts: pd.Series) -> pd.Series:
+        known = [(k, [(t, re.compile(p)) for t, p in names]) for k, names in table]
+
+        def named(low: str) -> list[str]:
+            return [k for k, names in known if any(t in low and p.search(low) for t, p in names)]
+
+        return pd.Series([vector(features(t, named(t.lower()))).tolist() for t in texts])
+
+    return F.pandas_udf(of, T.ArrayType(T.FloatType()))
 
 
 def constant(spark: SparkSession, text: str, skills: Sequence[Skill] = SKILLS) -> Column:
@@ -83,8 +94,7 @@ def constant(spark: SparkSession, text: str, skills: Sequence[Skill] = SKILLS) -
 
 def embedding(text: Column | str, skills: Sequence[Skill] = SKILLS) -> Column:
     """The unit vector of a text, 192 floats; zeros for an empty one."""
-    # skills_in takes care of nulls and empty texts itself; a nullif of a nullif as an argument isn't taken apart by the optimiser
-    return _vectors(blank(text, ""), skills_in(text, skills))
+    return _vectors(tuple(skills))(blank(text, ""))
 
 
 def semantic_match(
