@@ -21,19 +21,21 @@ def debounced(events: DataFrame, key: str, time: str = "ts", quiet: str = "320 m
 
 def changes(rows: DataFrame, key: str, value: str, time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """The rows at which a key's value is another one than before: of a, a, b, a the first, third and fourth. The last
-    value of each key is kept as state; within a batch rows count in the order of time."""
+    value of each key is kept as state; within a batch rows count in the order of time. A null is no value: of a, null, a
+    only the first row stays."""
+    rows = rows.filter(F.col(value).isNotNull())
     if not rows.isStreaming:
         before = F.lag(value).over(W.partitionBy(key).orderBy(time))
-        return rows.withColumn("_new", ~F.col(value).eqNullSafe(before) | before.isNull()).filter("_new").drop("_new")
+        return rows.withColumn("_new", ~F.col(value).eqNullSafe(before)).filter("_new").drop("_new")
 
     def run(_, batches, state):
         last = state.get if state.exists else (None,)
         rows_ = pd.concat(list(batches)).sort_values(time, kind="stable")
-        now = rows_[value].astype(object).where(rows_[value].notna(), None)
+        now = rows_[value].astype(object)
         before = pd.Series([last[0], *now.iloc[:-1]], index=now.index, dtype=object)
         if len(now):
             state.update((now.iloc[-1],))
-        yield rows_[(now != before).to_numpy() & now.notna().to_numpy()]
+        yield rows_[(now != before).to_numpy()]
 
     kind = rows.schema[value].dataType.simpleString()
     return rows.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, rows.schema, f"last {kind}", "append", GroupStateTimeout.NoTimeout)

@@ -35,7 +35,7 @@ def test_ranked_pipeline(spark):
 def test_stream_of_listings(spark, tmp_path):
     from loomrank.streaming.listings import changes, limited
 
-    rows = [("p", v, dt.datetime(2024, 1, 1, 0, k)) for k, v in enumerate("aabba")] + [("q", "b", dt.datetime(2024, 1, 1))]
+    rows = [("p", v, dt.datetime(2024, 1, 1, 0, k)) for k, v in enumerate(["a", "a", "b", None, "b", "a"])] + [("n", None, dt.datetime(2024, 1, 1))] + [("q", "b", dt.datetime(2024, 1, 1))]
     spark.createDataFrame(rows, "page string, signature string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("page string, signature string, ts timestamp").parquet(str(tmp_path / "in"))
     q = changes(s, "page", "signature").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
