@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomrank.functions import text
 from loomrank.functions.lexicon import read_skills
-from loomrank.operators import details, dictionary, eligibility, posting, ranking, ratings, scoring, search, stores, tracker
+from loomrank.operators import details, dictionary, eligibility, form_requests, posting, ranking, ratings, scoring, search, stores, tracker
 from loomrank.operators.scoring import Profile
 from loomrank.sources.tables import stored
 
@@ -917,6 +917,54 @@ SELECT listed.k AS job_key, ['cache', 'response', 'context', 'page'][kind + 1] A
 """
 
 
+def _rows_of_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as jobs of their customer's page, which has up to three forms."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("job_key"))
+    k = F.col("job_key").cast("string")
+    jobs = o.select("page", "job_key", F.when(F.col("job_key") % 7 == 0, "").otherwise(k).alias("job_id"))
+    second = F.when(F.col("job_key") % 2 == 0, F.concat(F.lit("javascript:__doPostBack('grid$ctl"), k, F.lit("','')"))).otherwise(F.concat(F.lit("show('menu:item_"), k, F.lit("')")))
+    first = F.concat(F.lit("PrimeFaces.ab({s:'list:row_"), k, F.lit("',f:'main'})"))
+    actions = o.select("job_key", F.posexplode(F.array(first, second, first)).alias("seq", "text"))
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), F.col("c_custkey").cast("string").alias("c"))
+    form = lambda n, i, a: F.struct(F.lit(n).alias("form"), F.lit(i).alias("form_id"), F.lit(f"{_HOST}/{a}").alias("action"))
+    p = F.col("page")
+    forms = c.select("page", F.inline(F.array_compact(F.array(form(0, "main", "jobs.htm"), F.when(p % 2 == 0, form(1, None, "postings/list?page=2&job=1#top")), F.when(p % 5 == 0, form(2, "help", "help/ask"))))))
+    field = lambda n, k, name, kind, value, on=None: F.struct(F.lit(n).alias("form"), F.lit(k).alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"), value.alias("value"), F.lit(on).cast("boolean").alias("checked"))
+    rows = [
+        field(0, 0, "javax.faces.ViewState", "HIDDEN", F.concat(F.lit("v s:"), "c")), field(0, 1, "postingId", "hidden", F.lit("")), field(0, 2, "q", "text", F.lit("x")), field(0, 3, "go", "submit", F.lit("Go")),
+        field(0, 4, "recordMark", "checkbox", F.lit("1")), field(1, 0, "__VIEWSTATE", "hidden", F.concat(F.lit("a&b"), "c")), field(1, 1, "__token", "text", F.lit(" t ")), field(1, 2, "page", "hidden", F.lit("1")),
+        field(1, 3, "__VIEWSTATE", "hidden", F.concat(F.lit("a/"), "c")), field(2, 0, "id", "hidden", F.lit("3")),
+    ]
+    return jobs, actions, forms, c.select("page", F.inline(F.array(*rows)))
+
+
+def form_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that the forms of a page would send for each of its jobs."""
+    return form_requests.form_requests(*_rows_of_forms(spark, sf_dir))
+
+
+_FORM_IDS = ["jobId", "postingId", "positionId", "opportunityId", "jobPostingId", "selectedJobId", "selectedPostingId", "posting", "position", "job"]
+FORM_POSTS = f"""
+WITH j AS (SELECT o_custkey AS page, o_orderkey AS k, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 7 <> 0),
+s AS (SELECT *, unnest(CASE WHEN k % 2 = 0 THEN [0] ELSE [0, 1] END) AS i FROM j),
+t AS (SELECT *, unnest([0, 1]) AS i FROM j),
+source AS (SELECT *, CASE i WHEN 0 THEN 'list%3Arow_' ELSE 'menu%3Aitem_' END || id AS v FROM s),
+target AS (SELECT *, CASE WHEN i = 0 THEN 'list%3Arow_' WHEN k % 2 = 0 THEN 'grid%24ctl' ELSE 'menu%3Aitem_' END || id AS v FROM t),
+ajax AS (SELECT *, 'javax.faces.partial.ajax=true&javax.faces.source=' || v || '&javax.faces.partial.execute=' || v || '&javax.faces.partial.render=%40all&' || v || '=' || v AS b FROM source),
+named AS (SELECT *, unnest({["postingId", "jobId", *_FORM_IDS[2:]]}) AS a, unnest({_FORM_IDS}) AS n, unnest(range(10)) AS i FROM j),
+every AS (
+  SELECT k, 0 AS form, 0 AS way, 2 * i AS i, 'POST' AS method, '{_HOST}/jobs.htm' AS url, 'javax.faces.ViewState=v+s%3A' || page || '&postingId=' || id || '&' || b || '&main=main' AS body FROM ajax
+  UNION ALL SELECT k, 1, 0, 2 * i, 'POST', '{_HOST}/postings/list?page=2&job=1#top', '__VIEWSTATE=a%2F' || page || '&__token=+t+&page=1&' || b FROM ajax WHERE page % 2 = 0
+  UNION ALL SELECT k, 1, 1, 2 * i, 'POST', '{_HOST}/postings/list?page=2&job=1#top', '__VIEWSTATE=a%2F' || page || '&__token=+t+&page=1&__EVENTTARGET=' || v || '&__EVENTARGUMENT=' FROM target WHERE page % 2 = 0
+  UNION ALL SELECT k, 0, 2, 2 * i, 'POST', '{_HOST}/jobs.htm', 'javax.faces.ViewState=v+s%3A' || page || '&postingId=' || CASE WHEN a = 'postingId' THEN id ELSE '&' || a || '=' || id END FROM named
+  UNION ALL SELECT k, 0, 2, 2 * i + 1, 'GET', '{_HOST}/jobs.htm?javax.faces.ViewState=v+s%3A' || page || '&postingId=' || CASE WHEN a = 'postingId' THEN id ELSE '&' || a || '=' || id END, '' FROM named
+  UNION ALL SELECT k, 1, 2, 2 * i, 'POST', '{_HOST}/postings/list?page=2&job=1#top', '__VIEWSTATE=a%2F' || page || '&__token=t&' || n || '=' || id FROM named WHERE page % 2 = 0
+  UNION ALL SELECT k, 1, 2, 2 * i + 1, 'GET', '{_HOST}/postings/list?page=2&job=' || CASE WHEN n = 'job' THEN id ELSE '1' END || '&__VIEWSTATE=a%2F' || page || '&__token=t' || CASE WHEN n = 'job' THEN '' ELSE '&' || n || '=' || id END, '' FROM named WHERE page % 2 = 0),
+first AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY form, way, i) - 1 AS position FROM every WHERE k IN (SELECT k FROM j JOIN customer ON c_custkey = page))
+SELECT k AS job_key, position::INTEGER AS position, method, url, body FROM first WHERE position < 24
+"""
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "text_primitives": (text_primitives, TEXT_PRIMITIVES), "hashes": (hashes, HASHES), "alias_hits": (alias_hits, ALIAS_HITS), "sentence_skills": (sentence_skills, SENTENCE_SKILLS),
@@ -927,7 +975,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "viability_grid": (viability_grid, VIABILITY_GRID), "page_keys": (page_keys, PAGE_KEYS), "job_cache": (cache, CACHE), "application_status": (applications, APPLICATIONS), "upserted_records": (upserted, UPSERTED),
     "field_intents": (field_intents, FIELD_INTENTS), "ranked_jobs": (ranked_jobs, None), "resume_skill_sets": (resume_skill_sets, None), "listing_signature": (listing_signature, None), "text_quality": (text_quality, TEXT_QUALITY),
     "semantic_vectors": (semantic_vectors, None), "described_pages": (described_pages, None), "page_jobs": (page_jobs, None), "event_bursts": (event_bursts, EVENT_BURSTS), "event_activity": (event_activity, EVENT_ACTIVITY),
-    "latest_events": (latest, LATEST), "job_lookup": (job_lookup, JOB_LOOKUP), "script_postings": (script_postings, SCRIPT_POSTINGS), "job_details": (job_details, JOB_DETAILS),
+    "latest_events": (latest, LATEST), "job_lookup": (job_lookup, JOB_LOOKUP), "script_postings": (script_postings, SCRIPT_POSTINGS), "job_details": (job_details, JOB_DETAILS), "form_posts": (form_posts, FORM_POSTS),
 }
 
 
