@@ -38,3 +38,15 @@ def test_query(spark, sql, name):
         have, want = plain(got), plain(sql.sql(twin).df())
         assert have[0] == want[0] and len(have[1]) == len(want[1])
         assert [[str(v) for v in r] for r in have[1]] == [[str(v) for v in r] for r in want[1]]
+
+
+def test_job_cache_with_large_numbers(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(k, k % 3, "view", dt.datetime(2024, 1, 31, 0, 0, 1)) for k in (2, 100_000, 250_001, 1_234_567, 6_000_006)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    query, twin = catalog.QUERIES["job_cache"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = query(spark, str(tmp_path)).toPandas()
+    assert len(got) == 3 and plain(got) == plain(con.sql(twin).df())
