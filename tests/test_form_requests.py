@@ -46,3 +46,18 @@ def test_long_bodies_are_left_out(spark):
     jobs, forms = spark.createDataFrame([(1, "a", "7")], "page int, job_key string, job_id string"), spark.createDataFrame([(1, 0, "m", "https://x.example/jobs.htm")], "page int, form int, form_id string, action string")
     got = f.form_requests(jobs, spark.createDataFrame([("a", 0, "s='tbl:row1'")], "job_key string, seq int, text string"), forms, fields).collect()
     assert {r["method"] for r in got} == {"GET"} and all("token" not in r["url"] for r in got)
+
+
+def test_bodies_are_not_shuffled(spark):
+    jobs = spark.range(0, 2000, 1, 4).selectExpr("id % 50 AS page", "id AS job_key", "CAST(id AS STRING) AS job_id")
+    actions = jobs.selectExpr("job_key", "0 AS seq", "concat('s=\"row:', job_id, '\"') AS text")
+    forms = spark.range(50).selectExpr("id AS page", "0 AS form", "'main' AS form_id", "'https://x.example/jobs.htm' AS action")
+    fields = spark.range(50).selectExpr("id AS page", "0 AS form", "0 AS position", "'token' AS name", "'hidden' AS type", "repeat(sha2(cast(id as string), 256), 8) AS value", "false AS checked")
+    written = lambda: sum(e.totalShuffleWrite() for e in _items(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before, frame = written(), f.form_requests(jobs, actions, forms, fields)
+    assert frame.count() > 20_000
+    assert written() - before < 600 * 2000
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.length())]
