@@ -82,3 +82,13 @@ def test_addresses(spark):
     urls = ["https://a.example/posting/1", "https://a.example/x?JobId=3", "https://a.example/myAccount/co-op/a/jobs.htm?my_post_id=3", "https://a.example/help/posting/1", "https://a.example/list?page=2", "not an address", "", None]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", details.posting_like("u").alias("ok")).collect()
     assert [r["ok"] for r in got] == [bool(u) and posting_like(u) for u in urls]
+
+
+def test_lookup_does_not_sort_pairs(spark):
+    from loomrank.operators import eligibility
+
+    jobs = spark.createDataFrame([(1, 3, "7", "Low", "No 7"), (1, 2, "", "Low risk", "No 8"), (1, 5, "8", "x", "y")], "page long, row_index long, job_id string, title string, row_text string")
+    hints = spark.createDataFrame([(1, 10, "7", ""), (1, 11, "8", "low"), (1, 12, "", "low"), (1, 13, "9", "z"), (2, 14, "7", "")], "page long, hint long, hint_id string, hint_title string")
+    got = eligibility.found_jobs(jobs, hints)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10, 3, 0), (1, 11, 5, 0), (1, 12, 2, 2), (1, 13, None, None), (2, 14, None, None)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
