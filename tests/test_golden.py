@@ -226,3 +226,17 @@ def test_sections(spark):
     jobs = spark.createDataFrame([("p", 0, None, "Data Platform", None), ("p", 1, "", "Chef", ""), ("q", 2, "1", "Data Platform", "")], "page string, row_index int, job_id string, title string, company string")
     got = {r["row_index"]: r["section"] for r in eligibility.found_sections(jobs, sections).collect()}
     assert got == {0: 1, 1: None, 2: None}
+
+
+def test_field_patterns_as_plain_words(spark):
+    import re
+
+    from loomrank.functions.lexicon import FIELD_PATTERNS
+    from loomrank.operators import dictionary
+
+    texts = ["prose pr", "public relation", "communication", "Mathematic maths cs", "CSS and css", "arts", "party", "science", "conscience", "operation", "bba.mba", "econ", "statistic", "health-y", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", dictionary.posting_fields("t").alias("f"))
+    for t, f in rows.collect():
+        assert f == [k for k, p in FIELD_PATTERNS.items() if re.search(p, (t or "").lower(), re.ASCII)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE humanities" not in plan and "mechatronics|" not in plan
