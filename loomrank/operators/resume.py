@@ -186,13 +186,18 @@ RESUME_WORDS = r"(?i)\b(?:education|experience|employment|skills|projects|work|i
 def quality(text: Column | str) -> Column:
     """Counts that tell prose from the inside of a file."""
     t = blank(text, "")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     n = lambda p: F.regexp_count(t, F.lit(p))
-    some = lambda p: F.size(F.filter(words, lambda w: w.rlike(p)))
-    return F.struct(
-        F.size(words).alias("words"), n("[A-Za-z]").alias("letters"), n(r"\d").alias("digits"), n("/[A-Za-z][A-Za-z0-9-]{1,}").alias("slashed"), n(METADATA).alias("metadata"),
-        n(PDF_WORDS).alias("pdf_words"), some(r"^\d+(?:[.-]\d+)*\z").alias("numeric"), some("[A-Za-z]{2,}").alias("alpha"), some("[A-Za-z]{4,}").alias("long"), n(RESUME_WORDS).alias("signals"),
-    )
+    # runs are cut out, which takes fewer matches than counting characters
+    of = lambda p: F.length(t) - F.length(F.regexp_replace(t, p, ""))
+
+    def counts(words: Column) -> Column:
+        some = lambda p: F.size(F.filter(words, lambda w: w.rlike(p)))
+        return F.struct(
+            F.size(words).alias("words"), of("[A-Za-z]+").alias("letters"), of(r"\d+").alias("digits"), n("/[A-Za-z][A-Za-z0-9-]{1,}").alias("slashed"), n(METADATA).alias("metadata"),
+            n(PDF_WORDS).alias("pdf_words"), some(r"^\d+(?:[.-]\d+)*\z").alias("numeric"), some("[A-Za-z]{2,}").alias("alpha"), some("[A-Za-z]{4,}").alias("long"), n(RESUME_WORDS).alias("signals"),
+        )
+
+    return let(F.filter(F.split(t, r"\s+"), lambda w: w != ""), counts)
 
 
 def is_metadata(text: Column | str, q: Column | None = None) -> Column:
@@ -202,10 +207,11 @@ def is_metadata(text: Column | str, q: Column | None = None) -> Column:
     return (t == "") | (q["metadata"] >= 2) | (q["pdf_words"] >= 2) | (dense & (q["metadata"] > 0)) | t.rlike("(?i)/Type/FontDescriptor")
 
 
-def is_resume(text: Column | str, strict: bool = False) -> Column:
-    """Whether a (sanitised) text reads like a resume."""
+def is_resume(text: Column | str, strict: bool = False, q: Column | None = None) -> Column:
+    """Whether a (sanitised) text reads like a resume. q: its quality, if that is known."""
     t = blank(text, "")
-    q = quality(t)
+    if q is None:
+        return let(quality(t), lambda known: is_resume(text, strict, known))
     n = F.greatest(q["words"], F.lit(1))
     alpha, contact = q["alpha"] / n, t.rlike(r"(?i)@|linkedin\.com|github\.com")
     bad = (alpha < 0.45) | (q["slashed"] / n > 0.18) | ((q["digits"] > q["letters"] * 0.92) & (alpha < 0.7)) | ((q["numeric"] / n > 0.45) & (alpha < 0.72))
@@ -213,15 +219,16 @@ def is_resume(text: Column | str, strict: bool = False) -> Column:
     return ~is_metadata(t, q) & (q["words"] >= (40 if strict else 20)) & ~bad & enough
 
 
-def text_score(text: Column | str, signs_of: Sequence[str] = ("github", "linkedin", "university")) -> Column:
+def text_score(text: Column | str, signs_of: Sequence[str] = ("github", "linkedin", "university"), q: Column | None = None) -> Column:
     """How good an extracted text is; 0 for what isn't a resume. signs_of: words that speak for one; add a school's name
     to have it count."""
     t = blank(text, "")
-    q = quality(t)
+    if q is None:
+        return let(quality(t), lambda known: text_score(text, signs_of, known))
     signs = F.when(t.rlike(r"(?i)\b(education|experience|skills|projects|work|resume|developer|engineer|intern)\b"), 20).otherwise(0)
     signs = signs + F.when(t.contains("@"), 10).otherwise(0) + F.when(t.rlike(rf"(?i)\b({'|'.join(signs_of)})\b"), 12).otherwise(0)
     loss = q["metadata"] * 10 + q["pdf_words"] * 8 + F.greatest(F.lit(0.0), q["slashed"] - q["words"] * 0.08) * 3.5 + F.when(q["digits"] > q["letters"] * 0.75, 25).otherwise(0)
-    return F.when(is_resume(t), F.greatest(F.lit(0.0), q["alpha"] + q["long"] * 0.5 + signs - loss)).otherwise(0.0)
+    return F.when(is_resume(t, q=q), F.greatest(F.lit(0.0), q["alpha"] + q["long"] * 0.5 + signs - loss)).otherwise(0.0)
 
 
 def best_text(texts: Column | str) -> Column:

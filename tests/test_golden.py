@@ -240,3 +240,11 @@ def test_field_patterns_as_plain_words(spark):
         assert f == [k for k, p in FIELD_PATTERNS.items() if re.search(p, (t or "").lower(), re.ASCII)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE humanities" not in plan and "mechatronics|" not in plan
+
+
+def test_quality_is_worked_out_once(spark):
+    from loomrank.operators.resume import is_resume
+
+    df = spark.createDataFrame([("Work at a university. " * 10,), ("12 34 56",), ("",), (None,)], "t string").select(is_resume("t").alias("r"))
+    assert [r["r"] for r in df.collect()] == [True, False, False, False]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
