@@ -248,3 +248,11 @@ def test_quality_is_worked_out_once(spark):
     df = spark.createDataFrame([("Work at a university. " * 10,), ("12 34 56",), ("",), (None,)], "t string").select(is_resume("t").alias("r"))
     assert [r["r"] for r in df.collect()] == [True, False, False, False]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_title_key_in_one_pass(spark):
+    from loomrank.functions.text import compact, title_key
+
+    df = spark.createDataFrame([("  A--b   c!\n(é) D9 ",), ("é",), ("a b",), (None,)], "t string").select(title_key("t").alias("k"), compact("t").alias("c"))
+    assert [tuple(r) for r in df.collect()] == [("a b c d9", "abcd9"), ("", ""), ("a b", "ab"), ("", "")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
