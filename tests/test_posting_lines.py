@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from loomrank.functions import text
-from loomrank.operators import posting
+from loomrank.operators import eligibility, posting
 
 SENTENCE = "Nothing at all is said in here by anyone. "
 
@@ -38,3 +38,9 @@ def test_normalize_as_before(spark):
     odd = ["a  b", " \t a b  \n", "﻿﻿x", "", None, "a b c", "x 　y", "a   b", "é  ñ", " ", "a\x0bb", "😀  😀"]
     got = spark.createDataFrame([(x,) for x in odd], "t string").select(text.normalize("t").alias("n"), F.trim(F.regexp_replace(F.coalesce("t", F.lit("")), f"{text.SPACE}+", " ")).alias("w")).collect()
     assert all(r["n"] == r["w"] for r in got)
+
+
+def test_pairs_read_a_text_once():
+    c = F.col("constraints")
+    rule = eligibility.same_posting("full_text", "job_id", "title", "company", F.lit(3), c)
+    assert rule._jc.toString().count("full_text") == 1
