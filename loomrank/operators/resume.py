@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomrank.functions.js import blank, col, constant, let, unique, whole_word
 from loomrank.functions.lexicon import SKILLS, Skill
-from loomrank.functions.text import compact, normalize, normalize_token, tokenize
+from loomrank.functions.text import TOKEN, compact, normalize, normalize_token
 
 from .dictionary import canonical_entry, token
 
@@ -17,20 +17,21 @@ HEADINGS = r"TECHNICAL SKILLS|SKILLS|EXPERIENCE|WORK EXPERIENCE|PROJECTS|EDUCATI
 SECTION_CHARS = 2500
 LISTS = r"(?i)\b(technical skills|languages|frameworks\s*&\s*libraries|frameworks|libraries|tools|technologies|platforms|databases)\s*:"
 
-# Repairs of texts as PDF layouts leave them, in the order they are made.
+# Repairs of texts as PDF layouts leave them, in the order they are made. Runs are possessive where what
+# follows is no part of them: a shorter run can't match then, so none is tried.
 LAYOUT = [
     (" ", " "), ("\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "),
-    (r"([A-Za-z]{2,})-\n([a-z]{2,})", "$1-$2"), (r"([A-Za-z]{2,})\n([a-z]{2,})", "$1 $2"), (r"\n{3,}", "\n\n"),
+    (r"([A-Za-z]{2,}+)-\n([a-z]{2,})", "$1-$2"), (r"([A-Za-z]{2,}+)\n([a-z]{2,})", "$1 $2"), (r"\n{3,}", "\n\n"),
 ]
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)"
 ARTIFACTS = [
     (r"(?i)\bTECHNICALSKILLS\b", "TECHNICAL SKILLS"), (r"(?i)\bFRAMEWORKS\s*&\s*LIBRARIES\b", "Frameworks & Libraries"), (r"(?i)\bTailwin\s+d\b", "Tailwind"),
     (r"(?i)\bDocke\s+r\b", "Docker"), (r"(?i)\bSupabas\s+e\b", "Supabase"), (r"(?i)\bIntegrat\s+e\b", "Integrate"), (r"(?i)\bCollaborat\s+ed\b", "Collaborated"),
     (r"(?i)\biterati\s+ve\b", "iterative"), (r"(?i)\bpri\s+nter\b", "printer"), (r"(?i)\bPantry\s+Pa\s+l\b", "Pantry Pal"), (r"(?i)\bFide\s+x\b", "Fidex"), (r"(?i)\bun\s+available\b", "unavailable"),
-    (r"\b([A-Za-z]{4,})\s+([b-hj-z])\b", "$1$2"), (r"(?i)\b([A-Za-z]{4,})\s+(ed|er|ers|ing|ive|ion|ions|al|ally|ment|ments|able|ably)\b", "$1$2"), (r"\bun\s+([a-z]{4,})\b", "un$1"),
+    (r"\b([A-Za-z]{4,}+)\s++([b-hj-z])\b", "$1$2"), (r"(?i)\b([A-Za-z]{4,}+)\s++(ed|er|ers|ing|ive|ion|ions|al|ally|ment|ments|able|ably)\b", "$1$2"), (r"\bun\s+([a-z]{4,})\b", "un$1"),
     (r"(?i)linkedin\.com/in/([a-z0-9]+)\s*-\s*([a-z0-9]+)\s*-\s*([a-z0-9]+)", "linkedin.com/in/$1-$2-$3"), (r"((?:^|[\n.])\s*)[xX]\s+(?=[A-Z])", "$1 - "), (r"\s+[xX]\s+(?=[A-Za-z])", " - "),
-    (rf"(?i)\b({_MONTH}[a-z]*\s+\d{{4}})\s+[tT]\s+({_MONTH}[a-z]*\s+\d{{4}}|Present|Current)\b", "$1 - $2"), (r"\b([A-Za-z]{3,})\s+t\s+(University|College|Institute|School)\b", "$1 - $2"),
-    (r"(?i)\bPresen-\b", "Present "), (r"\b([A-Za-z]{2,})\s*-\s*([A-Za-z]{2,})\b", "$1-$2"), (r"\b([A-Za-z]+(?:-[A-Za-z]+)+)\s*-\s*([A-Za-z]{2,})\b", "$1-$2"),
+    (rf"(?i)\b({_MONTH}[a-z]*\s+\d{{4}})\s+[tT]\s+({_MONTH}[a-z]*\s+\d{{4}}|Present|Current)\b", "$1 - $2"), (r"\b([A-Za-z]{3,}+)\s++t\s++(University|College|Institute|School)\b", "$1 - $2"),
+    (r"(?i)\bPresen-\b", "Present "), (r"\b([A-Za-z]{2,}+)\s*+-\s*+([A-Za-z]{2,}+)\b", "$1-$2"), (r"\b([A-Za-z]++(?:-[A-Za-z]++)+)\s*+-\s*+([A-Za-z]{2,}+)\b", "$1-$2"),
 ]
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 #: Three single letters or more with spaces between them are one word.
@@ -99,8 +100,10 @@ def resume_skills(text: Column | str, skills: Sequence[Skill] = SKILLS, compat:
         without_s = lambda i: F.when(F.endswith(i, F.lit("s")) & (F.length(i) > 4), F.regexp_replace(i, r"s\z", "")).otherwise(i)
         tight = lambda mark: lambda i: F.regexp_replace(i, rf"\s*{mark}\s*", mark)
         variants = let(items, lambda x: F.array_distinct(F.concat(x, F.transform(x, without_s), F.transform(x, tight("/")), F.transform(x, tight("-")))))
-        low = F.lower(normalize(clean))
-        return F.struct(low.alias("low"), compact(low).alias("squeezed"), F.concat(F.lit(" "), F.array_join(tokenize(low), " "), F.lit(" ")).alias("tokens"), variants.alias("variants"))
+        # a text is long: it is normalised and lower-cased once, and its tokens are never taken apart
+        spaced = lambda low: F.concat(F.lit(" "), F.trim(F.regexp_replace(low, f"(?! {TOKEN})[^{TOKEN[1:]}+", " ")), F.lit(" "))
+        squeezed = lambda low: F.regexp_replace(low, "[^a-z0-9#+]+", "")
+        return let(F.lower(normalize(clean)), lambda low: F.struct(low.alias("low"), squeezed(low).alias("squeezed"), spaced(low).alias("tokens"), variants.alias("variants")))
 
     def found(v: Column) -> Column:
         # a run of tokens is an n-gram of the text
