@@ -9,13 +9,13 @@ at least stands unchanged in the longer one, moved by no more places than there
 longer text has up to SHORT words.
 
 Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. In each
-bucket every text is compared with the bucket's leaders (the least by id and by a hash of it); texts that end up in
-another class than their leaders form the bucket of the next round, with leaders of its own. So n texts of a bucket give
-2n pairs, and leaders come from aggregates, so a bucket of any size is spread over tasks. The first round takes a few
-sketches only, and pairs whose texts are in one class already aren't compared again. Leaders only save work: after
-ROUNDS more rounds, every pair of a bucket whose texts are still in different classes is compared, except where numbers
-of words or parities of words rule a link out; so two texts of one bucket that are linked are in one class. Large
-buckets are dealt in tiles for that.
+bucket every text is compared with the bucket's leader (the least by id): n texts of a bucket give n pairs, and leaders
+come from aggregates, so a bucket of any size is spread over tasks. The first round takes a few sketches only, the second
+all of them and a second leader (the least by a hash of its id). Leaders only save work: after that every pair of a
+bucket whose texts are still in different classes is compared, except where numbers of words or parities of words rule
+a link out; so two texts of one bucket that are linked are in one class. Large buckets are dealt in tiles for that, and
+a pair that shares several buckets is made in the first of them only. Links found in a round join classes, not texts, so
+each round's graph is as small as what is left to join.
 
 A pair is a link if its edit similarity is 0.8 or more: one less the edit distance of the two sequences of words over
 the longer one's length. The distance comes from an alignment in a band around the diagonal, as wide as the distance
@@ -35,6 +35,7 @@ gives no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,12 @@ from .decontaminate import WORD_BYTES
 WORDS, SKETCHES, SIMILARITY = 2, 32, 0.8
 #: Words of the longer text up to which pieces find every pair.
 SHORT = 19
-#: Sketches of the first round, which brings together most of what is close, and rounds after the second in which texts
-#: that matched no leader of their bucket get other leaders; classes don't depend on either.
-FIRST, ROUNDS = 6, 2
+#: Sketches of the first round, which brings together most of what is close; classes don't depend on it.
+FIRST = 6
 #: K-mers that are sketched at once.
 GROUP = 1 << 15
 #: Texts of a tile of a bucket, and bits of the parities of a text's words.
-TILE, PARITIES = 256, 1024
+TILE, PARITIES = 256, 2048
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 LEAST_ID = -(1 << 63)
@@ -77,15 +77,20 @@ def kmers(w: np.ndarray) -> np.ndarray:
     k = min(WORDS, len(w))
     with np.errstate(over="ignore"):
         h = sum((w[i : len(w) - k + 1 + i] * _ODD[i] for i in range(k)), np.zeros(1, np.uint64))
-        h = mix(h + np.uint64(k))
-        order = np.argsort(h, kind="stable")
-        fresh = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        if not fresh.all():
-            at = np.arange(len(h))
-            nth = np.zeros(len(h), np.int64)
-            nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
-            h = np.where(nth > 0, mix(h + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), h)
-    return h
+        return numbered(mix(h + np.uint64(k)))
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Some hashes in order, each labelled with its occurrence number, so that all differ."""
+    order = np.argsort(h, kind="stable")
+    fresh = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
+    if fresh.all():
+        return h
+    at = np.arange(len(h))
+    nth = np.zeros(len(h), np.int64)
+    nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    with np.errstate(over="ignore"):
+        return np.where(nth > 0, mix(h + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), h)
 
 
 def sketches(h: np.ndarray, n: int = SKETCHES) -> np.ndarray:
@@ -141,9 +146,9 @@ def pieces(w: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
 
 
 def parities(w: np.ndarray) -> np.ndarray:
-    """Whether each of PARITIES classes of words has an odd number of them, as bits. An insertion or deletion changes one
-    bit at most and a substitution two."""
-    odd = np.bincount((w >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    """Whether each of PARITIES classes of words has an odd number of them, as bits; the repeats of a word are words of
+    their own. An insertion or deletion changes one bit at most and a substitution two."""
+    odd = np.bincount((numbered(w) >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -180,27 +185,33 @@ def distance(a: list, b: list, most: int) -> int:
     return found
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two arrays have in common, each as often as both have it."""
-    (x, n), (y, m) = (np.unique(v, return_counts=True) for v in (a, b))
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity of two sequences of words is at least `least`."""
-    longer = max(len(a), len(b))
-    if not min(len(a), len(b)):
+    return alike((a, numbered(a), kmers(a)), (b, numbered(b), kmers(b)), least)
+
+
+def alike(one: tuple, other: tuple, least: float = SIMILARITY) -> bool:
+    """The same of two texts given as their words, their numbered words and their k-mers."""
+    (a, x, k), (b, y, m) = one, other
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
+    if not shorter:
         return False
     most = int((1 - least) * longer + 1e-9)
+    if longer - shorter > most:
+        return False
     if not most:
         return np.array_equal(a, b)
     # an edit takes at most one word and two k-mers from what both have, so most pairs need no alignment
-    if longer - _shared(a, b) > most:
+    if longer - len(np.intersect1d(x, y, assume_unique=True)) > most:
         return False
-    if longer - WORDS + 1 - WORDS * most > len(np.intersect1d(kmers(a), kmers(b), assume_unique=True)):
+    if longer - WORDS + 1 - WORDS * most > len(np.intersect1d(k, m, assume_unique=True)):
         return False
-    return distance(a.tolist(), b.tolist(), most) <= most
+    # what both begin and end with needs no alignment either
+    apart = np.flatnonzero(a[:shorter] != b[:shorter])
+    begin = int(apart[0]) if len(apart) else shorter
+    apart = np.flatnonzero(a[len(a) - shorter + begin :][::-1] != b[len(b) - shorter + begin :][::-1])
+    end = int(apart[0]) if len(apart) else shorter - begin
+    return distance(a[begin : len(a) - end].tolist(), b[begin : len(b) - end].tolist(), most) <= most
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -209,10 +220,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """The id, a hash of the text, the sketches, the number of words and their parities of each row."""
+    """The id, a hash of the text, the sketches, the number of words, their parities and the packed text of each row."""
+    import zstandard
+
     small_batches(docs.sparkSession)
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
             data, at = bytes_of(b.column("text"))
             own = [words(data[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
@@ -225,57 +239,55 @@ def sketched(docs: DataFrame) -> DataFrame:
             odd = np.concatenate([parities(w) for w in own]) if own else np.zeros(0, np.int64)
             odd = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(odd))
             count = pa.array([len(w) for w in own], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), sig, count, odd], names=["doc_id", "key", "sig", "n_words", "odd"])
+            z = pa.array([pack.compress(data[at[k] : at[k + 1]].tobytes()) for k in range(len(at) - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), sig, count, odd, z], names=["doc_id", "key", "sig", "n_words", "odd", "z"])
 
-    return keyed(docs).mapInArrow(bounded(run), "doc_id long, key binary, sig array<long>, n_words int, odd array<long>")
+    return keyed(docs).mapInArrow(bounded(run), "doc_id long, key binary, sig array<long>, n_words int, odd array<long>, z binary")
 
 
-def led(members: DataFrame) -> DataFrame:
-    """Each member (bucket, id) of a bucket of two or more, with the bucket's leaders."""
-    by_hash = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"]
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"), by_hash.alias("b"), F.count("*").alias("n"))
-    leaders = stored(leaders.filter("n > 1").select("bucket", F.array_distinct(F.array("a", "b")).alias("leaders")), "leaders")
-    return stored(members.join(leaders, "bucket").select("bucket", "id", "leaders"), "members")
+def led(members: DataFrame, by_hash: bool) -> DataFrame:
+    """The pairs (low, high, and the class of each) of a member (bucket, id, label) and a leader of its bucket that are in
+    different classes."""
+    agg = [F.min(F.struct("id", "label")).alias("a"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+    if by_hash:
+        agg.append(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "label")).alias("b"))
+    leaders = members.groupBy("bucket").agg(*agg).filter("lo <> hi")
+    leaders = leaders.select("bucket", F.array_distinct(F.array("a", *([F.struct("b.id", "b.label")] if by_hash else []))).alias("leaders"))
+    sides = members.join(leaders, "bucket").select("id", "label", F.explode("leaders").alias("with")).filter("label <> with.label")
+    return between(F.struct("id", "label"), F.col("with"), sides).distinct()
 
 
-def labelled(df: DataFrame, label: DataFrame | None, c: str) -> DataFrame:
-    """The class of an id so far, as column c + "_class"; ids without links are their own."""
-    if label is None:
-        return df.withColumn(f"{c}_class", F.col(c))
-    return df.join(label.select(F.col("id").alias(c), "label"), c, "left").withColumn(f"{c}_class", F.coalesce("label", c)).drop("label")
+def between(x: Column, y: Column, df: DataFrame) -> DataFrame:
+    """The pairs (low, high, and the class of each) of two columns of (id, label)."""
+    both = df.select(F.when(x["id"] < y["id"], x).otherwise(y).alias("x"), F.when(x["id"] < y["id"], y).otherwise(x).alias("y"))
+    return both.select(F.col("x.id").alias("low"), F.col("y.id").alias("high"), F.col("x.label").alias("low_class"), F.col("y.label").alias("high_class"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (low, high) of ids that are links."""
+def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The classes (low, high) of the pairs that are links."""
     import zstandard
 
     wanted = pairs.select(F.col("low").alias("id")).union(pairs.select("high")).distinct()
-
-    def pack(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            packed = [z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "z"])
-
-    whole = keyed(docs).mapInArrow(bounded(pack), "doc_id long, key binary, z binary")
-    need = wanted.join(reps.select("id", "doc_id", "key"), "id")
-    # rows of one id and text are one: whichever is met serves
-    held = stored(need.join(whole, ["doc_id", "key"]).groupBy("id").agg(F.first("z").alias("z")), "texts")
+    held = stored(wanted.join(reps.select("id", "z"), "id"), "texts")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        last = (None, None)
+        last: dict = {}
+
+        def read_(side, i, z):
+            if last.get(side, (None,))[0] != i:
+                w = words(np.frombuffer(unpack.decompress(z), np.uint8))
+                last[side] = i, (w, numbered(w), kmers(w))
+            return last[side][1]
+
         for b in batches:
-            keep = []
-            for low, x, y in zip(*(b.column(c).to_pylist() for c in ("low", "x", "y")), strict=True):
-                if last[0] != low:
-                    last = (low, words(np.frombuffer(unpack.decompress(x), np.uint8)))
-                keep.append(similar(last[1], words(np.frombuffer(unpack.decompress(y), np.uint8))))
-            yield b.select(["low", "high"]).filter(pa.array(keep, pa.bool_()))
+            sides = zip(*(b.column(c).to_pylist() for c in ("low", "high", "x", "y")), strict=True)
+            keep = [alike(read_("x", low, x), read_("y", high, y)) for low, high, x, y in sides]
+            yield pa.RecordBatch.from_arrays([b.column("low_class"), b.column("high_class")], names=["low", "high"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(held.select(F.col("id").alias("low"), F.col("z").alias("x")), "low")
     both = one.join(held.select(F.col("id").alias("high"), F.col("z").alias("y")), "high")
-    return both.select("low", "high", "x", "y").mapInArrow(bounded(run), "low long, high long")
+    return both.select("low", "high", "low_class", "high_class", "x", "y").mapInArrow(bounded(run), "low long, high long")
 
 
 def may_link(x: Column, y: Column) -> Column:
@@ -287,66 +299,109 @@ def may_link(x: Column, y: Column) -> Column:
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (low, high) of ids that may be links, before any text is read."""
+    """The pairs of ids (low, high, and the class of each) that may be links, before any text is read."""
     side = lambda c, n: reps.select(F.col("id").alias(c), F.struct("n_words", "odd").alias(n))
     both = pairs.join(side("low", "x"), "low").join(side("high", "y"), "high")
-    return both.filter(may_link(F.col("x"), F.col("y"))).select("low", "high")
+    return both.filter(may_link(F.col("x"), F.col("y"))).select("low", "high", "low_class", "high_class")
 
 
-def unsettled(members: DataFrame, label: DataFrame | None, reps: DataFrame) -> DataFrame:
-    """All pairs (low, high) of a bucket's members (bucket, id) that are in different classes and may be links by their
-    numbers of words and by the parities of their words."""
-    own = stored(labelled(members, label, "id"), "labelled")
-    mixed = own.groupBy("bucket").agg(F.min("id_class").alias("a"), F.max("id_class").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    own = own.join(mixed.select("bucket", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "bucket")
+def unsettled(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """All pairs (low, high, and the class of each) of a bucket's members (bucket, id, label) that are in different classes
+    and may be links by their numbers of words and by the parities of their words."""
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    own = members.join(mixed.select("bucket", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "bucket")
+    own = own.groupBy("id").agg(F.first("label").alias("label"), F.collect_list(F.struct("bucket", "tiles")).alias("at"))
     own = stored(own.join(reps.select("id", "n_words", "odd"), "id"), "unsettled")
-    # a pair of tiles meets once: one side brings the lower tile, the other the higher one
-    own = own.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
-    all_ = own.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    x = all_.filter("tile <= other").select("bucket", F.col("tile").alias("lower"), F.col("other").alias("upper"), F.struct("id", "id_class", "n_words", "odd").alias("x"))
-    y = all_.filter("other <= tile").select("bucket", F.col("other").alias("lower"), F.col("tile").alias("upper"), F.struct("id", "id_class", "n_words", "odd").alias("y"))
-    both = x.join(y, ["bucket", "lower", "upper"]).filter("(lower < upper or x.id < y.id) and x.id_class <> y.id_class")
-    both = both.filter(may_link(F.col("x"), F.col("y")))
-    return both.select(F.least("x.id", "y.id").alias("low"), F.greatest("x.id", "y.id").alias("high")).distinct()
-
-
-def classes(docs: DataFrame, reps: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The class (id, label) of every id that has a link."""
-    dealt = reps.select("id", F.posexplode("sig").alias("k", "bucket"))
-    label = every = None
-    links: list[DataFrame] = []
+    columns = ["id", "label", "n_words", "odd", F.col("at.bucket").alias("buckets")]
+    own = own.select(*columns, F.explode("at").alias("in")).select("in.*", "id", "label", "n_words", "odd", "buckets")
+    # every tile of a bucket meets every other one, and itself, once
+    own = own.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    own = own.withColumns({"lower": F.least("tile", "other"), "upper": F.greatest("tile", "other")}).drop("tiles", "other")
+    at = ["bucket", "lower", "upper"]
+    return own.repartition(*at).sortWithinPartitions(*at).mapInArrow(bounded(compared), "low long, high long, low_class long, high_class long")
+
+
+def compared(batches):
+    """The pairs of `unsettled` from its tiles' texts, in the order of the pairs of tiles."""
+    names = ("bucket", "lower", "upper", "tile", "id", "label", "n_words")
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            table = pa.Table.from_batches([b])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None:
+            continue
+        rest = rest.combine_chunks()
+        bucket, lower, upper, tile, ids, label, n = (rest.column(c).to_numpy() for c in names)
+        edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])) + 1
+        edge = np.concatenate([[0], edge, [] if b is not None else [len(bucket)]]).astype(np.int64)
+        if len(edge) < 2:
+            continue
+        (odd, _), (shared, begin) = (flat(rest.column(c)) for c in ("odd", "buckets"))
+        odd = odd.reshape(len(bucket), -1).view(np.uint64)
+        low, high = [], []
+        for a, c in itertools.pairwise(edge.tolist()):
+            x, y = np.flatnonzero(tile[a:c] == lower[a]) + a, np.flatnonzero(tile[a:c] == upper[a]) + a
+            i, j = (x[k] for k in np.triu_indices(len(x), 1)) if lower[a] == upper[a] else (np.repeat(x, len(y)), np.tile(y, len(x)))
+            most, apart = np.floor((1 - SIMILARITY) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64), np.abs(n[i] - n[j])
+            may = (label[i] != label[j]) & (apart <= most)
+            i, j, flips = i[may], j[may], (2 * most - apart)[may]
+            at = [k for k in range(0, len(i), 1 << 14)]
+            may = [np.bitwise_count(odd[i[k : k + (1 << 14)]] ^ odd[j[k : k + (1 << 14)]]).sum(1) <= flips[k : k + (1 << 14)] for k in at]
+            may = np.concatenate(may) if may else np.zeros(0, bool)
+            own: dict = {}
+            for p, q in zip(i[may].tolist(), j[may].tolist(), strict=True):
+                for k in (p, q):
+                    if k not in own:
+                        own[k] = frozenset(shared[begin[k] : begin[k + 1]].tolist())
+                # every bucket that both share is among the buckets of each, as it holds both classes
+                if min(own[p] & own[q]) == bucket[a]:
+                    low.append(min(p, q, key=ids.__getitem__))
+                    high.append(max(p, q, key=ids.__getitem__))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[low], ids[high], label[low], label[high])] if low else [pa.array([], pa.int64())] * 4, names=["low", "high", "low_class", "high_class"])
+        rest = rest.slice(int(edge[-1]))
+
+
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, end to end, and where each row begins (one more than rows)."""
+    array = column.chunk(0) if column.num_chunks else column.combine_chunks()
+    at = array.offsets.to_numpy()
+    return array.flatten().to_numpy(), at - at[0]
+
+
+def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The class (id, label) of every id of the different texts of some rows: reps has what `sketched` makes of them, and an
+    id for each."""
+    label: DataFrame | None = None
     tried: list[DataFrame] = []
 
-    def linked(pairs):
+    def own(*columns: Column) -> DataFrame:
+        got = reps.select("id", *columns)
+        return got.withColumn("label", F.col("id")) if label is None else got.join(label, "id")
+
+    def dealt(n: int | None = None) -> DataFrame:
+        sig = F.slice("sig", 1, n) if n else F.col("sig")
+        return own(sig.alias("sig")).select(F.explode("sig").alias("bucket"), "id", "label")
+
+    def linked(pairs: DataFrame) -> None:
         nonlocal label
-        if label is not None:
-            pairs = labelled(labelled(pairs, label, "low"), label, "high").filter("low_class <> high_class").select("low", "high")
-            for had in tried:
-                pairs = pairs.join(had, ["low", "high"], "left_anti")
-        pairs = stored(possible(pairs, reps), "pairs")
+        pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
-            links.append(stored(verified(pairs, docs, reps), "links"))
             tried.append(pairs)
-            label = components(functools.reduce(DataFrame.union, links))
-
-    for n in range(rounds + 2):
-        members = dealt.filter(F.col("k") < FIRST).select("bucket", "id") if not n else dealt.select("bucket", "id")
-        members = led(members)
-        if n == 1:
-            every = members.select("bucket", "id")
-        sides = members.select("id", F.explode("leaders").alias("with")).filter("id <> with")
-        linked(sides.select(F.least("id", "with").alias("low"), F.greatest("id", "with").alias("high")).distinct())
-        if 0 < n <= rounds:
-            # who isn't in the class of a leader goes on to the next round, in the same bucket
-            side = members.select("bucket", "id", F.explode("leaders").alias("with"))
-            away = labelled(labelled(side, label, "id"), label, "with").groupBy("bucket", "id").agg(F.bool_and(F.col("id_class") != F.col("with_class")).alias("away"))
-            dealt = stored(away.filter("away").select("bucket", "id"), "rest")
-            if dealt.isEmpty():
-                break
-    if every is not None:
-        linked(unsettled(every, label, reps))
-    dropped(*links, *tried)
-    return label if label is not None else docs.sparkSession.createDataFrame([], "id long, label long")
+            links = stored(verified(pairs, reps), "links")
+            joined = components(links).select(F.col("id").alias("label"), F.col("label").alias("to"))
+            label = stored(own().join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+            dropped(links)
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        had = [p.select("low", "high") for p in tried]
+        return pairs.join(functools.reduce(DataFrame.union, had), ["low", "high"], "left_anti") if had else pairs
+
+    linked(possible(led(dealt(FIRST), False), reps))
+    linked(possible(fresh(led(dealt(), True)), reps))
+    linked(fresh(unsettled(dealt(), reps)))
+    dropped(*tried)
+    return own()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -368,15 +423,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """For each row its class, whether it stands for it, how many rows have its very text, and how many different texts
     the class has; `key` is the hash of its text."""
-    rows = stored(sketched(docs), "sketches")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_words").alias("n_words"), F.first("odd").alias("odd"), F.count("*").alias("n_copies"))
+    rows = sketched(docs).groupBy("key")
+    reps = rows.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("sig", "n_words", "odd", "z")), F.count("*").alias("n_copies"))
     # ids of the table may repeat, so different texts get numbers of their own, which storing makes fast
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
-    named = labelled(reps.select("id", "key", "doc_id", "n_copies"), classes(docs, reps), "id").withColumnRenamed("id_class", "label")
+    named = reps.select("id", "key", "doc_id", "n_copies").join(classes(docs, reps), "id")
     named = stored(named.select("key", "doc_id", "label", "n_copies"), "named")
     first = stored(named.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("n_texts")), "firsts")
     named = stored(named.drop("doc_id").join(first, "label").drop("label"), "classes")
-    out = rows.select("doc_id", "key").join(named, "key")
+    out = keyed(docs).select("doc_id", "key").join(named, "key")
     own = F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id")
     of = F.when(F.col("first.doc_id") != LEAST_ID, F.col("first.doc_id")).alias("class_id")
     return out.select(own, of, (F.struct("doc_id", "key") == F.col("first")).alias("kept"), "n_copies", "n_texts", "key")
