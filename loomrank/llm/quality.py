@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam, bounded, bytes_of, held_out, mix, read, runs, share_of, small_batches, span_hashes, texts
+from .common import adam, bounded, bytes_of, held_out, mix, read, released, runs, share_of, small_batches, span_hashes, texts
 
 #: Rows and bytes of text of the training sample.
 ROWS, SAMPLE_BYTES = 5000, 48 << 20
@@ -179,7 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = SAMPLE
     raw = [x[1] for x in got]
     data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     table = learned(data, at)
-    return train(pooled(data, at, table), np.array([float(x[2] > 0) for x in got]), table)
+    model = train(pooled(data, at, table), np.array([float(x[2] > 0) for x in got]), table)
+    del got, raw, data, at
+    released()  # the driver's share of memory is small, and what comes after needs it
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
