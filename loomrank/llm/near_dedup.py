@@ -54,6 +54,8 @@ FIRST = 6
 GROUP = 1 << 15
 #: Texts of a tile of a bucket, and bits of the parities of a text's words.
 TILE, PARITIES = 256, 2048
+#: Slots of ids: at most so many are sent to every executor.
+SLOTS = 1 << 20
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 LEAST_ID = -(1 << 63)
@@ -268,7 +270,10 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     import zstandard
 
     wanted = pairs.select(F.col("low").alias("id")).union(pairs.select("high")).distinct()
-    held = stored(wanted.join(reps.select("id", "z"), "id"), "texts")
+    # few texts are wanted: slots of their ids, of a bounded number, tell most others before their texts are shuffled
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
+    some = reps.select("id", "z", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").select("id", "z")
+    held = stored(wanted.join(some, "id"), "texts")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
