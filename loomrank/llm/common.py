@@ -14,6 +14,8 @@ from loomrank.sources.tables import dropped, stored  # noqa: F401
 
 #: Rows and bytes of a batch that goes to Python: whole texts are held, so few of them.
 BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
+#: Slots of ids: at most so many are sent to every executor.
+SLOTS = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +35,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones: slots of keys, of a bounded number, tell most others before they
+    are shuffled. A join by the key tells the rest."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("slot")
+    return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
 def blocks(data: np.ndarray, ends: np.ndarray, most: int = 1 << 20):
     """Ranges of a text of about `most` bytes that end where `ends` is true, so that no word is cut."""
     a, n = 0, len(data)

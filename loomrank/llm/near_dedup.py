@@ -8,7 +8,8 @@ buckets by pieces: the shorter of two texts is cut into one piece more than the
 at least stands unchanged in the longer one, moved by no more places than there are edits. Nothing is lost where the
 longer text has up to SHORT words.
 
-Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. In each
+Copies are first brought together by a 128-bit hash of the text: only one row for each different text goes on. Texts are
+dealt to their buckets once; what goes on from there is who shares a bucket with a text of about as many words. In each
 bucket every text is compared with the bucket's leader (the least by id): n texts of a bucket give n pairs, and leaders
 come from aggregates, so a bucket of any size is spread over tasks. The first round takes a few sketches only, the second
 all of them and a second leader (the least by a hash of its id). Leaders only save work: after that every pair of a
@@ -36,13 +37,14 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, bytes_of, dropped, mix, read, runs, small_batches, span_hashes, stored, texts
+from .common import blocks, bounded, bytes_of, dropped, mix, narrowed, read, runs, small_batches, span_hashes, stored, texts
 from .decontaminate import WORD_BYTES
 
 WORDS, SKETCHES, SIMILARITY = 2, 32, 0.8
@@ -52,10 +54,8 @@ SHORT = 19
 FIRST = 6
 #: K-mers that are sketched at once.
 GROUP = 1 << 15
-#: Texts of a tile of a bucket, and bits of the parities of a text's words.
+#: Texts of a tile of a bucket, and bits of the parities of a text's words, at least.
 TILE, PARITIES = 256, 2048
-#: Slots of ids: at most so many are sent to every executor.
-SLOTS = 1 << 20
 _TABLE = np.frombuffer(WORD_BYTES, np.uint8)
 _ODD = mix(np.arange(1, 100, dtype=np.uint64)) | np.uint64(1)
 LEAST_ID = -(1 << 63)
@@ -149,11 +149,26 @@ def pieces(w: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
 
 def parities(w: np.ndarray) -> np.ndarray:
     """Whether each of PARITIES classes of words has an odd number of them, as bits; the repeats of a word are words of
-    their own. An insertion or deletion changes one bit at most and a substitution two."""
-    odd = np.bincount((numbered(w) >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    their own. An insertion or deletion changes one bit at most and a substitution two. A long text has more classes, a
+    power of two and at least twice as many as words, as few would tell nothing of it; its halves together are the
+    parities of half as many classes."""
+    n = PARITIES
+    while n < min(2 * len(w), 1 << 24):
+        n *= 2
+    odd = np.bincount((numbered(w) >> np.uint64(40)).astype(np.int64) % n, minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(odd: np.ndarray, begin: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The parities of some rows in n words of 64 bits each, from those of all rows end to end and where each begins."""
+    at, size = begin[rows], begin[rows + 1] - begin[rows]
+    out = odd[at[:, None] + np.arange(n)]
+    for k in range(n, int(size.max(initial=0)), n):
+        more = size > k
+        out[more] ^= odd[at[more, None] + np.arange(k, k + n)]
+    return out
+
+
 def distance(a: list, b: list, most: int) -> int:
     """The edit distance of two sequences if it is at most `most`, else some larger number. Aligns in a band of the
     diagonals up to `most` away: bit k of a column stands for the row k places above the band's lower edge."""
@@ -238,8 +253,9 @@ def sketched(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             edge = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             sig = pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))
-            odd = np.concatenate([parities(w) for w in own]) if own else np.zeros(0, np.int64)
-            odd = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(odd))
+            odds = [parities(w) for w in own]
+            edge = np.concatenate([[0], np.cumsum([len(x) for x in odds])]).astype(np.int32)
+            odd = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(odds) if odds else np.zeros(0, np.int64)))
             count = pa.array([len(w) for w in own], pa.int32())
             z = pa.array([pack.compress(data[at[k] : at[k + 1]].tobytes()) for k in range(len(at) - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), sig, count, odd, z], names=["doc_id", "key", "sig", "n_words", "odd", "z"])
@@ -247,20 +263,33 @@ def sketched(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(bounded(run), "doc_id long, key binary, sig array<long>, n_words int, odd array<long>, z binary")
 
 
+def met(members: DataFrame, by: str) -> DataFrame:
+    """The members (bucket, id, n_words and others) of buckets that hold several values of a column, as far as another
+    member may have as many words as a link allows. Of a bucket only numbers are read, never a text."""
+    # a link's numbers of words differ by a quarter at most, so their steps of 1.26 are the same or neighbours
+    step = F.pmod(F.floor(F.log(F.greatest("n_words", F.lit(1))) / math.log(1.26)), F.lit(64)).cast("int")
+    own, all_of = members.withColumn("step", step), Window.partitionBy("bucket")
+    values = [F.min(by).over(all_of).alias("lo"), F.max(by).over(all_of).alias("hi"), F.count("*").over(all_of).alias("n"), F.expr("bit_or(shiftleft(1L, step))").over(all_of).alias("steps")]
+    near = "steps & (shiftleft(1L, pmod(step + 1, 64)) | shiftleft(1L, pmod(step - 1, 64))) <> 0 or n > bit_count(steps)"
+    return own.select("*", *values).filter("lo <> hi").filter(near).select(*members.columns)
+
+
 def led(members: DataFrame, by_hash: bool) -> DataFrame:
-    """The pairs (low, high, and the class of each) of a member (bucket, id, label) and a leader of its bucket that are in
-    different classes."""
-    agg = [F.min(F.struct("id", "label")).alias("a"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+    """The pairs (low, high, and the class of each) of a member (bucket, id, label, n_words) and a leader of its bucket that
+    are in different classes and may be links by their numbers of words."""
+    who = F.struct("id", "label", "n_words")
+    agg = [F.min(who).alias("a"), F.min("label").alias("lo"), F.max("label").alias("hi")]
     if by_hash:
-        agg.append(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "label")).alias("b"))
+        agg.append(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "label", "n_words")).alias("b"))
     leaders = members.groupBy("bucket").agg(*agg).filter("lo <> hi")
-    leaders = leaders.select("bucket", F.array_distinct(F.array("a", *([F.struct("b.id", "b.label")] if by_hash else []))).alias("leaders"))
-    sides = members.join(leaders, "bucket").select("id", "label", F.explode("leaders").alias("with")).filter("label <> with.label")
-    return between(F.struct("id", "label"), F.col("with"), sides).distinct()
+    leaders = leaders.select("bucket", F.array_distinct(F.array("a", *([F.struct("b.id", "b.label", "b.n_words")] if by_hash else []))).alias("leaders"))
+    sides = members.join(leaders, "bucket").select(who.alias("own"), F.explode("leaders").alias("with"))
+    sides = sides.filter("own.label <> with.label").filter(apart(F.col("own"), F.col("with")) <= edits(F.col("own"), F.col("with")))
+    return between(F.col("own"), F.col("with"), sides).distinct()
 
 
 def between(x: Column, y: Column, df: DataFrame) -> DataFrame:
-    """The pairs (low, high, and the class of each) of two columns of (id, label)."""
+    """The pairs (low, high, and the class of each) of two columns of (id, label and others)."""
     both = df.select(F.when(x["id"] < y["id"], x).otherwise(y).alias("x"), F.when(x["id"] < y["id"], y).otherwise(x).alias("y"))
     return both.select(F.col("x.id").alias("low"), F.col("y.id").alias("high"), F.col("x.label").alias("low_class"), F.col("y.label").alias("high_class"))
 
@@ -270,10 +299,7 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     import zstandard
 
     wanted = pairs.select(F.col("low").alias("id")).union(pairs.select("high")).distinct()
-    # few texts are wanted: slots of their ids, of a bounded number, tell most others before their texts are shuffled
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
-    some = reps.select("id", "z", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").select("id", "z")
-    held = stored(wanted.join(some, "id"), "texts")
+    held = stored(wanted.join(narrowed(reps.select("id", "z"), wanted, "id"), "id"), "texts")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -295,12 +321,22 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("low", "high", "low_class", "high_class", "x", "y").mapInArrow(bounded(run), "low long, high long")
 
 
+def edits(x: Column, y: Column) -> Column:
+    """How many edits a link of two texts (n_words) allows."""
+    return F.floor((1 - SIMILARITY) * F.greatest(x["n_words"], y["n_words"]) + 1e-9)
+
+
+def apart(x: Column, y: Column) -> Column:
+    return F.abs(x["n_words"] - y["n_words"])
+
+
 def may_link(x: Column, y: Column) -> Column:
     """Whether two texts (n_words, odd) may be links by their numbers of words and by the parities of their words."""
-    most = F.floor((1 - SIMILARITY) * F.greatest(x["n_words"], y["n_words"]) + 1e-9)
-    apart = F.abs(x["n_words"] - y["n_words"])
-    flips = sum((F.bit_count(x["odd"][k].bitwiseXOR(y["odd"][k])) for k in range(PARITIES // 64)), F.lit(0))
-    return (apart <= most) & (flips <= 2 * most - apart)
+    both = F.least(F.size(x["odd"]), F.size(y["odd"]))
+    # the longer text may have twice as many parities; were it more, the numbers of words would rule a link out
+    bits = lambda odd, k: F.when(F.size(odd) > both, odd[k].bitwiseXOR(odd[k + both])).otherwise(odd[k])
+    flips = F.aggregate(F.sequence(F.lit(0), both - 1), F.lit(0), lambda n, k: n + F.bit_count(bits(x["odd"], k).bitwiseXOR(bits(y["odd"], k))))
+    return (apart(x, y) <= edits(x, y)) & (flips <= 2 * edits(x, y) - apart(x, y))
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -313,8 +349,9 @@ def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def unsettled(members: DataFrame, reps: DataFrame) -> DataFrame:
     """All pairs (low, high, and the class of each) of a bucket's members (bucket, id, label) that are in different classes
     and may be links by their numbers of words and by the parities of their words."""
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b")
-    own = members.join(mixed.select("bucket", F.ceil(F.col("n") / TILE).cast("long").alias("tiles")), "bucket")
+    own = met(members.select("bucket", "id", "label").join(reps.select("id", "n_words"), "id"), "label")
+    size = own.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
+    own = own.drop("n_words").join(size, "bucket")
     own = own.groupBy("id").agg(F.first("label").alias("label"), F.collect_list(F.struct("bucket", "tiles")).alias("at"))
     own = stored(own.join(reps.select("id", "n_words", "odd"), "id"), "unsettled")
     columns = ["id", "label", "n_words", "odd", F.col("at.bucket").alias("buckets")]
@@ -342,8 +379,8 @@ def compared(batches):
         edge = np.concatenate([[0], edge, [] if b is not None else [len(bucket)]]).astype(np.int64)
         if len(edge) < 2:
             continue
-        (odd, _), (shared, begin) = (flat(rest.column(c)) for c in ("odd", "buckets"))
-        odd = odd.reshape(len(bucket), -1).view(np.uint64)
+        (odd, at), (shared, begin) = (flat(rest.column(c)) for c in ("odd", "buckets"))
+        odd, size = odd.view(np.uint64), np.diff(at)
         low, high = [], []
         for a, c in itertools.pairwise(edge.tolist()):
             x, y = np.flatnonzero(tile[a:c] == lower[a]) + a, np.flatnonzero(tile[a:c] == upper[a]) + a
@@ -351,9 +388,11 @@ def compared(batches):
             most, apart = np.floor((1 - SIMILARITY) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64), np.abs(n[i] - n[j])
             may = (label[i] != label[j]) & (apart <= most)
             i, j, flips = i[may], j[may], (2 * most - apart)[may]
-            at = [k for k in range(0, len(i), 1 << 14)]
-            may = [np.bitwise_count(odd[i[k : k + (1 << 14)]] ^ odd[j[k : k + (1 << 14)]]).sum(1) <= flips[k : k + (1 << 14)] for k in at]
-            may = np.concatenate(may) if may else np.zeros(0, bool)
+            least, may = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
+            for m in np.unique(least).tolist():
+                of = np.flatnonzero(least == m)
+                for k in np.split(of, range((1 << 19) // m or 1, len(of), (1 << 19) // m or 1)):
+                    may[k] = np.bitwise_count(folded(odd, at, i[k], m) ^ folded(odd, at, j[k], m)).sum(1) <= flips[k]
             own: dict = {}
             for p, q in zip(i[may].tolist(), j[may].tolist(), strict=True):
                 for k in (p, q):
@@ -380,13 +419,11 @@ def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
     label: DataFrame | None = None
     tried: list[DataFrame] = []
 
-    def own(*columns: Column) -> DataFrame:
-        got = reps.select("id", *columns)
-        return got.withColumn("label", F.col("id")) if label is None else got.join(label, "id")
+    first = [F.posexplode("sig").alias("at", "bucket"), "id", "n_words"]
+    shared = stored(met(reps.select(*first).select("bucket", "id", "n_words", (F.col("at") < FIRST).alias("early")), "id"), "shared")
 
-    def dealt(n: int | None = None) -> DataFrame:
-        sig = F.slice("sig", 1, n) if n else F.col("sig")
-        return own(sig.alias("sig")).select(F.explode("sig").alias("bucket"), "id", "label")
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("label", F.col("id")) if label is None else rows.join(label, "id")
 
     def linked(pairs: DataFrame) -> None:
         nonlocal label
@@ -395,18 +432,18 @@ def classes(docs: DataFrame, reps: DataFrame) -> DataFrame:
             tried.append(pairs)
             links = stored(verified(pairs, reps), "links")
             joined = components(links).select(F.col("id").alias("label"), F.col("label").alias("to"))
-            label = stored(own().join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+            label = stored(classed(reps.select("id")).join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
             dropped(links)
 
     def fresh(pairs: DataFrame) -> DataFrame:
         had = [p.select("low", "high") for p in tried]
         return pairs.join(functools.reduce(DataFrame.union, had), ["low", "high"], "left_anti") if had else pairs
 
-    linked(possible(led(dealt(FIRST), False), reps))
-    linked(possible(fresh(led(dealt(), True)), reps))
-    linked(fresh(unsettled(dealt(), reps)))
-    dropped(*tried)
-    return own()
+    linked(possible(led(classed(shared.filter("early")), False), reps))
+    linked(possible(fresh(led(classed(shared), True)), reps))
+    linked(fresh(unsettled(classed(shared), reps)))
+    dropped(shared, *tried)
+    return classed(reps.select("id"))
 
 
 def components(edges: DataFrame) -> DataFrame:

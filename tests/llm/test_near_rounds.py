@@ -64,3 +64,34 @@ def test_rounds_join_classes(spark, monkeypatch):
     got = sorted((r["id"], r["label"]) for r in near_dedup.classes(df, reps).collect())
     assert got == [(i, 0) for i in range(30)] + [(30, 30), (31, 30)]
     assert sizes[0] >= 29 and sizes[1] == 1 and sum(sizes[1:]) == 1
+
+
+def test_long_texts_are_told_apart_before_they_are_read(spark):
+    """Unlike texts of thousands of words share a bucket: their parities rule a link out, and keep those that are links,
+    also where one has twice as many parities as the other."""
+    gen = random.Random(5)
+    often = [f"w{k}" for k in range(40)]
+    make = lambda n: [gen.choice(often) if gen.random() < 0.4 else f"v{gen.randrange(10**6)}" for _ in range(n)]
+    texts = [make(n) for n in (3000, 3100, 3200, 4000, 4090)]
+    long = make(4090)
+    texts += [long, [*long[:2000], *make(30), *long[2000:]]]  # 8192 and 16384 parities
+    assert [len(near_dedup.parities(hashes(t))) * 64 for t in texts[-2:]] == [8192, 16384]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    reps = stored(near_dedup.sketched(df).withColumns({"id": F.col("doc_id"), "sig": F.array(F.lit(1).cast("long"))}), "reps")
+    members = reps.select(F.lit(1).cast("long").alias("bucket"), "id", F.col("id").alias("label"))
+    assert [tuple(r) for r in near_dedup.unsettled(members, reps).collect()] == [(5, 6, 5, 6)]
+    every = [(i, j, i, j) for j in range(7) for i in range(j)]
+    pairs = spark.createDataFrame(every, "low long, high long, low_class long, high_class long")
+    assert [tuple(r) for r in near_dedup.possible(pairs, reps).collect()] == [(5, 6, 5, 6)]
+
+
+def test_only_members_that_meet_go_on(spark):
+    """Buckets of one text, and members of a bucket that no other one's number of words comes near, go no further."""
+    rows = [(1, 1, 50), (2, 2, 50), (2, 3, 50), (3, 4, 50), (3, 5, 90), (4, 6, 80), (4, 7, 100), (4, 8, 500), (5, 9, 1), (5, 10, 1), (5, 11, 3)]
+    members = spark.createDataFrame(rows, "bucket long, id long, n_words int")
+    assert sorted(tuple(r)[:2] for r in near_dedup.met(members, "id").collect()) == [(2, 2), (2, 3), (4, 6), (4, 7), (5, 9), (5, 10), (5, 11)]
+    # whatever may be a link stays
+    n = [*range(1, 300), *range(300, 4000, 37)]
+    pairs = [(i * 10**6 + a * 1000 + k, 2 * i + s, x) for i, a in enumerate(n) for k, b in enumerate(x for x in n if a <= x <= a / 0.8 + 1e-9) for s, x in enumerate((a, b))]
+    members = spark.createDataFrame(pairs, "bucket long, id long, n_words int")
+    assert near_dedup.met(members, "id").count() == len(pairs)
