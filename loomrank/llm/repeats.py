@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, bytes_of, dropped, mix, power, read, small_batches, stored
+from .common import bounded, bytes_of, dropped, mix, narrowed, power, read, small_batches, stored
 from .near_dedup import LEAST_ID, keyed, whole_rows
 
 LENGTH, ANCHOR = 200, 48
@@ -283,7 +283,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dropped(found)
 
     def marked(hot: bool) -> DataFrame:
-        return _packed(source).join(flagged.filter(F.col("hot") == hot).select("doc_id", "wanted"), "doc_id").select("doc_id", "key", "z", "wanted")
+        wanted = flagged.filter(F.col("hot") == hot).select("doc_id", "wanted")
+        return _packed(narrowed(source, wanted, "doc_id")).join(wanted, "doc_id").select("doc_id", "key", "z", "wanted")
 
     around = marked(False).mapInArrow(bounded(_surroundings), "h long, doc_id long, key binary, p long, around binary, a long, b long")
     spans = stored(around.repartition("h").sortWithinPartitions("h").mapInArrow(bounded(_constructed), SPANS), "spans").union(whole)

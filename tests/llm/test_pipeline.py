@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from loomrank.llm import repeats
 
 rng = random.Random(8)
 
@@ -75,3 +76,15 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
 
 def rows_of(got):
     return [r.asDict() for r in got]
+
+
+def test_only_texts_with_repeats_are_packed(spark, monkeypatch):
+    """Where few texts hold a string that repeats, the others are neither packed nor shuffled for its sake."""
+    counts, plain = [], repeats._packed
+    monkeypatch.setattr(repeats, "_packed", lambda docs: (counts.append(docs.count()), plain(docs))[1])
+    passage = words(60)
+    texts = [words(80) for _ in range(50)] + [f"{words(30)} {passage} {words(30)}" for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs).collect()}
+    assert all(got[i] == texts[i] for i in range(50)) and all(passage[1:-1] not in got[i] for i in (50, 51))
+    assert counts and max(counts) <= 5
