@@ -92,3 +92,69 @@ def test_lookup_does_not_sort_pairs(spark):
     got = eligibility.found_jobs(jobs, hints)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 10, 3, 0), (1, 11, 5, 0), (1, 12, 2, 2), (1, 13, None, None), (2, 14, None, None)]
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_others_are_not_parsed(spark, monkeypatch):
+    """Only texts that their words and numbers don't rule out are parsed, none after one that is certain; scripts are read for jobs left."""
+    seen, asked = [], []
+    whole = details.parse
+
+    def watched(df, **more):
+        seen.append(sorted(r[0][:40] for r in df.select("normal" if "normal" in df.columns else "text").collect()))
+        return whole(df, **more)
+
+    monkeypatch.setattr(details, "parse", watched)
+    mine, other, long = posting("Data Wrangler", "123456"), posting("Data Wrangler", "654321"), posting("Data Wrangler", "123456", "More of it. " * 120)
+    requests = [("a", i, "GET", VIEW + str(i), "", "") for i in range(4)] + [("b", 0, "GET", VIEW + "0", "", ""), ("c", 0, "GET", VIEW + "9", "", "")]
+    cache = [(VIEW + "0", other), (VIEW + "1", "  " + long), (VIEW + "2", mine), (VIEW + "3", long), (VIEW + "9", posting("Clerk"))]
+    jobs = [("a", "123456", "Data Wrangler", "Acme"), ("b", "77777", "Data Wrangler", "Acme"), ("c", "", "Clerk", "Acme")]
+
+    def contexts(left):
+        asked.extend(r[0] for r in left.collect())
+        return spark.createDataFrame([("b", other), ("c", posting("Clerk", more="Acme"))], "job_key string, text string")
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = details.details(
+        spark.createDataFrame(jobs, JOBS), spark.createDataFrame(requests, ASKED), spark.createDataFrame(cache, "url string, text string"),
+        none("method string, url string, body string, text string"), contexts, none("job_key string, text string"), SKILLS,
+    )
+    assert seen == [[long[:40]], [], [" ".join(posting("Clerk").split())[:40]], []] and sorted(asked) == ["b", "c"]
+    assert {r["job_key"]: (r["found"], r["position"], r["full_text"], r["required_skills"]) for r in got.collect()} == {
+        "a": ("cache", 1, long.strip(), ["python", "sql", "docker"]), "b": (None, None, None, None), "c": ("context", None, " ".join(posting("Clerk", more="Acme").split()), ["python", "sql", "docker"]),
+    }
+
+
+def test_rule_before_parsing(spark):
+    """What is told before parsing agrees with the whole rule, also on odd numbers, spaces, ids and companies."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    from loomrank.functions import text
+    from loomrank.operators import eligibility
+
+    says = "Required: work for Data Wrangler people at Acme. " * 5
+    texts = [f"{x} {says}{y}" for x in ("", "123456", "1234567890", "x123456", "K123456", "﻿123456　", "12 3456", "ab cd 99999", "nodigits") for y in ("", "z " * 700)] + [None, "", "123456", says.replace("Acme", "us"), says.replace("Data Wrangler", "any"), "a" * 900 + " required"]
+    jobs = [(i, t, c) for i in ("123456", " 123456 ", "12 3456", "ab cd", "NoDigits", "K123456", "", None) for t in ("Data Wrangler", "Wrangler of many odd large things", "x", None) for c in ("Acme Inc", "Inc", None)]
+    df = spark.createDataFrame([(i, t, *j) for i, (t, j) in enumerate(product(texts, jobs))], "k int, text string, job_id string, title string, company string")
+    df = df.crossJoin(spark.createDataFrame([(n, s) for n in (0, 3, 6, 8) for s in (False, True)], "n int, sure boolean"))
+    none = F.lit(None).cast("string")
+    c = F.struct(none.alias("work_term_duration_value"), F.lit(None).cast("boolean").alias("cover_letter_required"), F.lit(None).cast("boolean").alias("transcript_required"), none.alias("term_restriction"), F.array().cast("array<string>").alias("required_degree_fields"))
+    # the rule as it was put before, with the text normalised by its own pattern
+    t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"{text.SPACE}+", " "))
+    low, i = F.lower(t), F.lower(F.trim(F.coalesce("job_id", F.lit(""))))
+    telling = lambda x, stop: (lambda ws: (ws, F.filter(ws, lambda w: ~w.isin(stop))))(F.filter(F.split(text.title_key(x), " "), lambda w: F.length(w) >= 4))
+    words, own = telling("title", eligibility.TITLE_WORDS)
+    keys, firm = F.when(F.size(own) > 0, own).otherwise(words), telling("company", eligibility.COMPANY_WORDS)[1]
+    hits = F.size(F.filter(keys, lambda w: F.contains(low, w)))
+    full = (F.length(low) >= 220) & low.rlike(eligibility.POSTING_TEXT) & ((F.col("n") >= 3) | (F.length(t) >= 1400))
+    full = full & F.when(F.size(keys) == 0, F.length(t) >= 900).otherwise(hits >= F.when(F.size(keys) >= 4, 2).otherwise(1))
+    numbers = F.slice(F.regexp_extract_all(low, F.lit(r"(?<![A-Za-z0-9_])\d{5,8}(?![A-Za-z0-9_])"), 0), 1, 24)
+    stranger = (F.size(firm) > 0) & ~F.exists(firm, lambda w: F.contains(low, w)) & (i == "") & (F.col("n") < 8)
+    same = full & (((i != "") & F.contains(low, i)) | ~(((i != "") & (F.size(numbers) > 0) & ~F.array_contains(numbers, i)) | stranger))
+    df = df.select("*", same.alias("same"), full.alias("full"), eligibility.same_posting("text", "job_id", "title", "company", F.col("n"), c).alias("now"), eligibility.looks_like_full_posting("text", "title", F.col("n"), c).alias("now_full"),
+                   *(eligibility.likely_posting("text", "job_id", "title", "company", F.col("sure"), m).alias(f"v{m}") for m in (6, 8)), c.alias("c"))
+    rule = lambda v: F.col(v).isNotNull() & eligibility.likely_settled(F.col(f"{v}.brief"), F.col(f"{v}.strange"), F.col("n"), F.col("c"))
+    want = F.col("same") | (F.col("sure") & F.col("full"))
+    wrong = df.filter((F.col("same") != F.col("now")) | (F.col("full") != F.col("now_full")) | (rule("v8") != want) | ((F.col("n") <= 6) & (rule("v6") != want)) | (F.col("v8.normal") != t))
+    assert df.filter("same").count() > 500 and df.filter("not same and full").count() > 500 and wrong.count() == 0
