@@ -44,3 +44,18 @@ def test_pairs_read_a_text_once():
     c = F.col("constraints")
     rule = eligibility.same_posting("full_text", "job_id", "title", "company", F.lit(3), c)
     assert rule._jc.toString().count("full_text") == 1
+
+
+def test_small_dictionaries_are_written_out(spark, monkeypatch):
+    """Patterns as literals are compiled once; they find what those of a table find."""
+    from loomrank.functions.lexicon import read_skills
+    from loomrank.operators import dictionary
+
+    skills = read_skills("c++ | language | 1.0 | c++, cpp\npython | language | 1.0 | python, py\nto the | process | 1.0 | to the, in the\nalone | tool | 1.0 | ")
+    texts = [(t,) for t in ("c++11 and c++", "c++ and", "Python, PY2 py", "happy to theme in the", "alone", "x python\nto the", "", None)]
+    df = spark.createDataFrame(texts, "t string")
+    rows = lambda: [[tuple(r) for r in df.select(dictionary.skills_in("t", skills, own)).collect()] for own in (True, False)]
+    written = rows()
+    assert "from_json" not in dictionary.skills_in("t", skills)._jc.toString()
+    monkeypatch.setattr(dictionary, "FEW_ALIASES", 0)
+    assert "from_json" in dictionary.skills_in("t", skills)._jc.toString() and rows() == written and any(r[0] for r in written[1])
